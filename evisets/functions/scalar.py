@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evisets.functions.special import p_from_z, z_from_p
+from evisets.functions.special import with_abs_z, with_p, z_from_p
 
 __all__ = [
     "BACKGROUND", "background_log_odds", "to_prob", "to_log_bf", "wakefield_log_bf", "posterior",
-    "Calibration", "calibrate_bf", "variant_thresholds", "complete_p_beta_se", "variant_z",
+    "Calibration", "calibrate_bf", "variant_thresholds", "complete_p_beta_se", "variant_z", "with_variant_z",
     "scaled_sigma2", "SigmoidThreshold", "sigma_threshold", "clean_chrom", "sanitize",
     "spike_slab", "sigma2_from_target",
 ]
@@ -96,12 +96,13 @@ def complete_p_beta_se(df: DataFrame, p="p", beta="beta", se="se") -> DataFrame:
         "_b": F.when(none, F.lit(0.0)).otherwise(b0),
         "_s": F.when(none, F.lit(1.0)).otherwise(s0),
     })
-    df = df.withColumn("_p", F.coalesce("_p", p_from_z(F.col("_b") / F.col("_s"))))
-    df = df.withColumn("_z", z_from_p(F.col("_p")))
+    df = with_p(df.withColumn("_zb", F.col("_b") / F.col("_s")), "_zb", "_pz")
+    df = df.withColumn("_p", F.coalesce("_p", "_pz"))
+    df = with_abs_z(df, "_p", "_z")
     df = df.withColumn("_b", F.coalesce("_b", F.col("_z") * F.col("_s")))
     divisor = F.when(F.col("_z") == 0, F.lit(1.0)).otherwise(F.col("_z"))
     df = df.withColumn("_s", F.coalesce("_s", F.abs(F.col("_b") / divisor)))
-    return df.withColumns({p: F.col("_p"), beta: F.col("_b"), se: F.col("_s")}).drop("_p", "_b", "_s", "_z")
+    return df.withColumns({p: F.col("_p"), beta: F.col("_b"), se: F.col("_s")}).drop("_p", "_b", "_s", "_z", "_zb", "_pz")
 
 
 def variant_z(p: Column, beta: Column, se: Column) -> Column:
@@ -110,6 +111,13 @@ def variant_z(p: Column, beta: Column, se: Column) -> Column:
     return F.when(p.isNotNull(), z_from_p(p) * sign).otherwise(beta / se)
 
 
+def with_variant_z(df: DataFrame, out: str = "z") -> DataFrame:
+    """Signed z of rows with p, beta, se columns; trusts p where present."""
+    df = with_abs_z(df, "p", "_az")
+    sign = F.when(F.col("beta") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return df.withColumn(out, F.when(F.col("p").isNotNull(), F.col("_az") * sign).otherwise(F.col("beta") / F.col("se"))).drop("_az")
+
+
 @dataclass(frozen=True)
 class SigmoidThreshold:
     k: float

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["erfc", "normal_cdf", "p_from_z", "one_sided_p", "z_from_p", "lgamma", "hypergeom_sf"]
+__all__ = ["erfc", "normal_cdf", "p_from_z", "one_sided_p", "z_from_p", "with_p", "with_abs_z", "lgamma", "hypergeom_sf"]
 
 # Chebyshev fit of erfc (relative error < 1.2e-7 everywhere), constant term first.
 ERFC_CHEBYSHEV = (
@@ -88,6 +88,26 @@ def z_from_p(p: Column) -> Column:
     return F.when(half < QUANTILE_SPLIT, tail).otherwise(centre) + F.lit(0.0)
 
 
+def with_p(df: DataFrame, z: str = "z", out: str = "p") -> DataFrame:
+    """Add the two-sided p of a z column. The inner term is a column of its own, which keeps the generated code short."""
+    a = F.abs(F.col(z)) * F.lit(0.5 / math.sqrt(2.0))
+    df = df.withColumn("_erfc_t", F.lit(1.0) / (F.lit(1.0) + a))
+    t = F.col("_erfc_t")
+    return df.withColumn(out, t * F.exp(F.col(z) * F.col(z) * F.lit(-0.5) + _horner(t, ERFC_CHEBYSHEV[::-1]))).drop("_erfc_t")
+
+
+def with_abs_z(df: DataFrame, p: str = "p", out: str = "abs_z") -> DataFrame:
+    """Add abs(z) of a two-sided p column, with the inner terms as columns of their own."""
+    df = df.withColumn("_zp_half", F.greatest(F.least(F.col(p), F.lit(1.0)), F.lit(1e-300)) * F.lit(0.5))
+    q = F.col("_zp_half") - F.lit(0.5)
+    df = df.withColumns({"_zp_r": F.sqrt(F.lit(-2.0) * F.log("_zp_half")), "_zp_q": q, "_zp_s": q * q})
+    r, s = F.col("_zp_r"), F.col("_zp_s")
+    tail = -(_horner(r, QUANTILE_TAIL_NUM) / _horner(r, QUANTILE_TAIL_DEN))
+    centre = -(_horner(s, QUANTILE_CENTRE_NUM) * F.col("_zp_q") / _horner(s, QUANTILE_CENTRE_DEN))
+    df = df.withColumn(out, F.when(F.col("_zp_half") < QUANTILE_SPLIT, tail).otherwise(centre) + F.lit(0.0))
+    return df.drop("_zp_half", "_zp_r", "_zp_q", "_zp_s")
+
+
 def lgamma(x: Column) -> Column:
     """ln Gamma(x) for x >= 0.5 (Lanczos series)."""
     y = x - F.lit(1.0)

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisets.functions.scalar import background_log_odds, complete_p_beta_se, to_log_bf, to_prob
-from evisets.functions.scalar import calibrate_bf, posterior, variant_z, wakefield_log_bf
-from evisets.functions.special import hypergeom_sf, p_from_z
+from evisets.functions.scalar import calibrate_bf, posterior, wakefield_log_bf, with_variant_z
+from evisets.functions.special import hypergeom_sf, with_p
 from evisets.operators.align import count_of
 from evisets.operators.ordered import bh_q
 from evisets.operators.sets import set_moments
@@ -21,17 +21,23 @@ from evisets.operators.sets import set_moments
 MAX_TRAIT_AXIS = 100_000
 
 
-def finalize_stats(df: DataFrame, group: str | None = "trait") -> DataFrame:
-    """z and p from beta_tilde and se; a zero effect without error gets 100 x the largest error of its trait."""
-    keys = [group] if group else []
-    biggest = df.groupBy(*keys).agg(F.max("se").alias("_max"))
-    joined = df.join(biggest, keys) if keys else df.withColumn("_max", biggest.scalar())
+def finalize_stats(df: DataFrame, group: str | None = "trait", max_se: Column | None = None) -> DataFrame:
+    """z and p from beta_tilde and se; a zero effect without error gets 100 x the largest error of its trait.
+
+    ``max_se`` gives that error where it is known per row, which saves the grouped pass over the input.
+    """
+    if max_se is not None:
+        joined = df.withColumn("_max", max_se)
+    else:
+        keys = [group] if group else []
+        biggest = df.groupBy(*keys).agg(F.max("se").alias("_max"))
+        joined = df.join(biggest, keys) if keys else df.withColumn("_max", biggest.scalar())
     big = F.when(F.col("_max") > 0, F.col("_max") * 100).otherwise(F.lit(100.0))
     se = F.when((F.col("beta_tilde") == 0) & (F.col("se") <= 0), big).otherwise(F.col("se"))
     out = joined.withColumn("se", se).drop("_max")
     out = out.withColumn("beta_tilde", F.when(F.col("se") <= 0, F.lit(0.0)).otherwise(F.col("beta_tilde")))
     out = out.withColumn("z", F.when(F.col("se") > 0, F.col("beta_tilde") / F.col("se")).otherwise(F.lit(0.0)))
-    return out.withColumn("p", p_from_z(F.col("z")))
+    return with_p(out)
 
 
 def trait_moments(y: DataFrame, n: Column) -> DataFrame:
@@ -77,13 +83,15 @@ def marginal_linear(membership: DataFrame, y: DataFrame, n: Column, complete: bo
     cov = (F.col("xy") - F.col("sum_w") * F.col("y_mean")) / F.col("n")
     beta = F.when(F.col("scale") == 0, F.lit(0.0)).otherwise(cov / sd)
     se = F.when(F.col("scale") == 0, F.lit(0.0)).otherwise(F.sqrt("y_var") / F.sqrt(F.col("n") - 1))
-    out = joined.select("set_id", "trait", "size", "mean", "scale", beta.alias("beta_tilde"), se.alias("se"))
+    trait_se = F.sqrt("y_var") / F.sqrt(F.col("n") - 1)
+    out = joined.select("set_id", "trait", "size", "mean", "scale", beta.alias("beta_tilde"), se.alias("se"), trait_se.alias("_trait_se"))
     if inflation is not None:
         keys = [c for c in ("set_id", "trait") if c in inflation.columns]
         out = out.join(inflation, keys, "left").withColumn(
             "se", F.col("se") * F.coalesce(F.col("factor"), F.lit(1.0))
-        ).drop("factor")
-    return finalize_stats(out)
+        ).drop("factor", "_trait_se")
+        return finalize_stats(out)
+    return finalize_stats(out, max_se=F.col("_trait_se")).drop("_trait_se")
 
 
 def error_inflation(membership: DataFrame, entity_corr: DataFrame, n: Column) -> DataFrame:
@@ -277,8 +285,7 @@ def burden_evidence(df: DataFrame, low_p=2.5e-6, low_posterior=0.95, high_p=0.05
     """Entity burden statistics (p, beta, se) -> log Bayes factor over the background odds."""
     cal = calibrate_bf(low_p, low_posterior, high_p, high_posterior)
     full = complete_p_beta_se(df)
-    z = variant_z(F.col("p"), F.col("beta"), F.col("se"))
-    out = full.withColumn("z", z).withColumn("posterior", posterior(wakefield_log_bf(F.col("z"), cal.k), cal.prior_odds))
+    out = with_variant_z(full).withColumn("posterior", posterior(wakefield_log_bf(F.col("z"), cal.k), cal.prior_odds))
     capped = F.when(F.col("posterior") >= 1, F.lit(0.99)).otherwise(F.col("posterior"))
     return out.withColumn("log_bf", to_log_bf(capped))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisets.functions.scalar import to_prob
-from evisets.functions.special import one_sided_p, p_from_z
+from evisets.functions.special import one_sided_p, with_p
 from evisets.operators.ordered import top_k
 from evisets.plans.iterate import cut
 
@@ -503,7 +503,7 @@ def factor_trait_marginal(loadings: DataFrame, hits: DataFrame, anchor: DataFram
         var = sse / dof * A(0, 0)
     out = j.select("factor", "trait", F.col("beta0").alias("beta"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("se"), "n_hits")
     out = out.withColumn("z", F.when(F.col("se") > 0, F.col("beta") / F.col("se")).otherwise(F.lit(0.0)))
-    out = out.withColumn("p", p_from_z(F.col("z")))
+    out = with_p(out)
     return out.withColumn("p_onesided", one_sided_p(F.col("z"), F.col("p")))
 
 
@@ -558,7 +558,7 @@ def factor_trait_joint(wide: DataFrame, factor_cols: list[str], hits: DataFrame,
 
     out = flat.mapInPandas(finish, f"factor string, trait {trait_type}, beta double, se double, n_hits long")
     out = out.withColumn("z", F.when(F.col("se") > 0, F.col("beta") / F.col("se")).otherwise(F.lit(0.0)))
-    out = out.withColumn("p", p_from_z(F.col("z")))
+    out = with_p(out)
     return out.withColumn("p_onesided", one_sided_p(F.col("z"), F.col("p")))
 
 

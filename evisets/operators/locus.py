@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisets.functions.scalar import (
-    BACKGROUND, Calibration, calibrate_bf, complete_p_beta_se, posterior, to_log_bf, variant_z, wakefield_log_bf,
+    BACKGROUND, Calibration, calibrate_bf, complete_p_beta_se, posterior, to_log_bf, wakefield_log_bf, with_variant_z,
 )
 from evisets.operators.align import near_join, overlap_join
 from evisets.plans.iterate import cut
@@ -26,8 +26,7 @@ MAX_ENTITY_PROB = 0.9
 def score_variants(variants: DataFrame, cal: Calibration) -> DataFrame:
     """Complete p / beta / se, then z, log Bayes factor and posterior of each variant."""
     full = complete_p_beta_se(variants)
-    full = full.withColumn("z", variant_z(F.col("p"), F.col("beta"), F.col("se")))
-    full = full.withColumn("log_bf", wakefield_log_bf(F.col("z"), cal.k))
+    full = with_variant_z(full).withColumn("log_bf", wakefield_log_bf(F.col("z"), cal.k))
     return full.withColumn("posterior", posterior(F.col("log_bf"), cal.prior_odds))
 
 

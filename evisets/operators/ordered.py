@@ -18,12 +18,14 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     return max(2, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def quantile_bucket(df: DataFrame, value: str, buckets: int | None = None) -> Column:
-    """Bucket number of ``value`` by approximate quantiles of the column (a fixed-size scalar subquery)."""
+def with_bucket(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
+    """Add ``_bucket`` by approximate quantiles of the column (bounds are one scalar subquery of fixed size)."""
     n = _bucket_count(df, buckets)
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
     bounds = df.agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(10000)))).scalar()
-    return F.size(F.filter(F.coalesce(bounds, F.array().cast("array<double>")), lambda b: b < F.col(value)))
+    kind = df.schema[value].dataType.simpleString()
+    marked = df.withColumn("_bounds", F.coalesce(bounds, F.array().cast(f"array<{kind}>")))
+    return marked.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
 
 
 def running_totals(df: DataFrame, groups: list[str], value: str, amount: str, out: str = "running",
@@ -33,7 +35,7 @@ def running_totals(df: DataFrame, groups: list[str], value: str, amount: str, ou
     Also returns ``<out>_total``, the sum over the whole group.
     """
     distinct = df.groupBy(*groups, value).agg(F.sum(amount).alias("_amount"))
-    distinct = distinct.withColumn("_bucket", quantile_bucket(distinct, value, buckets))
+    distinct = with_bucket(distinct, value, buckets)
     keys = [*groups, "_bucket"]
     totals = distinct.groupBy(*keys).agg(F.sum("_amount").alias("_sum"))
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -74,9 +76,13 @@ def bh_q(df: DataFrame, p: str = "p", groups: list[str] | None = None, out: str
     """Benjamini-Hochberg q-value of every row, within optional groups.
 
     q depends only on the distinct p-values and how many rows lie at or below each, so ties (all p = 1, say)
-    are counted before any ordering.
+    are counted before any ordering. The input is materialised once, since it is read for the counts, the bucket bounds and the
+    final join.
     """
+    from evisets.plans.iterate import cut
+
     groups = groups or []
+    df = cut(df)
     counted = df.groupBy(*groups, p).agg(F.count("*").alias("_n"))
     ranked = running_totals(counted, groups, p, "_n", "_rank", buckets)
     ranked = ranked.withColumn("_raw", F.col(p) * F.col("_rank_total") / F.col("_rank"))
@@ -86,7 +92,7 @@ def bh_q(df: DataFrame, p: str = "p", groups: list[str] | None = None, out: str
 
 def dense_position(df: DataFrame, order: list[str], out: str, value: str, buckets: int | None = None) -> DataFrame:
     """0-based position of every row in a total order that starts with the numeric column ``value``."""
-    marked = df.withColumn("_bucket", quantile_bucket(df, value, buckets))
+    marked = with_bucket(df, value, buckets)
     sizes = marked.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))

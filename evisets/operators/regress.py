@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evisets.functions.special import one_sided_p, p_from_z
+from evisets.functions.special import one_sided_p, with_p
 
 
 def _cross_names(cols: list[str]) -> list[tuple[int, int, str]]:
@@ -64,7 +64,7 @@ def solve_ols(sums: DataFrame, x: list[str], y: list[str], groups: list[str] | N
 def with_tests(df: DataFrame) -> DataFrame:
     """z, two-sided and one-sided p of (beta, se)."""
     z = F.when(F.col("se") > 0, F.col("beta") / F.col("se")).otherwise(F.lit(0.0))
-    out = df.withColumn("z", z).withColumn("p", p_from_z(F.col("z")))
+    out = with_p(df.withColumn("z", z))
     return out.withColumn("p_onesided", one_sided_p(F.col("z"), F.col("p")))
 
 
@@ -260,5 +260,5 @@ def correct_set_stats(stats: DataFrame, qc: DataFrame, cols: list[str], directio
     inflate = (F.abs("_adj") < F.abs("_z")) & (F.col("beta_tilde") != 0)
     out = out.withColumn("se", F.when(inflate, F.abs("beta_tilde") / F.abs("_adj")).otherwise(F.col("se")))
     zc = F.when(F.col("se") != 0, F.col("beta_tilde") / F.col("se")).otherwise(F.lit(0.0))
-    out = out.withColumn("z", zc).withColumn("p", p_from_z(F.col("z")))
+    out = with_p(out.withColumn("z", zc))
     return out.drop("_z", "_z2", "_ok", "intercept", "_pv", "_dv", "_adj")
