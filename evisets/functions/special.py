@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["erfc", "normal_cdf", "p_from_z", "one_sided_p", "z_from_p", "with_p", "with_abs_z", "lgamma", "hypergeom_sf"]
+__all__ = ["erfc", "normal_cdf", "p_from_z", "one_sided_p", "z_from_p", "pin", "with_p", "with_abs_z", "lgamma", "hypergeom_sf"]
 
 # Chebyshev fit of erfc (relative error < 1.2e-7 everywhere), constant term first.
 ERFC_CHEBYSHEV = (
@@ -88,12 +88,24 @@ def z_from_p(p: Column) -> Column:
     return F.when(half < QUANTILE_SPLIT, tail).otherwise(centre) + F.lit(0.0)
 
 
+def pin(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Compute ``cols`` here and once.
+
+    A filter on a derived column is pushed below its projection by copying the expression into every place; nested special
+    functions would be copied exponentially often. A one-element ``explode`` keeps them where they are, without a shuffle.
+    """
+    others = [c for c in df.columns if c not in cols]
+    one = F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in cols]))).alias("_pin")
+    return df.select(*[F.col(f"`{c}`") for c in others], one).select(*[F.col(f"`{c}`") for c in others], "_pin.*")
+
+
 def with_p(df: DataFrame, z: str = "z", out: str = "p") -> DataFrame:
     """Add the two-sided p of a z column. The inner term is a column of its own, which keeps the generated code short."""
     a = F.abs(F.col(z)) * F.lit(0.5 / math.sqrt(2.0))
     df = df.withColumn("_erfc_t", F.lit(1.0) / (F.lit(1.0) + a))
     t = F.col("_erfc_t")
-    return df.withColumn(out, t * F.exp(F.col(z) * F.col(z) * F.lit(-0.5) + _horner(t, ERFC_CHEBYSHEV[::-1]))).drop("_erfc_t")
+    df = df.withColumn(out, t * F.exp(F.col(z) * F.col(z) * F.lit(-0.5) + _horner(t, ERFC_CHEBYSHEV[::-1]))).drop("_erfc_t")
+    return pin(df, [z, out])
 
 
 def with_abs_z(df: DataFrame, p: str = "p", out: str = "abs_z") -> DataFrame:
@@ -105,7 +117,7 @@ def with_abs_z(df: DataFrame, p: str = "p", out: str = "abs_z") -> DataFrame:
     tail = -(_horner(r, QUANTILE_TAIL_NUM) / _horner(r, QUANTILE_TAIL_DEN))
     centre = -(_horner(s, QUANTILE_CENTRE_NUM) * F.col("_zp_q") / _horner(s, QUANTILE_CENTRE_DEN))
     df = df.withColumn(out, F.when(F.col("_zp_half") < QUANTILE_SPLIT, tail).otherwise(centre) + F.lit(0.0))
-    return df.drop("_zp_half", "_zp_r", "_zp_q", "_zp_s")
+    return pin(df.drop("_zp_half", "_zp_r", "_zp_q", "_zp_s"), [p, out])
 
 
 def lgamma(x: Column) -> Column:

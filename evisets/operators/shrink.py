@@ -156,13 +156,14 @@ def hyper_step(stats: DataFrame, hyper: DataFrame, pseudo: float = 0.0, power: f
     ratio to p when only p is learned.
     """
     keys = ["trait", "batch"]
-    j = with_hyper(stats.join(hyper, keys), F.col("p"), F.col("sigma2"), power)
+    now = hyper.select(*keys, F.col("p").alias("_hp"), F.col("sigma2").alias("_hs"))
+    j = with_hyper(stats.join(now, keys), F.col("_hp"), F.col("_hs"), power)
     slab = F.col("sigma2_used") / F.col("p_used")
     se2 = F.col("se") * F.col("se")
     _, post, cond = spike_slab(F.col("beta_tilde"), F.col("se"), F.col("p_used"), F.col("sigma2_used"))
     unit = F.lit(1.0) if power is None else F.pow("scale", F.lit(float(power)))
     s = j.where("scale > 0").groupBy(*keys).agg(
-        F.sum(post).alias("_post"), F.count("*").alias("_m"), F.first("p").alias("_p"), F.first("sigma2").alias("_s2"),
+        F.sum(post).alias("_post"), F.count("*").alias("_m"), F.first("_hp").alias("_p"), F.first("_hs").alias("_s2"),
         F.sum(post * (cond * cond + slab / (slab + se2) * se2)).alias("_h2"), F.sum(unit).alias("_unit"),
     )
     p = (F.lit(pseudo) + F.col("_post")) / (F.lit(2 * pseudo) + F.col("_m")) * missing_share * inflate

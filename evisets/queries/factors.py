@@ -1 +1,405 @@
+"""Factor tables, factorisation, projection, trait regressions on factors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evisets.operators import factors as fx
+from evisets.operators import nmf
+from evisets.queries.roles import (
+    binary, entity_trait, evidence, loadings, membership, n_entities, r, run_loadings, sql_p, table, tidy, universe, with_,
+)
+
 QUERIES, SQL = {}, {}
+
+
+def query(name, sql=None):
+    def add(fn):
+        QUERIES[name] = lambda spark, sf: tidy(fn(spark, sf))
+        if sql:
+            SQL[name] = sql
+        return fn
+    return add
+
+
+@query("loading_view_specific", with_("load") + f"SELECT axis, key, factor, {r('value / sum(value) OVER (PARTITION BY axis, key)', 'value')} FROM load")
+def view_specific(spark, sf):
+    return fx.loading_view(loadings(spark, sf), "specific")
+
+
+@query("loading_view_combined", with_("load") + f"SELECT axis, key, factor, {r('0.5 * value + 0.5 * value / sum(value) OVER (PARTITION BY axis, key)', 'value')} FROM load")
+def view_combined(spark, sf):
+    return fx.loading_view(loadings(spark, sf), "combined")
+
+
+@query("any_relevance", f"SELECT l_suppkey AS factor, {r('1 - product(1 - least(l_discount, 1))', 'any_relevance')} FROM lineitem GROUP BY 1")
+def any_relevance(spark, sf):
+    return fx.any_relevance(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("factor"), F.col("l_discount").alias("value")))
+
+
+@query("choose_anchor_source", with_("et") + f"SELECT entity_id, trait, {r('log_bf', 'source')} FROM et")
+def choose_anchor(spark, sf):
+    e = entity_trait(spark, sf).withColumn("combined", F.lit(float("nan")))
+    return e.select("entity_id", "trait", fx.choose_anchor_source(e).alias("source"))
+
+
+@query("threshold_profile", with_("et") + f"SELECT entity_id, trait, {r('greatest(combined, 0)', 'value')} FROM et")
+def threshold_weighted(spark, sf):
+    return fx.threshold_profile(entity_trait(spark, sf).select("entity_id", "trait", F.col("combined").alias("value")))
+
+
+@query("threshold_profile_binary", with_("et") + "SELECT entity_id, trait, CASE WHEN combined > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM et")
+def threshold_binary(spark, sf):
+    return fx.threshold_profile(entity_trait(spark, sf).select("entity_id", "trait", F.col("combined").alias("value")), "binary_thresholded")
+
+
+CAPT = with_("et", extra="c AS (SELECT trait, (entity_id % 7)::BIGINT AS factor, sum(greatest(combined, 0)) AS v FROM et GROUP BY 1, 2), st AS (SELECT trait, sum(greatest(combined, 0)) AS strength FROM et GROUP BY 1)")
+
+
+@query("top_capture", CAPT + f"SELECT factor, trait, {r('v / strength', 'value')}, {r('strength', 'strength')}, row_number() OVER (PARTITION BY factor ORDER BY v / strength DESC, strength DESC, trait) AS rank FROM c JOIN st USING (trait) QUALIFY rank <= 5")
+def top_capture(spark, sf):
+    e = entity_trait(spark, sf).select("entity_id", "trait", F.greatest("combined", F.lit(0.0)).alias("value"))
+    s = fx.profile_strength(e)
+    c = e.groupBy("trait", (F.col("entity_id") % 7).alias("factor")).agg(F.sum("value").alias("v")).join(s, "trait").select("trait", "factor", (F.col("v") / F.col("strength")).alias("value"))
+    return fx.top_capture(c, s, 5)
+
+
+def lambdas(spark, sf):
+    return loadings(spark, sf).groupBy("factor").agg((F.sum("value") / 1000.0).alias("lambda"))
+
+
+@query("prune_factors", with_("load") + f"SELECT factor, {r('sum(value) / 1000', '"lambda"')}, {r('sum(value)', 'mass')}, {r('max(value)', 'top')} FROM load GROUP BY 1 HAVING sum(value) / 1000 >= (SELECT avg(m) FROM (SELECT sum(value) / 1000 AS m FROM load GROUP BY factor)) AND max(value) >= 0.5 * (SELECT max(value) FROM load)")
+def prune_factors(spark, sf):
+    lam = lambdas(spark, sf)
+    return fx.prune_factors(loadings(spark, sf), lam, lam.agg(F.avg("lambda")).first()[0] - 1e-12, 0.5)
+
+
+@query("order_factors", with_("load", extra="rl AS (SELECT factor, row_number() OVER (ORDER BY rel DESC, factor) AS nf FROM (SELECT factor, round(sum(value), 4) AS rel FROM load GROUP BY 1)), tp AS (SELECT axis, max(value) AS t FROM load GROUP BY 1)") +
+       f"SELECT axis, key, nf AS factor, {r('CASE WHEN value < 0.1::DOUBLE * t THEN 0 ELSE value END', 'value')} FROM load JOIN rl USING (factor) JOIN tp USING (axis)")
+def order_factors(spark, sf):
+    rel = loadings(spark, sf).groupBy("factor").agg(F.round(F.sum("value"), 4).alias("any_relevance"))
+    return fx.order_factors(loadings(spark, sf), rel, 0.1)
+
+
+def jac(src="load", by="axis", floor=None):
+    where = f"WHERE value >= {floor}" if floor else "WHERE value > 0"
+    return f"""un AS (SELECT {by}, key, factor, value / sum(value) OVER (PARTITION BY {by}, factor) AS u FROM {src} {where}),
+jc0 AS (SELECT {', '.join('a.' + b.strip() for b in by.split(','))}, a.factor AS factor_a, b.factor AS factor_b, sum(least(a.u, b.u)) AS mn FROM un a JOIN un b ON {' AND '.join(f'a.{b.strip()} = b.{b.strip()}' for b in by.split(','))} AND a.key = b.key AND a.factor <> b.factor GROUP BY ALL),
+jc AS (SELECT {by}, factor_a, factor_b, mn / (2 - mn) AS jaccard FROM jc0)"""
+
+
+@query("weighted_jaccard", with_("load", extra=jac(floor="0.05::DOUBLE")) + f"SELECT axis, factor_a, factor_b, {r('jaccard', 'jaccard')} FROM jc")
+def weighted_jaccard(spark, sf):
+    return fx.weighted_jaccard(loadings(spark, sf), 0.05)
+
+
+OVER = """op AS (SELECT axis, factor_a AS factor, max(jaccard) AS max_jaccard, quantile_cont(jaccard, 0.9) AS q90_jaccard, avg(jaccard) AS mean_jaccard, arg_min(factor_b, (-jaccard, factor_b)) AS nearest_factor FROM jc GROUP BY 1, 2)"""
+
+
+@query("overlap_profile", with_("load", extra=jac() + ",\n" + OVER) + f"SELECT axis, factor, {r('max_jaccard', 'max_jaccard')}, {r('q90_jaccard', 'q90_jaccard')}, {r('mean_jaccard', 'mean_jaccard')}, nearest_factor FROM op")
+def overlap_profile(spark, sf):
+    return fx.overlap_profile(loadings(spark, sf))
+
+
+@query("redundancy", with_("load", extra=jac() + ",\n" + OVER) + f"SELECT axis, {r('max(max_jaccard)', 'redundancy_max')}, {r('quantile_cont(max_jaccard, 0.9)', 'redundancy_q90')}, {r('avg(max_jaccard)', 'redundancy_mean')} FROM op GROUP BY 1")
+def redundancy(spark, sf):
+    return fx.redundancy(loadings(spark, sf))
+
+
+COMP = """w AS (SELECT axis, factor, key, value, value / sum(value) OVER (PARTITION BY axis, factor) AS w FROM load),
+wr AS (SELECT *, row_number() OVER (PARTITION BY axis, factor ORDER BY w DESC, key) AS rn FROM w),
+cm AS (SELECT axis, factor, sum(value) AS mass, 1 / sum(w * w) AS effective_support, count(*) FILTER (w > 0) AS num_nonzero, count(*) FILTER (w >= 0.001) AS num_ge_0p001, count(*) FILTER (w >= 0.005) AS num_ge_0p005,
+       count(*) FILTER (w >= 0.01) AS num_ge_0p01, max(w) AS max_weight, sum(w) FILTER (rn <= 5) AS top5_weight_fraction FROM wr GROUP BY 1, 2),
+cf AS (SELECT *, mass / sum(mass) OVER (PARTITION BY axis) AS mass_fraction FROM cm)"""
+CNUM = ["mass", "mass_fraction", "effective_support", "max_weight", "top5_weight_fraction"]
+CINT = ["num_nonzero", "num_ge_0p001", "num_ge_0p005", "num_ge_0p01"]
+
+
+@query("component_metrics", with_("load", extra=COMP) + "SELECT axis, factor, " + ", ".join([r(c, c) for c in CNUM] + CINT) + " FROM cf")
+def component_metrics(spark, sf):
+    return fx.component_metrics(loadings(spark, sf))
+
+
+METRICS = with_("load", extra=COMP + ",\n" + jac() + ",\n" + OVER + """,
+bo AS (SELECT cf.*, max_jaccard, q90_jaccard, mean_jaccard, nearest_factor FROM cf JOIN op USING (axis, factor)),
+e AS (SELECT * FROM bo WHERE axis = 'entity'), s AS (SELECT * FROM bo WHERE axis = 'set'),
+g AS (SELECT e.factor, sqrt(greatest(e.mass, 1e-50) * greatest(s.mass, 1e-50)) AS combined_mass FROM e JOIN s USING (factor)), h AS (SELECT *, combined_mass / sum(combined_mass) OVER () AS combined_mass_fraction FROM g),
+lam AS (SELECT factor, sum(value) / 1000 AS \"lambda\" FROM load GROUP BY 1)""")
+JNUM = ["max_jaccard", "q90_jaccard", "mean_jaccard"]
+
+
+def metric_cols():
+    out = []
+    for a, t in (("entity", "e"), ("set", "s")):
+        out += [r(f"{t}.{c}", f"{a}_{c}") for c in CNUM + JNUM] + [f"{t}.{c} AS {a}_{c}" for c in CINT + ["nearest_factor"]]
+    return out
+
+
+TIER = "CASE WHEN combined_mass_fraction >= 0.005 THEN 'primary' WHEN combined_mass_fraction >= 0.0025 THEN 'secondary' ELSE 'filtered' END"
+
+
+@query("factor_metrics", METRICS + f"SELECT h.factor, {r('lam."lambda"', '"lambda"')}, {r('combined_mass', 'combined_mass')}, {r('combined_mass_fraction', 'combined_mass_fraction')}, {r('1 - greatest(e.max_jaccard, s.max_jaccard)', 'combined_unique_fraction')}, "
+       f"combined_mass_fraction >= 0.005 AS factor_mass_floor_0p5pct, {TIER} AS factor_tier, " + ", ".join(metric_cols()) + " FROM h JOIN e USING (factor) JOIN s USING (factor) JOIN lam USING (factor)")
+def factor_metrics(spark, sf):
+    return fx.factor_metrics(loadings(spark, sf), lambdas(spark, sf))
+
+
+MASS = with_("rload", extra="""m AS (SELECT run, factor, sum(value) AS m FROM rload GROUP BY 1, 2), sh AS (SELECT *, m / sum(m) OVER (PARTITION BY run) AS s FROM m),
+rk AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY s DESC, factor) AS rn FROM sh)""")
+
+
+@query("mass_profile", MASS + f"""SELECT run, {r('sum(m) * sum(m) / sum(m * m)', 'effective_factor_count')}, count(*) FILTER (s >= 0.005) AS mass_ge_floor_factor_count, count(*) FILTER (s >= 0.005) AS primary_factor_count,
+    count(*) FILTER (s >= 0.0025 AND s < 0.005) AS secondary_factor_count, count(*) FILTER (s < 0.0025) AS filtered_factor_count, {r('coalesce(sum(s) FILTER (s < 0.0025), 0)', 'tail_fraction')},
+    {r('avg(CASE WHEN s < 0.0025 THEN 1.0 ELSE 0 END)', 'filtered_fraction')}, {r('max(s)', 'max_mass_fraction')}, {r('sum(s) FILTER (rn <= 5)', 'top5_mass_fraction')} FROM rk GROUP BY 1""")
+def mass_profile(spark, sf):
+    return fx.mass_profile(run_loadings(spark, sf))
+
+
+COS = with_("rload", extra="""ref AS (SELECT key, factor AS ref_factor, value AS v FROM rload WHERE run = 1), nr AS (SELECT run, factor, sqrt(sum(value * value)) AS n FROM rload GROUP BY 1, 2),
+cs AS (SELECT run, ref_factor, factor, sum(value * v) / max(a.n) / max(b.n) AS cosine FROM rload JOIN ref USING (key) JOIN nr a USING (run, factor) JOIN nr b ON b.run = 1 AND b.factor = ref_factor GROUP BY 1, 2, 3)""")
+
+
+def cosines(spark, sf):
+    rl = run_loadings(spark, sf)
+    return fx.factor_cosines(rl, rl.where("run = 1").drop("run", "axis"))
+
+
+@query("factor_cosines", COS + f"SELECT run, ref_factor, factor, {r('cosine', 'cosine')} FROM cs")
+def factor_cosines(spark, sf):
+    return cosines(spark, sf)
+
+
+@query("match_factors")
+def match_factors(spark, sf):
+    return fx.match_factors(cosines(spark, sf))
+
+
+RUNSUM = """rs AS (SELECT l_suppkey AS run, (l_suppkey % 4)::BIGINT AS phi_no, (count(DISTINCT round(l_discount * 100)) - (l_suppkey % 3))::BIGINT AS num_factors, sum(l_extendedprice * l_discount) / 1e6 AS error, sum(l_tax * l_quantity) AS evidence FROM lineitem GROUP BY 1)"""
+
+
+def run_summaries(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(
+        (F.countDistinct(F.round(F.col("l_discount") * 100)) - F.first(F.col("l_suppkey") % 3)).alias("num_factors"),
+        (F.sum(F.col("l_extendedprice") * F.col("l_discount")) / 1e6).alias("error"), F.sum(F.col("l_tax") * F.col("l_quantity")).alias("evidence")).withColumn("phi_no", F.col("run") % 4)
+
+
+MODAL = "md AS (SELECT phi_no, num_factors FROM (SELECT phi_no, num_factors, count(*) AS c, median(error) AS e FROM rs GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY phi_no ORDER BY c DESC, e, num_factors) = 1)"
+
+
+@query("modal_runs", f"WITH {RUNSUM}, {MODAL} SELECT run, phi_no, num_factors, {r('error', 'error')}, {r('evidence', 'evidence')} FROM rs JOIN md USING (phi_no, num_factors)")
+def modal_runs(spark, sf):
+    return fx.modal_runs(run_summaries(spark, sf), ("phi_no",))
+
+
+@query("best_run", f"WITH {RUNSUM} SELECT run, phi_no, num_factors, {r('error', 'error')}, {r('evidence', 'evidence')} FROM rs QUALIFY row_number() OVER (PARTITION BY phi_no ORDER BY evidence, -num_factors, run) = 1")
+def best_run(spark, sf):
+    return fx.best_run(run_summaries(spark, sf), ("phi_no",))
+
+
+CONS = with_("rload", extra="""mt AS (SELECT DISTINCT run, factor, factor AS ref_factor, CASE WHEN (run + factor) % 3 = 0 THEN 0.5 ELSE 0.9 END AS cosine FROM rload),
+gd AS (SELECT * FROM mt WHERE cosine >= 0.7), sup AS (SELECT ref_factor AS factor, count(*) AS support_runs, count(*) / 7.0::DOUBLE AS support_fraction FROM gd GROUP BY 1)""")
+
+
+def fixed_matches(spark, sf):
+    return run_loadings(spark, sf).select("run", "factor").distinct().select("run", "factor", F.col("factor").alias("ref_factor"),
+                                                                            F.when((F.col("run") + F.col("factor")) % 3 == 0, 0.5).otherwise(0.9).alias("cosine"))
+
+
+@query("consensus_loadings", CONS + f"""SELECT axis, key, factor, {r('median(v)', 'value')} FROM (SELECT k.axis, k.key, g.ref_factor AS factor, coalesce(value, 0) AS v FROM
+    (SELECT DISTINCT axis, key, ref_factor FROM rload JOIN gd USING (run, factor)) k JOIN gd g USING (ref_factor) JOIN sup ON sup.factor = ref_factor AND support_fraction >= 0.6 LEFT JOIN rload l ON l.run = g.run AND l.factor = g.factor AND l.key = k.key AND l.axis = k.axis) GROUP BY 1, 2, 3""")
+def consensus_loadings(spark, sf):
+    return fx.consensus(run_loadings(spark, sf), fixed_matches(spark, sf), 7, 0.7, 0.6)[0]
+
+
+@query("consensus_support", CONS + f"SELECT factor, support_runs, {r('support_fraction', 'support_fraction')}, support_fraction >= 0.6 AS kept FROM sup")
+def consensus_support(spark, sf):
+    return fx.consensus(run_loadings(spark, sf), fixed_matches(spark, sf), 7, 0.7, 0.6)[1]
+
+
+def phi_tables(spark, sf):
+    s = run_summaries(spark, sf).withColumn("phi", F.col("phi_no") / 100 + 0.01).drop("phi_no")
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.avg("l_quantity").alias("q"))
+    j = li.withColumn("phi", F.col("run") % 4 / 100 + 0.01)
+    red = j.select("phi", "run", (F.col("d") * 6).alias("redundancy_max"), (F.col("d") * 4).alias("redundancy_q90"), (F.col("d") * 3).alias("redundancy_mean"))
+    mass = j.select("phi", "run", (F.col("q") / 5).alias("effective_factor_count"), *[F.round(F.col("q") / k).alias(c) for k, c in (
+        (5, "mass_ge_floor_factor_count"), (6, "primary_factor_count"), (7, "secondary_factor_count"), (8, "filtered_factor_count"))],
+        F.col("t").alias("tail_fraction"), (F.col("t") / 2).alias("filtered_fraction"), F.col("d").alias("max_mass_fraction"), (F.col("d") * 5).alias("top5_mass_fraction"))
+    stab = j.select("phi", "run", (F.lit(1.0) - F.col("t")).alias("cosine"))
+    return s, stab, red, mass
+
+
+PHI = f"""WITH {RUNSUM}, {MODAL}, li AS (SELECT l_suppkey AS run, avg(l_discount) AS d, avg(l_tax) AS t, avg(l_quantity) AS q FROM lineitem GROUP BY 1),
+mr AS (SELECT rs.*, d, t, q FROM rs JOIN md USING (phi_no, num_factors) JOIN li USING (run)), al AS (SELECT phi_no, count(*) AS a FROM rs GROUP BY 1),
+ps AS (SELECT phi_no / 100.0::DOUBLE + 0.01::DOUBLE AS phi, max(num_factors) AS modal_factor_count, count(*) AS num_modal_runs, count(*) / max(a)::DOUBLE AS run_support, CASE WHEN count(*) > 1 THEN avg(1.0 - t) END AS stability,
+  min(error) AS best_error, min(evidence) AS best_evidence, median(d * 6) AS redundancy_max, median(d * 4) AS redundancy_q90, median(d * 3) AS redundancy_mean, median(q / 5) AS effective_factor_count, median(round(q / 5)) AS mass_ge_floor_factor_count,
+  median(round(q / 6)) AS primary_factor_count, median(round(q / 7)) AS secondary_factor_count, median(round(q / 8)) AS filtered_factor_count, median(t) AS tail_fraction, median(t / 2) AS filtered_fraction, median(d) AS max_mass_fraction,
+  median(d * 5) AS top5_mass_fraction, max(num_factors) >= 11 AS capped FROM mr JOIN al USING (phi_no) GROUP BY phi_no)
+"""
+PCOLS = ["phi", "run_support", "stability", "best_error", "best_evidence", "redundancy_max", "redundancy_q90", "redundancy_mean", "effective_factor_count", "mass_ge_floor_factor_count", "primary_factor_count",
+         "secondary_factor_count", "filtered_factor_count", "tail_fraction", "filtered_fraction", "max_mass_fraction", "top5_mass_fraction"]
+PSEL = ", ".join([r(c, c) for c in PCOLS] + ["modal_factor_count", "num_modal_runs", "capped"])
+
+
+@query("phi_summary", PHI + f"SELECT {PSEL} FROM ps")
+def phi_summary(spark, sf):
+    return fx.phi_summary(*phi_tables(spark, sf), max_factors=11)
+
+
+@query("select_phi", PHI + f""", ok AS (SELECT *, modal_factor_count > 0 AND redundancy_max <= 0.5 AND redundancy_q90 <= 0.35 AND run_support >= 0.1 AS ok FROM ps),
+lv AS (SELECT *, CASE WHEN ok THEN CASE WHEN capped THEN 1 ELSE 0 END ELSE 2 END AS pool FROM ok), l2 AS (SELECT *, min(pool) OVER () AS lev FROM lv), ft AS (SELECT *, best_error <= min(best_error) OVER () * 1.05 + 1e-12 AS fit FROM l2 WHERE pool = lev AND lev < 2),
+bd AS (SELECT *, effective_factor_count >= 0.9 * max(CASE WHEN fit THEN effective_factor_count END) OVER () - 1e-12 AND fit AS band FROM ft)
+SELECT {PSEL}, 'effective_k_tail_band' AS reason FROM bd WHERE band ORDER BY phi DESC LIMIT 1""")
+def select_phi(spark, sf):
+    return fx.select_phi(fx.phi_summary(*phi_tables(spark, sf), max_factors=11), min_run_support=0.1)
+
+
+@query("merge_families")
+def merge_families(spark, sf):
+    return fx.merge_families(fx.factor_metrics(loadings(spark, sf), lambdas(spark, sf)), overlap=(0.45, 0.6), unique=0.2)
+
+
+TOPS = with_("load", extra="""vw AS (SELECT axis, key, factor, 0.5 * value + 0.5 * value / sum(value) OVER (PARTITION BY axis, key) AS value FROM load),
+tp AS (SELECT *, row_number() OVER (PARTITION BY axis, factor ORDER BY round(value, 9) DESC, key) AS rank FROM vw QUALIFY rank <= 5)""")
+
+
+def tops(spark, sf):
+    return fx.factor_tops(loadings(spark, sf), 5)
+
+
+@query("factor_tops", TOPS + f"SELECT axis, factor, key, rank, {r('value', 'value')} FROM tp")
+def factor_tops(spark, sf):
+    return tops(spark, sf)
+
+
+@query("default_label", TOPS + "SELECT factor, string_agg(key, ', ' ORDER BY rank) AS label FROM tp WHERE axis = 'set' AND rank <= 3 GROUP BY 1")
+def default_label(spark, sf):
+    return fx.default_label(tops(spark, sf))
+
+
+@query("factor_weights", with_("et", extra="w AS (SELECT entity_id AS key, trait::VARCHAR AS anchor, 1 / (1 + exp(-(log_bf + ln(0.05::DOUBLE / 0.95)))) AS weight FROM et)") +
+       f"SELECT key, anchor, {r('weight', 'weight')} FROM w UNION ALL SELECT key, 'any', {r('1 - product(1 - weight)', 'weight')} FROM w GROUP BY 1")
+def factor_weights(spark, sf):
+    return fx.factor_weights(entity_trait(spark, sf).select(F.col("entity_id").alias("key"), F.col("trait").alias("anchor"), F.col("log_bf").alias("value")))
+
+
+# ---- solvers --------------------------------------------------------------------------------------------------------
+
+def cells(spark, sf):
+    return membership(spark, sf).select("set_id", "entity_id", F.col("weight").alias("value"))
+
+
+@query("ard_nmf")
+def ard_nmf(spark, sf):
+    return nmf.ard_nmf(cells(spark, sf), 4, [nmf.Run(0, 1, 0.05)], iterations=4).loadings()
+
+
+@query("ard_nmf_weighted_runs")
+def ard_nmf_weighted(spark, sf):
+    w = evidence(spark, sf).select("entity_id", F.lit("returns").alias("anchor"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("log_bf")))).alias("weight"))
+    return nmf.ard_nmf(cells(spark, sf), 3, [nmf.Run(0, 1, 0.05), nmf.Run(1, 2, 0.1)], entity_weights=w, iterations=3).summary
+
+
+@query("consensus_fit")
+def consensus_fit(spark, sf):
+    from evisets.plans.factor import consensus_fit as run, factor_runs
+
+    return run(factor_runs(cells(spark, sf), 3, 3, iterations=3))[0]
+
+
+@query("phi_search")
+def phi_search(spark, sf):
+    from evisets.plans.factor import phi_search as run
+
+    return run(cells(spark, sf), 3, steps=2, fit_options={"iterations": 2})[1]
+
+
+def basis(spark, sf):
+    return loadings(spark, sf).where("axis = 'entity'").select("key", "factor", "value")
+
+
+def profiles(spark, sf):
+    return entity_trait(spark, sf).where("combined > 0").select(F.col("trait").alias("profile"), F.col("entity_id").cast("string").alias("key"), F.col("combined").alias("value"))
+
+
+@query("nnls_project")
+def nnls_project(spark, sf):
+    return nmf.nnls_project(nmf.wide_basis(basis(spark, sf), 11), profiles(spark, sf), 11, max_value=1.0)
+
+
+@query("capture")
+def capture(spark, sf):
+    return nmf.capture(basis(spark, sf), profiles(spark, sf), 11)[0]
+
+
+@query("project_saved")
+def project_saved(spark, sf):
+    from evisets.plans.factor import project_saved as run
+
+    return run(basis(spark, sf), profiles(spark, sf), 11, "binary_thresholded")[0]
+
+
+@query("relevance")
+def relevance(spark, sf):
+    a = entity_trait(spark, sf).select(F.col("entity_id").cast("string").alias("key"), F.col("trait").alias("anchor"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("log_bf")))).alias("weight"))
+    return nmf.relevance(basis(spark, sf), a, 11)
+
+
+# ---- factor x trait -------------------------------------------------------------------------------------------------
+
+def dense_loadings(spark, sf):
+    """Three factors per part, every part present."""
+    p = table(spark, sf, "part")
+    f = F.explode(F.array(F.struct(F.lit(1).alias("factor"), (F.col("p_size") / 50.0).alias("value")),
+                          F.struct(F.lit(2).alias("factor"), (F.col("p_partkey") % 17 / 17.0).alias("value")),
+                          F.struct(F.lit(3).alias("factor"), F.log(F.col("p_retailprice") / 900.0).alias("value"))))
+    return p.select(F.col("p_partkey").alias("entity_id"), f.alias("_f")).select("entity_id", "_f.*")
+
+
+DL = "dl AS (SELECT p_partkey AS entity_id, unnest([1, 2, 3])::BIGINT AS factor, unnest([p_size / 50.0::DOUBLE, p_partkey % 17 / 17.0::DOUBLE, ln(p_retailprice / 900.0::DOUBLE)]) AS value FROM part)"
+HITS = with_("et", extra=DL + """,
+y AS (SELECT d.factor, t.trait, d.value AS x, CASE WHEN combined > 1 THEN 1.0::DOUBLE ELSE 0 END AS y FROM dl d JOIN (SELECT DISTINCT trait FROM et WHERE combined > 1) t ON true LEFT JOIN et e ON e.entity_id = d.entity_id AND e.trait = t.trait),
+f AS (SELECT factor, trait, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, count(*) AS n, sum(y)::BIGINT AS n_hits FROM y GROUP BY 1, 2),
+v AS (SELECT factor, trait, max(b1) AS beta, sqrt(sum(pow((x - mx) / sxx * (y - b0 - b1 * x) / (1 - (1.0 / n + (x - mx) * (x - mx) / sxx)), 2))) AS se, max(n_hits) AS n_hits FROM y JOIN f USING (factor, trait) GROUP BY 1, 2),
+zz AS (SELECT *, beta / se AS z FROM v)""")
+FT = f"factor, trait, {r('beta', 'beta')}, {r('se', 'se')}, n_hits, {r('z', 'z')}, {r(sql_p('z'), 'p')}, {r('CASE WHEN z >= 0 THEN ' + sql_p('z') + ' / 2 ELSE 1 - ' + sql_p('z') + ' / 2 END', 'p_onesided')}"
+
+
+def hits(spark, sf):
+    return fx.thresholded_hits(entity_trait(spark, sf), 1.0)
+
+
+@query("factor_trait_unadjusted", HITS + f"SELECT {FT} FROM zz")
+def factor_trait_unadjusted(spark, sf):
+    return fx.factor_trait_marginal(dense_loadings(spark, sf), hits(spark, sf), None)
+
+
+@query("factor_trait_classical", HITS + f", zc AS (SELECT factor, trait, b1 AS beta, sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS se, n_hits, b1 / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS z FROM f) SELECT {FT} FROM zc")
+def factor_trait_classical(spark, sf):
+    """Classical errors use sums of hits including the intercept."""
+    return fx.factor_trait_marginal(dense_loadings(spark, sf), hits(spark, sf), None, robust=False)
+
+
+def anchor(spark, sf):
+    return universe(spark, sf).join(evidence(spark, sf), "entity_id", "left").select("entity_id", F.coalesce("log_bf", F.lit(0.0)).alias("value"))
+
+
+@query("factor_trait_adjusted")
+def factor_trait_adjusted(spark, sf):
+    return fx.factor_trait_marginal(dense_loadings(spark, sf), hits(spark, sf), anchor(spark, sf))
+
+
+@query("factor_trait_joint")
+def factor_trait_joint(spark, sf):
+    wide = dense_loadings(spark, sf).groupBy("entity_id").agg(*[F.sum(F.when(F.col("factor") == i, F.col("value"))).alias(f"Factor{i}") for i in (1, 2, 3)])
+    wide = wide.join(anchor(spark, sf).withColumnRenamed("value", "anchor"), "entity_id")
+    return fx.factor_trait_joint(wide, ["Factor1", "Factor2", "Factor3"], hits(spark, sf), "anchor")
+
+
+@query("factor_trait_continuous", with_("et", "n", extra=DL + """,
+q AS (SELECT factor, sum(value) / (SELECT n FROM n) AS mx, sum(value * value) AS x2, sum(value) AS sx FROM dl GROUP BY 1), t AS (SELECT trait, sum(log_bf) AS sy, sum(log_bf * log_bf) AS sy2 FROM et GROUP BY 1),
+c AS (SELECT factor, trait, sum(value * log_bf) AS xy FROM dl JOIN et USING (entity_id) GROUP BY 1, 2),
+b AS (SELECT factor, trait, (xy - sx * sy / n) / (x2 - sx * sx / n) AS beta, sqrt((sy2 / n - (sy / n) * (sy / n)) / (n - 1)) / sqrt(x2 / n - mx * mx) AS se FROM c JOIN q USING (factor) JOIN t USING (trait), n),
+zz AS (SELECT *, beta / se AS z FROM b)""") + f"SELECT {FT.replace('n_hits, ', '')} FROM zz")
+def factor_trait_continuous(spark, sf):
+    y = entity_trait(spark, sf).select("entity_id", "trait", F.col("log_bf").alias("value"))
+    return fx.factor_trait_continuous(dense_loadings(spark, sf), y, n_entities(spark, sf))
