@@ -77,10 +77,10 @@ def fn_log_bf(spark, sf):
     return e.withColumn("posterior", scalar.posterior(F.col("log_bf"), CAL.prior_odds))
 
 
-@query("fn_probability_log_odds", f"""WITH e AS (SELECT event_id, value / (value + 20) AS pr FROM events)
+@query("fn_probability_log_odds", f"""WITH e AS (SELECT event_id, 1 - exp(-(value + 1) / 20) AS pr FROM events)
 SELECT event_id, {r('ln(pr / (1 - pr)) - ln(0.05::DOUBLE / 0.95)', 'log_bf')}, {r('pr', 'prob')} FROM e""")
 def fn_prob(spark, sf):
-    e = table(spark, sf, "events").select("event_id", scalar.to_log_bf(F.col("value") / (F.col("value") + 20)).alias("log_bf"))
+    e = table(spark, sf, "events").select("event_id", scalar.to_log_bf(F.lit(1.0) - F.exp(-(F.col("value") + 1) / 20)).alias("log_bf"))
     return e.withColumn("prob", scalar.to_prob(F.col("log_bf")))
 
 

@@ -127,8 +127,8 @@ def loadings(spark, sf):
     """Non-negative loadings: keys of three axes on the discount class of the line (eleven factors)."""
     li = table(spark, sf, "lineitem").select(
         (F.round(F.col("l_discount") * 100) + 1).cast("int").alias("factor"), "l_partkey", "l_suppkey", "l_quantity")
-    e = li.groupBy(F.col("l_partkey").cast("string").alias("key"), "factor").agg((F.sum("l_quantity") / 100.0).alias("value")).withColumn("axis", F.lit("entity"))
-    s = li.groupBy(F.col("l_suppkey").cast("string").alias("key"), "factor").agg((F.sum("l_quantity") / 1000.0).alias("value")).withColumn("axis", F.lit("set"))
+    e = li.groupBy(F.col("l_partkey").cast("string").alias("key"), "factor").agg((F.sqrt(F.sum("l_quantity")) / 10.0).alias("value")).withColumn("axis", F.lit("entity"))
+    s = li.groupBy(F.col("l_suppkey").cast("string").alias("key"), "factor").agg((F.sqrt(F.sum("l_quantity")) / 30.0).alias("value")).withColumn("axis", F.lit("set"))
     return e.select("axis", "key", "factor", "value").unionByName(s.select("axis", "key", "factor", "value"))
 
 
@@ -166,8 +166,8 @@ CTE = {
     "dense": "dense AS (SELECT vec_id AS entity_id, 'dim' || (i - 1)::VARCHAR AS name, embedding[i]::DOUBLE AS value FROM "
              "(SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))",
     "draws": "draws AS (SELECT user_id % 4 AS chain, event_id AS iteration, event_type AS param, value FROM events)",
-    "load": "load AS (SELECT 'entity' AS axis, l_partkey::VARCHAR AS key, (round(l_discount * 100) + 1)::BIGINT AS factor, sum(l_quantity) / 100.0::DOUBLE AS value "
-            "FROM lineitem GROUP BY 2, 3 UNION ALL SELECT 'set', l_suppkey::VARCHAR, (round(l_discount * 100) + 1)::BIGINT, sum(l_quantity) / 1000.0::DOUBLE FROM lineitem GROUP BY 2, 3)",
+    "load": "load AS (SELECT 'entity' AS axis, l_partkey::VARCHAR AS key, (round(l_discount * 100) + 1)::BIGINT AS factor, sqrt(sum(l_quantity)) / 10.0::DOUBLE AS value "
+            "FROM lineitem GROUP BY 2, 3 UNION ALL SELECT 'set', l_suppkey::VARCHAR, (round(l_discount * 100) + 1)::BIGINT, sqrt(sum(l_quantity)) / 30.0::DOUBLE FROM lineitem GROUP BY 2, 3)",
     "rload": "rload AS (SELECT l_linenumber::BIGINT AS run, 'set' AS axis, l_suppkey::VARCHAR AS key, (round(l_discount * 100) + 1)::BIGINT AS factor, "
              "sum(l_quantity) / 100.0::DOUBLE AS value FROM lineitem GROUP BY 1, 3, 4)",
 }
