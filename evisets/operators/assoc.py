@@ -383,10 +383,10 @@ def distance_corr(intervals: DataFrame, y: DataFrame, max_dist: float = 1_000_00
     limit = bins.agg(F.avg("c") + F.stddev_pop("c") * outlier_sd).scalar()
     kept = bins.withColumn("_limit", limit).where((F.col("c") > -F.col("_limit")) & (F.col("c") < F.col("_limit")))
     # sample covariance over population variance, the mixed form of the reference estimate
-    slope = F.covar_samp("x", "c") / F.var_pop("x")
+    slope = F.try_divide(F.covar_samp("x", "c"), F.var_pop("x"))
     fit = kept.agg(slope.alias("s"), F.avg("c").alias("mc"), F.avg("x").alias("mx"))
     fit = fit.withColumn("i", F.col("mc") - F.col("mx") * F.col("s"))
-    usable = (F.col("s") <= 0) & (F.col("i") >= 0)
+    usable = F.coalesce((F.col("s") <= 0) & (F.col("i") >= 0), F.lit(False))
     return fit.select(
         F.when(usable, F.col("s")).otherwise(F.lit(0.0)).alias("slope"),
         F.when(usable, F.col("i")).otherwise(F.lit(0.0)).alias("intercept"),

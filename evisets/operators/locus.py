@@ -105,6 +105,7 @@ def fine_map(assigned: DataFrame, group: str = "signal_id") -> DataFrame:
 
     Signal maxima and sums are grouped aggregates joined back, so a large signal is not windowed in one task.
     """
+    assigned = cut(assigned)
     top = assigned.groupBy(group).agg(F.max("log_bf").alias("_top"))
     e = assigned.join(top, group).withColumn("_e", F.exp(F.col("log_bf") - F.col("_top")))
     total = e.groupBy(group).agg(F.sum("_e").alias("_sum"))
@@ -165,8 +166,9 @@ def signal_entity_prob(fine: DataFrame, links: DataFrame, normalise: bool = True
     raw = fine.select("variant_id", "signal_id", "ppa").join(links, "variant_id").groupBy("signal_id", "entity_id").agg(
         F.sum(F.col("ppa") * F.col("prob")).alias("prob"))
     if normalise:
+        raw = cut(raw)
         total = raw.groupBy("signal_id").agg(F.sum("prob").alias("_t"))
-        raw = raw.join(total, "signal_id").withColumn("prob", F.col("prob") / F.col("_t")).drop("_t")
+        raw = raw.join(total, "signal_id").withColumn("prob", F.coalesce(F.try_divide("prob", "_t"), F.lit(0.0))).drop("_t")
     return raw.withColumn("prob", F.least("prob", F.lit(cap)))
 
 
@@ -182,11 +184,11 @@ def signal_posterior(signal_entity: DataFrame, signals: DataFrame, prior: DataFr
         j = j.join(prior.select("entity_id", F.col("prior_prob").alias("_pi")), "entity_id", "left")
     else:
         j = j.withColumn("_pi", F.lit(None).cast("double"))
-    pi = F.coalesce("_pi", F.lit(background))
-    j = j.withColumn("_w", F.col("bf") * pi / (F.lit(1.0) - pi))
+    pi = F.least(F.coalesce("_pi", F.lit(background)), F.lit(1.0 - 1e-12))
+    j = cut(j.withColumn("_w", F.col("bf") * pi / (F.lit(1.0) - pi)))
     total = j.groupBy("signal_id").agg(F.sum("_w").alias("_t"))
     return j.join(total, "signal_id").join(signals.select("signal_id", "posterior"), "signal_id").select(
-        "signal_id", "entity_id", "bf", (F.col("_w") / F.col("_t") * F.col("posterior")).alias("q"))
+        "signal_id", "entity_id", "bf", (F.coalesce(F.try_divide("_w", "_t"), F.lit(0.0)) * F.col("posterior")).alias("q"))
 
 
 def combine_signals(signal_q: DataFrame, mode: str = "max") -> DataFrame:

@@ -162,11 +162,11 @@ def prune_covariates(df: DataFrame, cols: list[str], max_corr: float = 0.95) ->
     k = len(cols)
     row = df.agg(
         *[F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(cols)],
-        *[F.corr(cols[i], cols[j]).alias(f"c_{i}_{j}") for i in range(k) for j in range(i + 1, k)],
+        *[F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}") for i in range(k) for j in range(i + 1, k)],
     ).first()
     keep = [i for i in range(k) if row[f"v_{i}"] is not None and row[f"v_{i}"] > 1e-8]
     while True:
-        pairs = [(abs(row[f"c_{i}_{j}"] or 0.0), -j) for n, i in enumerate(keep) for j in keep[n + 1:]]
+        pairs = [(abs(row[f"c_{i}_{j}"]) / (row[f"v_{i}"] * row[f"v_{j}"]) ** 0.5, -j) for n, i in enumerate(keep) for j in keep[n + 1:]]
         if not pairs or max(pairs)[0] < max_corr:
             return [cols[i] for i in keep]
         keep.remove(-max(pairs)[1])
@@ -258,7 +258,8 @@ def correct_set_stats(stats: DataFrame, qc: DataFrame, cols: list[str], directio
         high = (F.col("_pv") > F.col("_dv")) & (F.col("_pv") > 0)
         out = out.withColumn("_adj", F.when(high, F.col("_adj") * F.col("_dv") / F.col("_pv")).otherwise(F.col("_adj")))
     inflate = (F.abs("_adj") < F.abs("_z")) & (F.col("beta_tilde") != 0)
-    out = out.withColumn("se", F.when(inflate, F.abs("beta_tilde") / F.abs("_adj")).otherwise(F.col("se")))
+    floor = F.greatest(F.abs("_adj"), F.lit(1e-300))  # an adjusted z of exactly 0 means an unbounded error
+    out = out.withColumn("se", F.when(inflate, F.abs("beta_tilde") / floor).otherwise(F.col("se")))
     zc = F.when(F.col("se") != 0, F.col("beta_tilde") / F.col("se")).otherwise(F.lit(0.0))
     out = with_p(out.withColumn("z", zc))
     return out.drop("_z", "_z2", "_ok", "intercept", "_pv", "_dv", "_adj")

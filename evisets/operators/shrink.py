@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evisets.functions.scalar import SigmoidThreshold, scaled_sigma2, spike_slab, to_prob
 from evisets.operators.assoc import marginal_logistic, marginal_linear, sample_outcomes
 from evisets.operators.sets import entity_degree
-from evisets.plans.iterate import cut
+from evisets.plans.iterate import broadcast_if_small, cut, spread
 
 DEFAULT_P = 0.001
 DEFAULT_POWER = -2.0
@@ -57,11 +57,11 @@ def prior_from_effects(membership: DataFrame, betas: DataFrame, col: str = "beta
 
     Only non-zero effects are joined. ``universe`` adds entities without any live set at the constant.
     """
-    live = betas.where((F.col(col) != 0) & (F.col("scale") > 0)).select(
+    live = cut(betas.where((F.col(col) != 0) & (F.col("scale") > 0)).select(  # read for the sums and for the shift
         "set_id", *groups, (F.col(col) / F.col("scale")).alias("_b"), "mean"
-    )
+    ))
     shift = live.groupBy(*groups).agg(F.sum(F.col("mean") * F.col("_b")).alias("_shift"))
-    sums = membership.join(live.drop("mean"), "set_id").groupBy("entity_id", *groups).agg(
+    sums = membership.join(broadcast_if_small(live.drop("mean")), "set_id").groupBy("entity_id", *groups).agg(
         F.sum(F.col("weight") * F.col("_b")).alias("_xb")
     )
     if universe is not None:
@@ -79,10 +79,10 @@ def correlation_product(membership: DataFrame, betas: DataFrame, n: Column, col:
 
     With u = X (beta / scale), (V beta)_i = (x_i . u / n - mean_i sum_j mean_j beta_j / scale_j) / scale_i.
     """
-    live = betas.where((F.col(col) != 0) & (F.col("scale") > 0)).select(
+    live = cut(betas.where((F.col(col) != 0) & (F.col("scale") > 0)).select(
         "set_id", *groups, (F.col(col) / F.col("scale")).alias("_b"), "mean"
-    )
-    u = membership.join(live.drop("mean"), "set_id").groupBy("entity_id", *groups).agg(
+    ))
+    u = membership.join(broadcast_if_small(live.drop("mean")), "set_id").groupBy("entity_id", *groups).agg(
         F.sum(F.col("weight") * F.col("_b")).alias("_u")
     )
     back = membership.join(u, "entity_id").groupBy("set_id", *groups).agg(
@@ -102,11 +102,12 @@ def shrink_joint(membership: DataFrame, stats: DataFrame, n: Column, rounds: int
     stats carries p_used and sigma2_used. All traits advance together; a trait whose step grows has its damping halved, and a
     trait whose largest step falls below ``tol`` x its largest effect leaves the loop.
     """
-    start = shrink_independent(stats)
+    membership = cut(spread(membership.select("set_id", "entity_id", "weight"), "set_id", "entity_id"))
+    start = cut(shrink_independent(stats))
     keys = ["set_id", "trait"]
-    fixed = cut(start.select(*keys, "beta_tilde", "se", "scale", "mean", "p_used", "sigma2_used"))
-    state = cut(start.select(*keys, F.col("beta_uncorrected").alias("beta"), "postp", "scale", "mean",
-                             F.lit(damping).alias("_w"), F.lit(float("inf")).alias("_last"), F.lit(False).alias("_done")))
+    fixed = start.select(*keys, "beta_tilde", "se", "scale", "mean", "p_used", "sigma2_used")
+    state = start.select(*keys, F.col("beta_uncorrected").alias("beta"), "postp", "scale", "mean",
+                         F.lit(damping).alias("_w"), F.lit(float("inf")).alias("_last"), F.lit(False).alias("_done"))
     for _ in range(rounds):
         active = state.where("not _done")
         vb = correlation_product(membership, active, n)
@@ -226,7 +227,7 @@ def adjust_for_degree(priors: DataFrame, membership: DataFrame, groups: tuple[st
     degree = entity_degree(membership).select("entity_id", "n_sets")
     j = priors.join(degree, "entity_id", "left").fillna(0, ["n_sets"])
     fit = j.groupBy(*groups).agg(
-        (F.covar_samp("prior", "n_sets") / F.var_pop("n_sets")).alias("_slope"), F.avg("prior").alias("_mp"),
+        F.try_divide(F.covar_samp("prior", "n_sets"), F.var_pop("n_sets")).alias("_slope"), F.avg("prior").alias("_mp"),
         F.avg("n_sets").alias("_mn"),
     )
     slope = F.coalesce(F.col("_slope"), F.lit(0.0))
@@ -290,11 +291,11 @@ def loco_priors(membership: DataFrame, y: DataFrame, folds: DataFrame, p: float
                 power: float | None = DEFAULT_POWER) -> DataFrame:
     """Leave-one-fold-out priors: effects fitted without an entity's own fold (chromosome), applied to it."""
     fits = shrink_independent(with_hyper(fold_stats(membership, y, folds), p, sigma2, power))
-    live = fits.where((F.col("beta_uncorrected") != 0) & (F.col("scale") > 0)).withColumn(
-        "_b", F.col("beta_uncorrected") / F.col("scale"))
+    live = cut(fits.where((F.col("beta_uncorrected") != 0) & (F.col("scale") > 0)).select(
+        "set_id", "trait", "fold", "mean", (F.col("beta_uncorrected") / F.col("scale")).alias("_b")))
     shift = live.groupBy("trait", "fold").agg(F.sum(F.col("mean") * F.col("_b")).alias("_shift"))
     own = membership.join(folds.select("entity_id", "fold"), "entity_id").join(
-        live.select("set_id", "trait", "fold", "_b"), ["set_id", "fold"])
+        broadcast_if_small(live.select("set_id", "trait", "fold", "_b")), ["set_id", "fold"])
     sums = own.groupBy("entity_id", "trait", "fold").agg(F.sum(F.col("weight") * F.col("_b")).alias("_xb"))
     return sums.join(shift, ["trait", "fold"]).select(
         "entity_id", "trait", "fold", (F.col("_xb") - F.col("_shift")).alias("prior"))
@@ -313,9 +314,9 @@ def cv_sigma(membership: DataFrame, y: DataFrame, folds: DataFrame, grid: list[f
     n = folds.agg(F.count("*")).scalar()
     full = set_moments(membership.join(folds.select("entity_id"), "entity_id", "left_semi"), n).select(
         "set_id", F.col("scale").alias("_scale"))
-    live = fits.join(full, "set_id").where("_scale > 0").select(
-        "set_id", "trait", "fold", "sigma2", (F.col("beta_uncorrected") / F.col("_scale")).alias("_b"))
-    pred = membership.join(folds.select("entity_id", "fold"), "entity_id").join(live, ["set_id", "fold"]).groupBy(
+    live = cut(fits.join(full, "set_id").where("_scale > 0").select(
+        "set_id", "trait", "fold", "sigma2", (F.col("beta_uncorrected") / F.col("_scale")).alias("_b")))
+    pred = membership.join(folds.select("entity_id", "fold"), "entity_id").join(broadcast_if_small(live), ["set_id", "fold"]).groupBy(
         "entity_id", "trait", "sigma2").agg(F.sum(F.col("weight") * F.col("_b")).alias("_pred"))
     means = y.groupBy("trait").agg(F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_s2")).withColumn("_n", n)
     # sum (pred - (y - m))^2 = sum (y - m)^2 + sum pred^2 - 2 sum pred (y - m): entities without a prediction need no row

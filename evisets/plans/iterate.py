@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -20,3 +21,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise reliably and drop the lineage, so that a loop's plan stays flat and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows evenly over the session's shuffle partitions.
+
+    Adaptive execution merges small inputs into few tasks; before a join that multiplies rows that would leave most cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a materialised narrow table after counting it; a larger one is joined by shuffle.
+
+    Give it the result of ``cut``: the count then reads stored rows only.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evisets.operators import assoc, prune, sets, shrink
 from evisets.operators.ordered import bh_q
-from evisets.plans.iterate import cut
+from evisets.plans.iterate import cut, spread
 
 
 @dataclass
@@ -33,6 +33,7 @@ def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: flo
     effect; only kept ones feed the priors.
     """
     n = universe.agg(F.count("*")).scalar()
+    membership, y = cut(spread(membership.select("set_id", "entity_id", "weight"), "set_id", "entity_id")), cut(y.select("entity_id", "trait", "value"))
     inside = membership.join(universe.select("entity_id"), "entity_id", "left_semi")
     stats = sets.prefilter(sets.filter_size(assoc.marginal_linear(inside, y, n), min_size, max_size), max_p)
     if prune_at is not None:
@@ -46,7 +47,7 @@ def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: flo
         stats = shrink.with_hyper(stats.join(h, "trait", "left"), F.coalesce("_p", F.lit(p)), F.coalesce("_s", F.lit(sigma2)), power).drop("_p", "_s")
     else:
         stats = shrink.with_hyper(stats, p, sigma2, power)
-    fit = shrink.shrink_independent(stats, shrink.DEFAULT_SPARSE_FRACTION)
+    fit = cut(shrink.shrink_independent(stats, shrink.DEFAULT_SPARSE_FRACTION))
     kept = F.col("status") == "kept"
     if joint_rounds:
         joint = shrink.shrink_joint(inside, stats.where(kept), n, joint_rounds, sparse_fraction=shrink.DEFAULT_SPARSE_FRACTION)
