@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisets.functions.scalar import SigmoidThreshold, scaled_sigma2, spike_slab, to_prob
-from evisets.operators.assoc import marginal_logistic, marginal_linear, sample_outcomes
+from evisets.operators.assoc import MAX_TRAIT_AXIS, marginal_logistic, marginal_linear, sample_outcomes
 from evisets.operators.sets import entity_degree
 from evisets.plans.iterate import broadcast_if_small, cut, spread
 
@@ -65,6 +65,8 @@ def prior_from_effects(membership: DataFrame, betas: DataFrame, col: str = "beta
         F.sum(F.col("weight") * F.col("_b")).alias("_xb")
     )
     if universe is not None:
+        if shift.count() > MAX_TRAIT_AXIS:
+            raise ValueError("too many traits for the entity x trait grid; leave universe out and add the constant where needed")
         axis = shift.agg(F.collect_list(F.struct(*groups, "_shift"))).scalar()  # one entry per trait
         grid = universe.select("entity_id").distinct().withColumn("_g", F.explode(axis)).select("entity_id", "_g.*")
         joined = grid.join(sums, ["entity_id", *groups], "left")

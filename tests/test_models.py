@@ -113,7 +113,7 @@ def test_correlation_product_and_joint_fixed_point(spark):
     vec = np.array([b[j].beta_tilde for j in range(6)])
     got = {r.set_id: r.v_beta for r in shrink.correlation_product(m, stats, n, "beta_tilde").collect()}
     assert np.allclose([got[j] for j in range(6)], dense_v(X) @ vec)
-    fit = {r.set_id: r.beta for r in shrink.shrink_joint(m, stats, n, rounds=40, tol=1e-6).collect()}
+    fit = {r.set_id: r.beta for r in shrink.shrink_joint(m, stats, n, rounds=14, tol=1e-6).collect()}
     beta = np.array([fit[j] for j in range(6)])
     resid = vec - (dense_v(X) @ beta - beta)
     for j in range(6):
