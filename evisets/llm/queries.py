@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.llm import bpe
+from evisets.llm import bpe, simhash
 from evisets.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -29,3 +29,9 @@ def word_vocabulary() -> str:
 def op4(spark, sf):
     e = bpe.encode(table(spark, sf, "documents"), word_vocabulary())
     return e.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op10_simhash_gray_index")
+def op10(spark, sf):
+    d = simhash.near_duplicates(table(spark, sf, "documents"))
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
