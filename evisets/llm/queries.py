@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.llm import bpe, simhash
-from evisets.llm.common import table
+from evisets.llm import bpe, langid, simhash
+from evisets.llm.common import remainder, table
 
 QUERIES, SQL = {}, {}
 
@@ -35,3 +35,11 @@ def op4(spark, sf):
 def op10(spark, sf):
     d = simhash.near_duplicates(table(spark, sf, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op6_language_viterbi")
+def op6(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
+    model = langid.fit(docs.where("not held_out"))
+    p = langid.predict(docs, model)
+    return p.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "spans")
