@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.llm import bpe, langid, simhash
+from evisets.llm import bpe, langid, pii, simhash
 from evisets.llm.common import remainder, table
 
 QUERIES, SQL = {}, {}
@@ -43,3 +43,11 @@ def op6(spark, sf):
     model = langid.fit(docs.where("not held_out"))
     p = langid.predict(docs, model)
     return p.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "spans")
+
+
+@query("op3_pii_bootstrap")
+def op3(spark, sf):
+    s = pii.spans(table(spark, sf, "documents"))
+    counts = [F.expr(f"bigint(size(filter(base, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
+    return s.select("doc_id", *counts, F.sha2(F.encode(pii.joined("base"), "UTF-8"), 256).alias("base_sha256"),
+                    pii.joined("concat(base, added)").alias("spans"), F.size("added").cast("long").alias("n_added"))
