@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.llm import bpe, langid, pii, simhash
+from evisets.llm import bpe, ctw, langid, pii, simhash
 from evisets.llm.common import remainder, table
 
 QUERIES, SQL = {}, {}
@@ -51,3 +51,9 @@ def op3(spark, sf):
     counts = [F.expr(f"bigint(size(filter(base, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
     return s.select("doc_id", *counts, F.sha2(F.encode(pii.joined("base"), "UTF-8"), 256).alias("base_sha256"),
                     pii.joined("concat(base, added)").alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@query("op1_context_tree_weighting")
+def op1(spark, sf):
+    s = ctw.score(table(spark, sf, "documents"), remainder(F.col("doc_id"), 10) != 0, files=True)
+    return s.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
