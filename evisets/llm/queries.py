@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.llm import bpe, ctw, langid, pii, simhash
+from evisets.llm import bpe, ctw, langid, pii, simhash, warc
 from evisets.llm.common import remainder, table
 
 QUERIES, SQL = {}, {}
@@ -57,3 +57,14 @@ def op3(spark, sf):
 def op1(spark, sf):
     s = ctw.score(table(spark, sf, "documents"), remainder(F.col("doc_id"), 10) != 0, files=True)
     return s.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query("op9_warc_capture_index", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM s WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM s LEFT JOIN f USING (payload_digest)""")
+def op9(spark, sf):
+    return warc.archived(table(spark, sf, "pages"))
