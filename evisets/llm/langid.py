@@ -7,9 +7,7 @@ language is the log probability of its letters' grams. Languages that hardly use
 
 from __future__ import annotations
 
-import bisect
 import functools
-import zlib
 from collections import Counter
 from typing import NamedTuple
 
@@ -26,31 +24,49 @@ SCRIPT_RANGES = (
     (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0xAC00, 0xD7AF, "hangul"), (0xF900, 0xFAFF, "han"),
 )
 SCRIPTS = (*dict.fromkeys(s for _, _, s in SCRIPT_RANGES), "other")
-STARTS = [a for a, _, _ in SCRIPT_RANGES]
 BUCKETS = 1 << 15
 SMOOTH = 0.5
 SHARE = 0.01  # a language is a candidate for a script in which it writes at least this share of its words
 OUTSIDE = -40.0  # score of a word in a language that is no candidate
 PENALTY = 14.0
-KEEP_CHARS, KEEP_ENTRIES = 48, 300_000
-CELLS = 1 << 24  # words x languages looked at together
+KEEP_ENTRIES = 300_000
+CELLS = 1 << 22  # words x languages looked at together
+SLICE = 50_000  # words whose grams are built together
 
 
-def script_of(letter: str) -> int:
-    at = bisect.bisect_right(STARTS, ord(letter)) - 1
-    name = SCRIPT_RANGES[at][2] if at >= 0 and ord(letter) <= SCRIPT_RANGES[at][1] else "other"
-    return SCRIPTS.index(name)
-
-
-def letters_of(word: str) -> str:
-    return word if word.isalpha() else "".join(filter(str.isalpha, word))
-
-
-def grams(letters: str) -> list[int]:
-    """Buckets of the 1-, 2- and 3-grams of the lower-cased letters between blanks."""
-    w = f" {letters.lower()} ".encode("utf-32-le", "surrogatepass")
-    n = len(w) // 4
-    return [zlib.crc32(w[4 * i : 4 * (i + k)]) % BUCKETS for k in (1, 2, 3) for i in range(k == 1, n - k + 1 - (k == 1))]
+@functools.lru_cache(1)
+def letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter, and its script."""
+    isalpha = np.frombuffer(bytes(map(str.isalpha, map(chr, range(0x110000)))), bool)
+    script = np.full(0x110000, SCRIPTS.index("other"), np.uint8)
+    for first, last, name in SCRIPT_RANGES:
+        script[first : last + 1] = SCRIPTS.index(name)
+    return isalpha, script
+
+
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For non-empty words without white space: (word, bucket) of each 1-, 2- and 3-gram of their lower-cased letters between blanks; the
+    letters per word, and the script of most of them."""
+    isalpha, script = letter_tables()
+    n = len(words)
+    code = np.frombuffer(f" {' '.join(words)} ".lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = code == 32
+    keep = isalpha[code] | blank
+    code, blank = code[keep].astype(np.uint64), blank[keep]
+    owner = np.cumsum(blank) - 1  # a blank belongs to the word after it
+    letter = np.flatnonzero(~blank)
+    k = len(SCRIPTS)
+    scripts = np.bincount(owner[letter] * k + script[code[letter].astype(np.int64)], minlength=n * k).reshape(n, k)
+
+    def mix(x):
+        return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64)  # the top 15 bits
+
+    b, c, d = code[letter - 1], code[letter], code[letter + 1]
+    last = np.flatnonzero(d == 32)
+    own = owner[letter]
+    pairs, ends = b * np.uint64(1 << 21) + c + np.uint64(1 << 42), c[last] * np.uint64(1 << 21) + np.uint64(32) + np.uint64(1 << 42)
+    triples = (b * np.uint64(0x1F1F1F1F) + c) * np.uint64(0x2545F491) + d + np.uint64(1 << 60)
+    return np.concatenate([own, own, own[last], own]), np.concatenate([mix(c), mix(pairs), mix(ends), mix(triples)]), scripts.sum(1), scripts.argmax(1)
 
 
 class Model(NamedTuple):
@@ -58,17 +74,17 @@ class Model(NamedTuple):
     score: np.ndarray  # languages x buckets, log probability
     allowed: np.ndarray  # scripts x languages
 
-    def word(self, word: str) -> tuple[np.ndarray, int]:
-        """Scores and number of letters; without letters, or in a script no language uses, a word tells nothing."""
-        letters = letters_of(word)
-        if not letters:
-            return np.zeros(len(self.langs), np.float32), 0
-        may = self.allowed[Counter(map(script_of, letters)).most_common(1)[0][0]]
-        if not may.any():
-            return np.zeros(len(self.langs), np.float32), len(letters)
-        s = self.score[:, grams(letters)].sum(1)
-        s = s - s[may].max()
-        return np.where(may, np.maximum(s, OUTSIDE), OUTSIDE).astype(np.float32), len(letters)
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and numbers of letters; without letters, or in a script no language uses, a word tells nothing."""
+        if len(words) > SLICE:
+            s, letters = zip(*(self.words(words[i : i + SLICE]) for i in range(0, len(words), SLICE)))
+            return np.concatenate(s), np.concatenate(letters)
+        owner, bucket, letters, script = word_grams(words)
+        s = np.stack([np.bincount(owner, lang[bucket], len(words)) for lang in self.score], 1)
+        may = self.allowed[script] & (letters > 0)[:, None]
+        best = np.where(may, s, -np.inf).max(1, keepdims=True, initial=-np.inf)
+        s = np.where(may, np.maximum(s - best, OUTSIDE), OUTSIDE)
+        return np.where(may.any(1)[:, None], s, 0).astype(np.float32), letters
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -83,13 +99,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 words.setdefault(l, Counter()).update(t.as_py().split())
             for l, c in words.items():
                 have = total.setdefault(l, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
-                ids, times = [], []
-                for w, n in c.items():
-                    if letters := letters_of(w):
-                        g = [*grams(letters), BUCKETS + Counter(map(script_of, letters)).most_common(1)[0][0]]
-                        ids += g
-                        times += [n] * len(g)
-                have += np.bincount(np.array(ids, np.int64), np.array(times, np.float64), len(have)).astype(np.int64)
+                distinct, times = [*c], np.fromiter(c.values(), np.float64, len(c))
+                for i in range(0, len(distinct), SLICE):
+                    owner, bucket, letters, script = word_grams(distinct[i : i + SLICE])
+                    n = times[i : i + SLICE]
+                    have[:BUCKETS] += np.bincount(bucket, n[owner], BUCKETS).astype(np.int64)
+                    have[BUCKETS:] += np.bincount(script, n * (letters > 0), len(SCRIPTS)).astype(np.int64)
         for l, have in total.items():
             at = np.flatnonzero(have)
             yield pa.record_batch([pa.array([l] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], ["lang", "bucket", "n"])
@@ -101,11 +116,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     n, scripts = n[:, :BUCKETS], n[:, BUCKETS:]
     score = np.log((n + SMOOTH) / (n.sum(1, keepdims=True) + SMOOTH * BUCKETS))
     allowed = scripts >= SHARE * np.maximum(1, scripts.sum(1, keepdims=True))
-    return Model(langs, score.astype(np.float32), allowed.T)
+    return Model(langs, score, allowed.T)
 
 
 class Words(dict):
-    """Word to its row in the arrays of scores and letters."""
+    """Word to its row in the arrays of scores and letters; emptied when full."""
 
     def __init__(self, model: Model):
         super().__init__()
@@ -114,16 +129,18 @@ class Words(dict):
 
     def reset(self):
         self.clear()
-        self.scores, self.letters = [], []
+        self.scores, self.letters = np.zeros((0, len(self.model.langs)), np.float32), np.zeros(0, np.int64)
 
-    def __missing__(self, word: str) -> int:
-        s, n = self.model.word(word)
-        self.scores.append(s)
-        self.letters.append(n)
-        at = len(self.scores) - 1
-        if len(word) <= KEEP_CHARS:
-            self[word] = at
-        return at
+    def rows(self, words: list[str]) -> np.ndarray:
+        new = list({*words} - self.keys())
+        if len(self) + len(new) > KEEP_ENTRIES:
+            self.reset()
+            new = list({*words})
+        if new:
+            s, n = self.model.words(new)
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            self.scores, self.letters = np.concatenate([self.scores, s]), np.concatenate([self.letters, n])
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
@@ -158,13 +175,12 @@ def label(model: Model, words: Words, texts: list[str | None], penalty: float):
     """For each text: language, score and spans as lang:first word:end."""
     sizes, ids = [], []
     for t in texts:
-        w = list(map(words.__getitem__, t.split())) if t else []
+        w = t.split() if t else []
         sizes.append(len(w))
         ids += w
-    ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
-    n, k = len(texts), len(model.langs)
-    letters = np.array(words.letters, np.int64)[ids] if len(ids) else np.zeros(0, np.int64)
-    states = viterbi(np.array(words.scores, np.float32)[ids], sizes, penalty) if len(ids) else np.zeros(0, np.int16)
+    ids, sizes = words.rows(ids), np.array(sizes, np.int64)
+    n, k = len(texts), max(1, len(model.langs))
+    letters, states = words.letters[ids], viterbi(words.scores[ids], sizes, penalty)
     owner = np.repeat(np.arange(n), sizes)
     mass = np.bincount(owner * k + states, letters, n * k).reshape(n, k)
     total = mass.sum(1)
@@ -198,8 +214,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
         for b in batches:
             out, some, size = [], [], 0
             for t in b.column(1):
-                if len(words.scores) >= KEEP_ENTRIES and not some:
-                    words.reset()
                 t = t.as_py()
                 some.append(t if m.langs else None)
                 size += len(t or "") // 5 * max(1, len(m.langs))
