@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.llm import bpe, ctw, langid, pii, simhash, warc
+from evisets.llm import bpe, ctw, langid, pii, simhash, vamana, warc
 from evisets.llm.common import remainder, table
 
 QUERIES, SQL = {}, {}
@@ -68,3 +68,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first
 FROM s LEFT JOIN f USING (payload_digest)""")
 def op9(spark, sf):
     return warc.archived(table(spark, sf, "pages"))
+
+
+@query("op8_vamana_graph")
+def op8(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return vamana.nearest(e, e.where("vec_id % 20 = 0"))
