@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.llm import bpe, ctw, langid, pii, simhash, vamana, warc
-from evisets.llm.common import remainder, table
+from evisets.llm import bpe, ctw, decision_list, langid, ordinal, pii, simhash, vamana, warc
+from evisets.llm.common import remainder, stored, table
 
 QUERIES, SQL = {}, {}
 
@@ -74,3 +74,18 @@ def op9(spark, sf):
 def op8(spark, sf):
     e = table(spark, sf, "embeddings")
     return vamana.nearest(e, e.where("vec_id % 20 = 0"))
+
+
+@query("op5_decision_list")
+def op5(spark, sf):
+    m = stored(decision_list.measure(table(spark, sf, "documents")), "quality-counts")
+    rules = decision_list.fit(m, table(spark, sf, "labels"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+                    F.when(failed, False).otherwise(decision_list.verdict(rules)).alias("kept"))
+
+
+@query("op7_toxicity_ordinal")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents")
+    return ordinal.predict(docs, ordinal.fit(docs, table(spark, sf, "labels")))
