@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: First and last code point of blocks, and the script they belong to; fixed values of Unicode.
 SCRIPT_RANGES = (
@@ -197,23 +198,24 @@ def label(model: Model, words: Words, texts: list[str | None], penalty: float):
         yield model.langs[best], float(mass[i, best] / total[i]), spans
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score, spans.
+def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """One row per row of ``docs``: the columns ``keep``, and lang_pred, score, spans, their names behind ``prefix``.
 
     lang_pred is the language of most letters on the best path, score its share of the letters (0 to 1), spans the labelled runs of words. A null
     text, one without letters, or a model without languages gives ``und``, 0 and no spans. Ties go to the language first in order. Other
     columns are ignored; each row is labelled by itself, without a shuffle.
     """
-    narrow = docs.select("doc_id", F.col(text).alias("text"))
+    carried = docs.select(*(F.col(c) for c in keep), F.col(text).alias("_read"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans string"
+    names = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}spans"]
+    schema = StructType([*carried.schema.fields[:-1], StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], StringType())])
 
     def rows(batches):
         m = sent.value
         words = words_of(sent)
         for b in batches:
             out, some, size = [], [], 0
-            for t in b.column(1):
+            for t in b.column(len(keep)):
                 t = t.as_py()
                 some.append(t if m.langs else None)
                 size += len(t or "") // 5 * max(1, len(m.langs))
@@ -221,10 +223,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                     out += label(m, words, some, penalty)
                     some, size = [], 0
             out += label(m, words, some, penalty)
-            yield pa.record_batch([b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
-                                   pa.array([x[2] for x in out], pa.string())], ["doc_id", "lang_pred", "score", "spans"])
+            yield pa.record_batch([*b.columns[:-1], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
+                                   pa.array([x[2] for x in out], pa.string())], [*keep, *names])
 
-    return narrow.mapInArrow(rows, schema)
+    return carried.mapInArrow(rows, schema)
 
 
 @functools.lru_cache(1)

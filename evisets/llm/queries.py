@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.llm import bpe, ctw, decision_list, langid, ordinal, pii, simhash, vamana, warc
+from evisets.llm import bpe, ctw, decision_list, langid, mixing, ordinal, pii, simhash, vamana, warc
 from evisets.llm.common import remainder, stored, table
 
 QUERIES, SQL = {}, {}
@@ -89,3 +89,55 @@ def op5(spark, sf):
 def op7(spark, sf):
     docs = table(spark, sf, "documents")
     return ordinal.predict(docs, ordinal.fit(docs, table(spark, sf, "labels")))
+
+
+DOMAIN = "CASE WHEN try_cast(substring(source, 4) AS int) < 8 THEN 'web' WHEN try_cast(substring(source, 4) AS int) < 14 THEN 'books' ELSE 'code' END"
+WEIGHTS = {"domain": {"web": 5.0, "books": 3.0, "code": 2.0}, "lang": {"en": 6.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
+
+
+def mixture(spark):
+    """Arguments of the mixer: weights per level, all tokens as target, the domain of a source."""
+    values = lambda level, names: ", ".join(f"('{k}', {v}d)" for k, v in names.items())
+    weights = {level: spark.sql(f"SELECT * FROM VALUES {values(level, names)} AS t({level}, weight)") for level, names in WEIGHTS.items()}
+    return weights, F.sum("tokens"), F.expr(DOMAIN)
+
+
+def fill_sql(i: int, child: str, given: str) -> str:
+    """SQL of one level of the budget tree: children fill in order of room by weight."""
+    keys, parent, w = ", ".join(mixing.LEVELS[: i + 1]), ", ".join(mixing.LEVELS[:i]), f"{mixing.LEVELS[i]}_weight"
+    over = f"PARTITION BY {parent}" if parent else ""
+    return f"""(WITH a AS (SELECT c.*, g.given AS whole_given, room / {w} AS ratio FROM {child} c JOIN {given} g {f'USING ({parent})' if parent else 'ON true'}),
+b AS (SELECT *, (whole_given - coalesce(sum(room) OVER ({over} ORDER BY ratio, {keys} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum({w}) OVER ({over} ORDER BY ratio, {keys} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM a),
+d AS (SELECT *, min(CASE WHEN ratio > unit THEN struct_pack(ratio, {', '.join(f'{k} := {k}' for k in mixing.LEVELS[: i + 1])}, unit) END) OVER ({over}) AS rest FROM b)
+SELECT {keys}, CASE WHEN ratio <= unit THEN room ELSE greatest(rest.unit, 0) * {w} END AS given{', tokens' if i == 2 else ''} FROM d)""".replace("struct_pack(ratio,", "struct_pack(ratio := ratio,").replace(", unit) END", ", unit := unit) END")
+
+
+def case_sql(level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in WEIGHTS.get(level, {"": 1.0}).items()) + " ELSE 1::DOUBLE END"
+
+
+MIX_SQL = f"""
+WITH t AS (SELECT doc_id, {DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+n2 AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, {mixing.EPOCHS} * sum(tokens)::DOUBLE AS room, 1::DOUBLE AS source_weight FROM t GROUP BY ALL),
+n1 AS (SELECT domain, lang, {case_sql('lang')} AS lang_weight, sum(room) AS room FROM n2 GROUP BY ALL),
+n0 AS (SELECT domain, {case_sql('domain')} AS domain_weight, sum(room) AS room FROM n1 GROUP BY ALL),
+r AS (SELECT least(sum(room), (SELECT sum(tokens) FROM t))::DOUBLE AS given FROM n0),
+g0 AS {fill_sql(0, 'n0', 'r')},
+g1 AS {fill_sql(1, 'n1', 'g0')},
+g2 AS {fill_sql(2, 'n2', 'g1')},
+p AS (SELECT domain, lang, source, least(floor(given + 1e-6)::BIGINT, {mixing.EPOCHS} * tokens) AS budget, tokens AS held FROM g2),
+q AS (SELECT *, CASE WHEN held > 0 THEN budget // held ELSE 0 END AS whole FROM p),
+o AS (SELECT t.*, q.whole, q.budget - q.whole * q.held AS rest, md5(concat('{mixing.SEED}:', q.whole, ':', doc_id)) AS key FROM t JOIN q USING (domain, lang, source)),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM o)
+SELECT doc_id, domain, lang, source, tokens, (whole + CASE WHEN begins < rest THEN 1 ELSE 0 END)::INT AS copies,
+       (whole * tokens + CASE WHEN begins < rest THEN least(tokens, rest - begins) ELSE 0 END)::BIGINT AS taken
+FROM s WHERE whole > 0 OR begins < rest"""
+
+
+@query("op2_hierarchical_mix", MIX_SQL)
+def op2(spark, sf):
+    m = mixing.mix(table(spark, sf, "documents"), *mixture(spark))
+    names = {"domain": "_domain", "lang": "lang", "source": "source", "tokens": "_tokens", "copies": "_copies", "taken": "_taken"}
+    return m.where("_copies > 0").select("doc_id", *(F.col(c).alias(k) for k, c in names.items()))
