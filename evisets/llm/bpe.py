@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 import unicodedata
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-tokenizer's pattern of the word-end vocabulary, fixed value.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 ENDED = 0x2000  # added to the code of a word's last symbol
-KEEP_CHARS, KEEP_ENTRIES = 64, 400_000  # the cache of each Python worker: bounded, and it never changes a result
+KEEP_CHARS, KEEP_ENTRIES = 64, 150_000  # the cache of each Python worker: bounded, and it never changes a result
 INF = 1 << 60
 
 
@@ -32,6 +33,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Vocabulary:
     """Tokens, merge ranks and the automaton, from a tokenizer file of the word-end kind."""
 
@@ -111,7 +116,7 @@ class Vocabulary:
                 pair = (last[start], token)
                 ok = fits.get(pair)
                 if ok is None:
-                    if len(fits) >= KEEP_ENTRIES:
+                    if len(fits) >= 2 * KEEP_ENTRIES:
                         fits.clear()
                     ok = fits[pair] = self.adjacent(*pair)
                 if not ok:
@@ -127,21 +132,29 @@ class Vocabulary:
         """Text between white space; Python's own split also takes four control characters for white space."""
         return [x for x in self.gaps.split(text) if x] if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else text.split()
 
-    def chunk(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str, chunks: Chunks | None = None) -> bytes:
         """Ids of text without white space, as little-endian 32-bit integers."""
         text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return b"".join(i.to_bytes(4, "little") for w in self.pieces.findall(text) for i in self.word(w))
+        pieces = self.pieces.findall(text)
+        if chunks is not None and (len(pieces) > 1 or text != chunk):
+            return b"".join(chunks[w] if w.isascii() and w.isalpha() else packed(self.word(w)) for w in pieces)  # such a piece is a chunk too
+        return b"".join(packed(self.word(w)) for w in pieces)
 
 
 class Chunks(dict):
+    """Ids by chunk, in two generations: when the young one is full it becomes the old one, so chunks in use stay."""
+
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.vocabulary.chunk(chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.vocabulary.chunk(chunk, self)
         if len(chunk) <= KEEP_CHARS:
             if len(self) >= KEEP_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +39,9 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def released(batches):
+    """Pass results on; when the task ends, give the memory of its tables back. Python workers live on, and their memory counts for the executor."""
+    yield from batches
+    pa.default_memory_pool().release_unused()

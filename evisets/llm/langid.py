@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from evisets.llm.common import released
+
 #: First and last code point of blocks, and the script they belong to; fixed values of Unicode.
 SCRIPT_RANGES = (
     (0x0041, 0x024F, "latin"), (0x0370, 0x03FF, "greek"), (0x0400, 0x052F, "cyrillic"), (0x0530, 0x058F, "armenian"), (0x0590, 0x05FF, "hebrew"),
@@ -30,8 +32,8 @@ SMOOTH = 0.5
 SHARE = 0.01  # a language is a candidate for a script in which it writes at least this share of its words
 OUTSIDE = -40.0  # score of a word in a language that is no candidate
 PENALTY = 14.0
-KEEP_ENTRIES = 300_000
-CELLS = 1 << 22  # words x languages looked at together
+KEEP_ENTRIES = 200_000
+CELLS = 1 << 21  # words x languages looked at together
 SLICE = 50_000  # words whose grams are built together
 
 
@@ -110,7 +112,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             at = np.flatnonzero(have)
             yield pa.record_batch([pa.array([l] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], ["lang", "bucket", "n"])
 
-    counts = narrow.mapInArrow(rows, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = narrow.mapInArrow(lambda batches: released(rows(batches)), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(counts.lang.unique()))
     n = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
     n[np.searchsorted(langs, counts.lang) if langs else [], counts.bucket] = counts.n
@@ -225,8 +227,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
             out += label(m, words, some, penalty)
             yield pa.record_batch([*b.columns[:-1], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
                                    pa.array([x[2] for x in out], pa.string())], [*keep, *names])
+        words.reset()
 
-    return carried.mapInArrow(rows, schema)
+    return carried.mapInArrow(lambda batches: released(rows(batches)), schema)
 
 
 @functools.lru_cache(1)

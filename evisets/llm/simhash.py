@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisets.llm.common import stored
+from evisets.llm.common import released, stored
 from evisets.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 3
 SHARD = 8192  # members of a shard on average
 FAN, PIECE = 16, 1 << 20  # children of a node; pairs looked at together
-SLICE = 1 << 16  # shingles hashed together
+SLICE = 1 << 14  # shingles hashed together
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return narrow.mapInArrow(rows, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return narrow.mapInArrow(lambda batches: released(rows(batches)), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
