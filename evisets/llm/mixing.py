@@ -78,13 +78,13 @@ def mix(docs: DataFrame, weights: dict[str, DataFrame], target: Column, domain:
     A row is taken by every whole epoch of its leaf and by the last, partial one if it begins before the budget ends; there only the tokens up to
     the budget count as taken, while its text stays whole. A null domain, language or source is the name ''. Rows without tokens go along where
     they begin within the budget. Rows with one doc_id have one place in the order, the shorter first. An empty table gives an empty one;
-    columns of ``docs`` that begin with _ and have these names are replaced. The tree has a row per leaf; it is joined by its size.
+    columns of ``docs`` with these names are replaced. The tree has a row per leaf; it is joined by its size.
     """
     own = docs.columns
     df = docs.withColumn("_domain", F.coalesce(domain if domain is not None else F.lit(""), F.lit("")))
-    df = df.withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    df = df.withColumn("_mix_lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("_mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     df = df.withColumn("_tokens", tokens_of(text))
-    narrow = stored(df.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("tokens")), "mix-tokens")
+    narrow = stored(df.select("doc_id", F.col("_domain").alias("domain"), F.col("_mix_lang").alias("lang"), F.col("_mix_source").alias("source"), F.col("_tokens").alias("tokens")), "mix-tokens")
     leaves = stored(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
     plan = budgets(leaves, weights, target, epochs)
     plan = stored(plan.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).cast("int")).withColumn(
@@ -100,14 +100,14 @@ def mix(docs: DataFrame, weights: dict[str, DataFrame], target: Column, domain:
     ordered = Window.partitionBy(*LEVELS).orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     last = keyed.join(edge, [*LEVELS, "range"]).withColumn("begin", F.col("start") + F.coalesce(F.sum("tokens").over(ordered), F.lit(0)))
     last = last.groupBy(*LEVELS).agg(F.max(F.when(F.col("begin") < F.col("left"), F.struct("key", "tokens", "begin"))).alias("stop"))
-    ends = stored(plan.join(last, [*LEVELS], "left").select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("whole").alias("_whole"),
-                                                           F.col("left").alias("_left"), F.col("stop").alias("_stop")), "mix-ends")
+    ends = stored(plan.join(last, [*LEVELS], "left").select(F.col("domain").alias("_mix_d"), F.col("lang").alias("_mix_l"), F.col("source").alias("_mix_s"), F.col("whole").alias("_mix_whole"),
+                                                           F.col("left").alias("_mix_left"), F.col("stop").alias("_mix_stop")), "mix-ends")
     ends = F.broadcast(ends) if small else ends
-    df = df.join(ends, (F.col("_domain") == F.col("_d")) & (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")))
-    place = F.struct(order_key(F.col("doc_id"), F.col("_whole"), seed).alias("key"), F.col("_tokens").alias("tokens"))
-    stop = F.struct(F.col("_stop.key").alias("key"), F.col("_stop.tokens").alias("tokens"))
-    df = df.withColumn("_more", F.when(F.col("_stop").isNotNull() & (place <= stop), F.when(place == stop, F.least(F.col("_tokens"), F.col("_left") - F.col("_stop.begin"))).otherwise(F.col("_tokens"))))
-    df = df.withColumn("_copies", F.col("_whole") + F.col("_more").isNotNull().cast("int")).withColumn("_taken", F.col("_whole") * F.col("_tokens") + F.coalesce("_more", F.lit(0)))
+    df = df.join(ends, (F.col("_domain") == F.col("_mix_d")) & (F.col("_mix_lang") == F.col("_mix_l")) & (F.col("_mix_source") == F.col("_mix_s")))
+    place = F.struct(order_key(F.col("doc_id"), F.col("_mix_whole"), seed).alias("key"), F.col("_tokens").alias("tokens"))
+    stop = F.struct(F.col("_mix_stop.key").alias("key"), F.col("_mix_stop.tokens").alias("tokens"))
+    df = df.withColumn("_mix_more", F.when(F.col("_mix_stop").isNotNull() & (place <= stop), F.when(place == stop, F.least(F.col("_tokens"), F.col("_mix_left") - F.col("_mix_stop.begin"))).otherwise(F.col("_tokens"))))
+    df = df.withColumn("_copies", F.col("_mix_whole") + F.col("_mix_more").isNotNull().cast("int")).withColumn("_taken", F.col("_mix_whole") * F.col("_tokens") + F.coalesce("_mix_more", F.lit(0)))
     return df.select(*[c for c in own if c not in ("_domain", "_tokens", "_copies", "_taken")], "_domain", "_tokens", "_copies", "_taken")
 
 

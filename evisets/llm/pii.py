@@ -151,9 +151,9 @@ def redacted(text: str, column: str) -> Column:
 
 def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the spans of ``found`` (the result of ``spans`` on them) replaced in the text; a null text stays null."""
-    own = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0)
-    own = own.dropDuplicates(["_id", "_key"])
+    own = found.select(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.concat("base", "added").alias("_pii_spans")).where(F.size("_pii_spans") > 0)
+    own = own.dropDuplicates(["_pii_id", "_pii_key"])
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    df = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
-    df = df.withColumn("_spans", F.coalesce("_spans", F.expr("cast(array() as array<struct<kind: string, start: bigint, end: bigint>>)")))
-    return df.withColumn(text, redacted(f"`{text}`", "_spans")).select(docs.columns)
+    df = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (key == F.col("_pii_key")), "left")
+    df = df.withColumn("_pii_spans", F.coalesce("_pii_spans", F.expr("cast(array() as array<struct<kind: string, start: bigint, end: bigint>>)")))
+    return df.withColumn(text, redacted(f"`{text}`", "_pii_spans")).select(docs.columns)
