@@ -16,9 +16,9 @@ from evisets.functions.scalar import calibrate_bf, posterior, wakefield_log_bf,
 from evisets.functions.special import hypergeom_sf, with_p
 from evisets.operators.align import count_of
 from evisets.operators.ordered import bh_q
+from evisets.plans.iterate import grid
 from evisets.operators.sets import set_moments
 
-MAX_TRAIT_AXIS = 100_000
 
 
 def finalize_stats(df: DataFrame, group: str | None = "trait", max_se: Column | None = None) -> DataFrame:
@@ -56,13 +56,8 @@ def set_trait_dots(membership: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def _all_pairs(moments: DataFrame, traits: DataFrame, dots: DataFrame) -> DataFrame:
-    """(set, trait) grid with xy = 0 where nothing overlaps; the trait axis is checked to be short."""
-    n_traits = traits.count()
-    if n_traits > MAX_TRAIT_AXIS:
-        raise ValueError(f"{n_traits} traits: list only overlapping pairs (complete=False) at this width")
-    axis = traits.agg(F.collect_list(F.struct("trait", "y_mean", "y_var"))).scalar()
-    grid = moments.withColumn("_t", F.explode(axis)).select("*", "_t.*").drop("_t")
-    return grid.join(dots, ["set_id", "trait"], "left").fillna(0.0, ["xy"])
+    """(set, trait) grid with xy = 0 where nothing overlaps."""
+    return grid(moments, traits.select("trait", "y_mean", "y_var")).join(dots, ["set_id", "trait"], "left").fillna(0.0, ["xy"])
 
 
 def marginal_linear(membership: DataFrame, y: DataFrame, n: Column, complete: bool = False,

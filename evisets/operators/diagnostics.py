@@ -26,9 +26,11 @@ def mcse(draws: DataFrame, floor: float = 1e-6) -> DataFrame:
     return s.withColumn("rel_mcse", F.col("mcse") / F.greatest(F.abs("mean"), F.lit(floor)))
 
 
-def mcse_quantile(draws: DataFrame, top: int = 200, q: float = 0.95, floor: float = 1e-6) -> DataFrame:
-    """Quantile of the errors over the ``top`` parameters of largest absolute mean (a distributed top-n)."""
-    active = mcse(draws, floor).orderBy(F.abs("mean").desc(), "param").limit(top)
+def mcse_quantile(draws: DataFrame, top: int | None = None, q: float = 0.95, floor: float = 1e-6) -> DataFrame:
+    """Quantile of the errors over all parameters, or over the ``top`` ones of largest absolute mean (a distributed top-n)."""
+    active = mcse(draws, floor)
+    if top is not None:
+        active = active.orderBy(F.abs("mean").desc(), "param").limit(top)
     return active.agg(F.percentile("rel_mcse", q).alias("rel_mcse_q"), F.percentile("mcse", q).alias("mcse_q"),
                       F.count("*").alias("n_active"))
 

@@ -366,7 +366,7 @@ def select_phi(summary: DataFrame, max_redundancy: float = 0.5, max_redundancy_q
 
 
 def merge_families(metrics: DataFrame, axes: tuple[str, str] = ("entity", "set"), overlap: tuple[float, float] = (0.8, 0.6),
-                   unique: float = 0.2, max_rounds: int = 100) -> DataFrame:
+                   unique: float = 0.2) -> DataFrame:
     """family(factor, family, keep): factors linked to a near neighbour form families; the heaviest member stays.
 
     Links: nearest factor with overlap at or above the axis limit, or, for a factor with little unique mass, its nearer neighbour.
@@ -381,7 +381,7 @@ def merge_families(metrics: DataFrame, axes: tuple[str, str] = ("entity", "set")
     edges = metrics.select("factor", F.explode(links).alias("other"))
     edges = cut(edges.unionByName(edges.select(F.col("other").alias("factor"), F.col("factor").alias("other"))).distinct())
     labels = cut(metrics.select("factor", F.col("factor").alias("family")))
-    for _ in range(max_rounds):
+    while True:  # to the fixed point: a half-spread label would be a wrong family
         seen = edges.join(labels.select(F.col("factor").alias("other"), F.col("family").alias("_f")), "other").groupBy("factor").agg(
             F.min("_f").alias("_f"))
         new = cut(labels.join(seen, "factor", "left").select(

@@ -60,7 +60,7 @@ def _local_leads(open_variants: DataFrame, window: int) -> DataFrame:
         "_best.variant_id", "chrom", "_best.pos", "_best.p")
 
 
-def clump(variants: DataFrame, window: int = 250_000, lead_p: float = 1.0, max_rounds: int = 200) -> DataFrame:
+def clump(variants: DataFrame, window: int = 250_000, lead_p: float = 1.0) -> DataFrame:
     """Greedy clumping with fixed windows: assignment(variant_id, signal_id, chrom, pos, p, is_lead).
 
     A round picks variants that are best among the unclaimed ones within ``window``; the sequential greedy order would pick them
@@ -69,7 +69,7 @@ def clump(variants: DataFrame, window: int = 250_000, lead_p: float = 1.0, max_r
     """
     todo = cut(variants.select("variant_id", "chrom", "pos", "p"))
     done = None
-    for _ in range(max_rounds):
+    while True:  # every round claims the best unclaimed variant, so the loop ends
         leads = _local_leads(todo, window).where(F.col("p") <= lead_p)
         claimed_by = leads.select(F.col("variant_id").alias("signal_id"), "chrom", F.col("pos").alias("start_pos"),
                                   F.col("pos").alias("end_pos"), F.col("p").alias("lead_p"))
@@ -84,8 +84,6 @@ def clump(variants: DataFrame, window: int = 250_000, lead_p: float = 1.0, max_r
         todo = cut(step.where("signal_id is null").drop("signal_id"))
         if todo.isEmpty():
             break
-    else:
-        raise RuntimeError("clumping did not finish; raise max_rounds")
     if done is None:
         done = todo.withColumn("signal_id", F.col("variant_id")).limit(0)
     return done.select("variant_id", "signal_id", "chrom", "pos", "p", (F.col("variant_id") == F.col("signal_id")).alias("is_lead"))

@@ -83,11 +83,11 @@ def bh_q(df: DataFrame, p: str = "p", groups: list[str] | None = None, out: str
 
     groups = groups or []
     df = cut(df)
-    counted = df.groupBy(*groups, p).agg(F.count("*").alias("_n"))
+    counted = df.where(F.col(p).isNotNull()).groupBy(*groups, p).agg(F.count("*").alias("_n"))
     ranked = running_totals(counted, groups, p, "_n", "_rank", buckets)
     ranked = ranked.withColumn("_raw", F.col(p) * F.col("_rank_total") / F.col("_rank"))
     q = suffix_min(ranked, groups, p, "_raw", "_q").select(*groups, p, F.least("_q", F.lit(1.0)).alias(out))
-    return df.join(q, [*groups, p])
+    return df.join(q, [*groups, p], "left")  # a null p has a null q and counts for nobody
 
 
 def dense_position(df: DataFrame, order: list[str], out: str, value: str, buckets: int | None = None) -> DataFrame:

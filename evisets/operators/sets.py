@@ -87,19 +87,19 @@ def filter_qc(sets: DataFrame, col: str = "mean_qc", limit: float = 2.5) -> Data
 
 def prefilter(stats: DataFrame, max_p: float = 0.01, min_fraction: float | None = None,
               drop_negative: bool = True) -> DataFrame:
-    """p-value filter; when fewer than ``min_fraction`` of the sets pass, the p quantile at that fraction is used."""
+    """p-value filter; when fewer than ``min_fraction`` of a trait's sets pass, the trait's p quantile at that fraction is used."""
     limit: Column = F.lit(max_p)
     if min_fraction is not None:
-        s = stats.agg(F.struct(
-            F.avg(F.when(F.col("p") <= max_p, 1.0).otherwise(0.0)).alias("frac"),
-            F.percentile("p", min_fraction).alias("quantile"),
-        )).scalar()
-        stats = stats.withColumn("_s", s)
-        limit = F.when(F.col("_s.frac") < min_fraction, F.col("_s.quantile")).otherwise(F.lit(max_p))
+        s = stats.groupBy("trait").agg(
+            F.avg(F.when(F.col("p") <= max_p, 1.0).otherwise(0.0)).alias("_frac"),
+            F.percentile("p", min_fraction).alias("_quantile"),
+        )
+        stats = stats.join(s, "trait", "left")
+        limit = F.when(F.col("_frac") < min_fraction, F.col("_quantile")).otherwise(F.lit(max_p))
     out = flag(stats, F.col("p") <= limit, "p")
     if drop_negative:
         out = flag(out, F.col("beta_tilde") >= 0, "negative")
-    return out.drop("_s")
+    return out.drop("_frac", "_quantile")
 
 
 def prefilter_any_trait(stats: DataFrame, max_p: float = 0.01) -> DataFrame:
@@ -125,18 +125,20 @@ def flip_signs(membership: DataFrame, stats: DataFrame) -> tuple[DataFrame, Data
 
 
 def limit_by_p(stats: DataFrame, n: int) -> DataFrame:
-    """Keep the ``n`` most significant sets, ties included.
+    """Keep the ``n`` most significant sets of each trait, ties included.
 
-    The n-th p-value comes from a distributed top-n, so nothing is ranked in one task.
+    Each task keeps n rows per trait before the shuffle, so nothing is ranked in one task.
     """
-    cut = stats.orderBy("p").limit(n).agg(F.max("p")).scalar()
-    return flag(stats, F.col("p") <= cut, "limit_p")
+    best = Window.partitionBy("trait").orderBy("p")
+    nth = stats.where("p is not null").select("trait", "p").withColumn("_i", F.row_number().over(best)).where(F.col("_i") <= n)
+    nth = nth.groupBy("trait").agg(F.max("p").alias("_nth"))
+    return flag(stats.join(nth, "trait", "left"), F.coalesce(F.col("p") <= F.col("_nth"), F.lit(False)), "limit_p").drop("_nth")
 
 
 def refilter_corrected(stats: DataFrame, max_p: float) -> DataFrame:
-    """Re-apply the p filter after correction; the best set always survives."""
-    best = stats.agg(F.min("p")).scalar()
-    return flag(stats, (F.col("p") <= max_p) | (F.col("p") == best), "corrected_p")
+    """Re-apply the p filter after correction; the best set of each trait always survives."""
+    best = stats.groupBy("trait").agg(F.min("p").alias("_best"))
+    return flag(stats.join(best, "trait", "left"), F.coalesce((F.col("p") <= max_p) | (F.col("p") == F.col("_best")), F.lit(False)), "corrected_p").drop("_best")
 
 
 def drop_zero(stats: DataFrame, col: str = "beta_uncorrected") -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisets.functions.scalar import SigmoidThreshold, scaled_sigma2, spike_slab, to_prob
-from evisets.operators.assoc import MAX_TRAIT_AXIS, marginal_logistic, marginal_linear, sample_outcomes
+from evisets.operators.assoc import marginal_logistic, marginal_linear, sample_outcomes
 from evisets.operators.sets import entity_degree
-from evisets.plans.iterate import broadcast_if_small, cut, spread
+from evisets.plans.iterate import broadcast_if_small, cut, grid, spread
 
 DEFAULT_P = 0.001
 DEFAULT_POWER = -2.0
@@ -55,7 +55,8 @@ def prior_from_effects(membership: DataFrame, betas: DataFrame, col: str = "beta
                        universe: DataFrame | None = None) -> DataFrame:
     """Entity prior: sum of X beta / scale minus the same sum at the mean of X.
 
-    Only non-zero effects are joined. ``universe`` adds entities without any live set at the constant.
+    Only non-zero effects are joined. ``universe`` adds entities without any live set at the constant, minus the sum at the mean; then
+    every trait of ``betas`` is listed, one without live sets at 0.
     """
     live = cut(betas.where((F.col(col) != 0) & (F.col("scale") > 0)).select(  # read for the sums and for the shift
         "set_id", *groups, (F.col(col) / F.col("scale")).alias("_b"), "mean"
@@ -65,11 +66,8 @@ def prior_from_effects(membership: DataFrame, betas: DataFrame, col: str = "beta
         F.sum(F.col("weight") * F.col("_b")).alias("_xb")
     )
     if universe is not None:
-        if shift.count() > MAX_TRAIT_AXIS:
-            raise ValueError("too many traits for the entity x trait grid; leave universe out and add the constant where needed")
-        axis = shift.agg(F.collect_list(F.struct(*groups, "_shift"))).scalar()  # one entry per trait
-        grid = universe.select("entity_id").distinct().withColumn("_g", F.explode(axis)).select("entity_id", "_g.*")
-        joined = grid.join(sums, ["entity_id", *groups], "left")
+        names = cut(betas.select(*groups).distinct().join(shift, list(groups), "left").fillna(0.0, ["_shift"]))  # a row per trait
+        joined = grid(universe.select("entity_id").distinct(), names).join(sums, ["entity_id", *groups], "left")
     else:
         joined = sums.join(shift, list(groups))
     return joined.select("entity_id", *groups, (F.coalesce("_xb", F.lit(0.0)) - F.col("_shift")).alias("prior"))
@@ -222,7 +220,7 @@ def assign_hyper(batches: DataFrame, learned: DataFrame, cap_to_first: bool = Tr
 
 
 def adjust_for_degree(priors: DataFrame, membership: DataFrame, groups: tuple[str, ...] = ("trait",)) -> DataFrame:
-    """Remove the line of the prior on the number of sets of an entity.
+    """Remove the line of the prior on the number of sets of an entity, fitted on the rows of ``priors``: list all entities there.
 
     Slope = sample covariance / population variance, the mixed form of the reference.
     """
@@ -239,7 +237,7 @@ def adjust_for_degree(priors: DataFrame, membership: DataFrame, groups: tuple[st
 
 
 def combine_scores(priors: DataFrame, evidence: DataFrame, groups: tuple[str, ...] = ("trait",)) -> DataFrame:
-    """combined = prior + log_bf, and its probability D."""
+    """combined = prior + log_bf, and its probability D. ``priors`` lists all entities, also those without a live set; a missing log_bf is 0."""
     j = evidence.join(priors, ["entity_id", *groups], "full_outer").fillna(0.0, ["prior", "log_bf"])
     j = j.withColumn("combined", F.col("prior") + F.col("log_bf"))
     return j.withColumn("combined_D", to_prob(F.col("combined")))
@@ -291,7 +289,10 @@ def fold_stats(membership: DataFrame, y: DataFrame, folds: DataFrame) -> DataFra
 
 def loco_priors(membership: DataFrame, y: DataFrame, folds: DataFrame, p: float = DEFAULT_P, sigma2: float = 1e-4,
                 power: float | None = DEFAULT_POWER) -> DataFrame:
-    """Leave-one-fold-out priors: effects fitted without an entity's own fold (chromosome), applied to it."""
+    """Leave-one-fold-out priors: effects fitted without an entity's own fold (chromosome), applied to it.
+
+    Every entity of ``folds`` is listed for every trait with live sets; one without a live set has minus the sum at the mean.
+    """
     fits = shrink_independent(with_hyper(fold_stats(membership, y, folds), p, sigma2, power))
     live = cut(fits.where((F.col("beta_uncorrected") != 0) & (F.col("scale") > 0)).select(
         "set_id", "trait", "fold", "mean", (F.col("beta_uncorrected") / F.col("scale")).alias("_b")))
@@ -299,8 +300,10 @@ def loco_priors(membership: DataFrame, y: DataFrame, folds: DataFrame, p: float
     own = membership.join(folds.select("entity_id", "fold"), "entity_id").join(
         broadcast_if_small(live.select("set_id", "trait", "fold", "_b")), ["set_id", "fold"])
     sums = own.groupBy("entity_id", "trait", "fold").agg(F.sum(F.col("weight") * F.col("_b")).alias("_xb"))
-    return sums.join(shift, ["trait", "fold"]).select(
-        "entity_id", "trait", "fold", (F.col("_xb") - F.col("_shift")).alias("prior"))
+    every = folds.select("entity_id", "fold").join(shift.groupBy("fold").agg(F.collect_list(F.struct("trait", "_shift")).alias("_t")), "fold")
+    every = every.select("entity_id", "fold", F.explode("_t").alias("_t")).select("entity_id", "fold", "_t.*")
+    return every.join(sums, ["entity_id", "trait", "fold"], "left").select(
+        "entity_id", "trait", "fold", (F.coalesce("_xb", F.lit(0.0)) - F.col("_shift")).alias("prior"))
 
 
 def cv_sigma(membership: DataFrame, y: DataFrame, folds: DataFrame, grid: list[float], p: float = DEFAULT_P,
@@ -377,6 +380,7 @@ def alternate(membership: DataFrame, evidence: DataFrame, universe: DataFrame, r
     n = universe.agg(F.count("*")).scalar()
     binary = cut(membership.where("weight <> 0").select("set_id", "entity_id", F.lit(1.0).alias("weight")))
     chain_axis = F.explode(F.sequence(F.lit(1), F.lit(chains)))
+    everyone = cut(universe.select("entity_id").union(evidence.select("entity_id")).union(binary.select("entity_id")).distinct())
     scores = cut(evidence.select("entity_id", "trait", "log_bf").withColumn("chain", chain_axis).withColumn("prior", F.lit(0.0)))
     draws = None
     for it in range(1, rounds + 1):
@@ -386,7 +390,7 @@ def alternate(membership: DataFrame, evidence: DataFrame, universe: DataFrame, r
         stats = marginal_logistic(binary, outcomes, n)
         fit = shrink_independent(with_hyper(stats, p, sigma2, power))
         effects = cut(fit.select("set_id", "trait.trait", "trait.chain", F.col("beta_uncorrected").alias("beta"), "mean", "scale", "postp"))
-        prior = prior_from_effects(binary, effects, "beta", ("trait", "chain"))
+        prior = prior_from_effects(binary, effects, "beta", ("trait", "chain"), everyone)
         if adjust_degree:
             prior = adjust_for_degree(prior, binary, ("trait", "chain")).withColumn("prior", F.col("prior_adj"))
         scores = cut(scores.drop("prior").join(prior.select("entity_id", "trait", "chain", "prior"),

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; fall back to a scratch folder only where none is set."""
+    """Use the shared folder the session names. A machine-local one would lose data on a cluster, so there is no other."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evisets-checkpoint-"))
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,6 +31,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+AXIS = 1000  # names held in one array
+
+
+def grid(left: DataFrame, names: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every row of ``names``, which are rows of a short dimension such as traits, in any number.
+
+    The names are packed into arrays of about AXIS entries; a row of ``left`` meets each array once, by an equi-join on its number.
+    """
+    slots = max(1, -(-names.count() // AXIS))
+    packed = names.withColumn("_slot", F.pmod(F.xxhash64(*names.columns), F.lit(slots)).cast("int")).groupBy("_slot").agg(
+        F.collect_list(F.struct(*names.columns)).alias("_names"))
+    rows = left.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    return rows.join(packed, "_slot").withColumn("_names", F.explode("_names")).select(*left.columns, "_names.*")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast a materialised narrow table after counting it; a larger one is joined by shuffle.
 

@@ -30,7 +30,7 @@ def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: flo
     """Filters, marginal and (optionally joint) shrunken effects, priors and combined scores.
 
     y(entity_id, trait, value) is the log Bayes factor. Filtered sets stay in the result with their reason and their independent
-    effect; only kept ones feed the priors.
+    effect; only kept ones feed the priors. Scores list every entity of universe, memberships and evidence for every trait.
     """
     n = universe.agg(F.count("*")).scalar()
     membership, y = cut(spread(membership.select("set_id", "entity_id", "weight"), "set_id", "entity_id")), cut(y.select("entity_id", "trait", "value"))
@@ -54,7 +54,9 @@ def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: flo
         fit = fit.join(joint.select("set_id", "trait", "beta"), ["set_id", "trait"], "left").fillna(0.0, ["beta"])
     else:
         fit = fit.withColumn("beta", F.when(kept, F.col("beta_uncorrected")).otherwise(F.lit(0.0)))
-    prior = shrink.prior_from_effects(membership, fit.where(kept), "beta")
+    everyone = universe.select("entity_id").union(membership.select("entity_id")).union(y.select("entity_id")).distinct()
+    effects = fit.withColumn("beta", F.when(kept, F.col("beta")).otherwise(F.lit(0.0)))
+    prior = shrink.prior_from_effects(membership, effects, "beta", universe=everyone)
     if adjust_degree:
         prior = shrink.adjust_for_degree(prior, membership).withColumn("prior", F.col("prior_adj")).drop("prior_adj", "n_sets")
     scores = shrink.combine_scores(prior, y.select("entity_id", "trait", F.col("value").alias("log_bf")))

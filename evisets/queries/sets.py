@@ -179,6 +179,13 @@ def filter_size(spark, sf):
     return sets.filter_size(sets.set_sizes(order_sets(spark, sf)).drop("abs_weight"), 3, 6)
 
 
+TRAIT_STATS = with_("bin", "n", "y", extra=marginal_sql("bin", "y"))
+
+
+def _trait_stats(spark, sf):
+    return marginal_linear(binary(spark, sf), trait_y(spark, sf), n_entities(spark, sf))
+
+
 @query("filter_qc", with_("osets", "cov", extra="q AS (SELECT set_id, sum(weight * price) / sum(abs(weight)) AS mean_qc FROM osets JOIN cov USING (entity_id) GROUP BY 1), z AS (SELECT set_id, (mean_qc - avg(mean_qc) OVER ()) / stddev_pop(mean_qc) OVER () AS qc_z FROM q)") +
        f"SELECT set_id, {r('qc_z', 'qc_z')}, CASE WHEN abs(qc_z) <= 2.0 THEN 'kept' ELSE 'ignored' END AS status, CASE WHEN abs(qc_z) > 2.0 THEN 'qc' END AS filter_reason FROM z")
 def filter_qc(spark, sf):
@@ -188,11 +195,11 @@ def filter_qc(spark, sf):
     return sets.filter_qc(q, "mean_qc", 2.0).drop("mean_qc")
 
 
-@query("prefilter", STATS + f"""SELECT set_id, {r('p', 'p')}, CASE WHEN p <= lim AND beta_tilde >= 0 THEN 'kept' ELSE 'ignored' END AS status,
+@query("prefilter", TRAIT_STATS + f"""SELECT set_id, trait, {r('p', 'p')}, CASE WHEN p <= lim AND beta_tilde >= 0 THEN 'kept' ELSE 'ignored' END AS status,
     CASE WHEN p > lim THEN 'p' WHEN beta_tilde < 0 THEN 'negative' END AS filter_reason
-    FROM st, (SELECT CASE WHEN avg(CASE WHEN p <= 0.01 THEN 1.0 ELSE 0 END) < 0.3 THEN quantile_cont(p, 0.3) ELSE 0.01 END AS lim FROM st)""")
+    FROM st JOIN (SELECT trait, CASE WHEN avg(CASE WHEN p <= 0.01 THEN 1.0 ELSE 0 END) < 0.3 THEN quantile_cont(p, 0.3) ELSE 0.01 END AS lim FROM st GROUP BY 1) USING (trait)""")
 def prefilter(spark, sf):
-    return sets.prefilter(_stats(spark, sf), 0.01, 0.3).select("set_id", "p", "status", "filter_reason")
+    return sets.prefilter(_trait_stats(spark, sf), 0.01, 0.3).select("set_id", "trait", "p", "status", "filter_reason")
 
 
 @query("prefilter_any_trait", with_("bin", "n", "y", extra=marginal_sql("bin", "y")) +
@@ -218,14 +225,14 @@ def flip_signs(spark, sf):
     return sets.flip_signs(m, marginal_linear(m, evidence_y(spark, sf), n_entities(spark, sf)))[1].select("set_id", "beta_tilde", "z", "flipped")
 
 
-@query("limit_by_p", STATS + f"SELECT set_id, {r('p', 'p')}, CASE WHEN rank() OVER (ORDER BY p) <= 20 THEN 'kept' ELSE 'ignored' END AS status FROM st")
+@query("limit_by_p", TRAIT_STATS + f"SELECT set_id, trait, {r('p', 'p')}, CASE WHEN rank() OVER (PARTITION BY trait ORDER BY p) <= 20 THEN 'kept' ELSE 'ignored' END AS status FROM st")
 def limit_by_p(spark, sf):
-    return sets.limit_by_p(_stats(spark, sf), 20).select("set_id", "p", "status")
+    return sets.limit_by_p(_trait_stats(spark, sf), 20).select("set_id", "trait", "p", "status")
 
 
-@query("refilter_corrected", STATS + f"SELECT set_id, {r('p', 'p')}, CASE WHEN p <= 1e-6 OR p = (SELECT min(p) FROM st) THEN 'kept' ELSE 'ignored' END AS status FROM st")
+@query("refilter_corrected", TRAIT_STATS + f"SELECT set_id, trait, {r('p', 'p')}, CASE WHEN p <= 1e-6 OR p = min(p) OVER (PARTITION BY trait) THEN 'kept' ELSE 'ignored' END AS status FROM st")
 def refilter_corrected(spark, sf):
-    return sets.refilter_corrected(_stats(spark, sf), 1e-6).select("set_id", "p", "status")
+    return sets.refilter_corrected(_trait_stats(spark, sf), 1e-6).select("set_id", "trait", "p", "status")
 
 
 @query("drop_zero", STATS + f"SELECT set_id, {r('b', 'beta_uncorrected')}, CASE WHEN b <> 0 THEN 'kept' ELSE 'ignored' END AS status FROM (SELECT set_id, CASE WHEN p < 0.3 THEN beta_tilde ELSE 0 END AS b FROM st)")
@@ -304,7 +311,10 @@ def set_overlap(spark, sf):
 
 PAIRS = with_("osets", "n", extra=moments_sql("osets") + """,
 d AS (SELECT a.set_id AS set_a, b.set_id AS set_b, sum(a.weight * b.weight) AS dot FROM osets a JOIN osets b ON a.entity_id = b.entity_id AND a.set_id < b.set_id GROUP BY 1, 2),
-v AS (SELECT set_a, set_b, (dot / x.n - x.mean * z.mean) / (x.scale * z.scale) AS v FROM d JOIN xm x ON x.set_id = set_a JOIN xm z ON z.set_id = set_b)""")
+big AS (SELECT *, abs(mean / scale) AS ratio FROM xm WHERE scale > 0),
+apart AS (SELECT x.set_id AS set_a, z.set_id AS set_b, -x.mean * z.mean / (x.scale * z.scale) AS v FROM big x JOIN big z ON x.set_id < z.set_id AND x.ratio * z.ratio > 0.5 AND x.ratio > 0.5 / (SELECT max(ratio) FROM big)
+  WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.set_a = x.set_id AND d.set_b = z.set_id)),
+v AS (SELECT * FROM apart UNION ALL SELECT set_a, set_b, (dot / x.n - x.mean * z.mean) / (x.scale * z.scale) AS v FROM d JOIN xm x ON x.set_id = set_a JOIN xm z ON z.set_id = set_b)""")
 
 
 @query("correlated_pairs", PAIRS + f"SELECT set_a, set_b, {r('v', 'v')} FROM v WHERE abs(v) > 0.5")

@@ -76,22 +76,35 @@ def naive_prior(spark, sf):
     return shrink.naive_prior(membership(spark, sf), trait_y(spark, sf), n_entities(spark, sf), P, S2, -1.0)
 
 
-ADJ = PRIOR.rstrip() + """,
-dg AS (SELECT entity_id, count(*) AS n_sets FROM memb GROUP BY 1),
-fit AS (SELECT trait, covar_samp(prior, n_sets) / var_pop(n_sets) AS sl, avg(prior) AS mp, avg(n_sets) AS mn FROM pr JOIN dg USING (entity_id) GROUP BY 1),
-ad AS (SELECT entity_id, trait, prior, prior - coalesce(sl, 0) * n_sets - (mp - coalesce(sl, 0) * mn) AS prior_adj FROM pr JOIN dg USING (entity_id) JOIN fit USING (trait))
+# the prior of every entity: one without a live set has minus the sum at the mean
+WHOLE = PRIOR.rstrip() + """,
+every AS (SELECT p_partkey AS entity_id FROM part UNION SELECT entity_id FROM memb UNION SELECT entity_id FROM y),
+lowest AS (SELECT trait, sum(CASE WHEN scale > 0 THEN mean * beta_uncorrected / scale ELSE 0 END) AS s FROM sh GROUP BY 1),
+wh AS (SELECT every.entity_id, t.trait, coalesce(pr.prior, -t.s) AS prior FROM every JOIN lowest t ON true LEFT JOIN pr ON pr.entity_id = every.entity_id AND pr.trait = t.trait)
+"""
+
+
+def whole(spark, sf):
+    everyone = universe(spark, sf).select("entity_id").union(membership(spark, sf).select("entity_id")).union(trait_y(spark, sf).select("entity_id"))
+    return shrink.prior_from_effects(membership(spark, sf), shrink.shrink_independent(stats(spark, sf)), "beta_uncorrected", universe=everyone)
+
+
+ADJ = WHOLE.rstrip() + """,
+dg AS (SELECT every.entity_id, count(memb.set_id) AS n_sets FROM every LEFT JOIN memb USING (entity_id) GROUP BY 1),
+fit AS (SELECT trait, covar_samp(prior, n_sets) / nullif(var_pop(n_sets), 0) AS sl, avg(prior) AS mp, avg(n_sets) AS mn FROM wh JOIN dg USING (entity_id) GROUP BY 1),
+ad AS (SELECT entity_id, trait, prior, prior - coalesce(sl, 0) * n_sets - (mp - coalesce(sl, 0) * mn) AS prior_adj FROM wh JOIN dg USING (entity_id) JOIN fit USING (trait))
 """
 
 
 @query("adjust_for_degree", ADJ + f"SELECT entity_id, trait, {r('prior_adj', 'prior_adj')} FROM ad")
 def adjust_for_degree(spark, sf):
-    return shrink.adjust_for_degree(prior(spark, sf), membership(spark, sf)).select("entity_id", "trait", "prior_adj")
+    return shrink.adjust_for_degree(whole(spark, sf), membership(spark, sf)).select("entity_id", "trait", "prior_adj")
 
 
-@query("combine_scores", PRIOR + f"""SELECT entity_id, trait, {r('coalesce(prior, 0)', 'prior')}, {r('coalesce(value, 0)', 'log_bf')}, {r('coalesce(prior, 0) + coalesce(value, 0)', 'combined')},
-    {r('1 / (1 + exp(-(coalesce(prior, 0) + coalesce(value, 0) + ln(0.05::DOUBLE / 0.95))))', 'combined_D')} FROM pr FULL JOIN y USING (entity_id, trait)""")
+@query("combine_scores", WHOLE + f"""SELECT entity_id, trait, {r('coalesce(prior, 0)', 'prior')}, {r('coalesce(value, 0)', 'log_bf')}, {r('coalesce(prior, 0) + coalesce(value, 0)', 'combined')},
+    {r('1 / (1 + exp(-(coalesce(prior, 0) + coalesce(value, 0) + ln(0.05::DOUBLE / 0.95))))', 'combined_D')} FROM wh FULL JOIN y USING (entity_id, trait)""")
 def combine_scores(spark, sf):
-    return shrink.combine_scores(prior(spark, sf), trait_y(spark, sf).withColumnRenamed("value", "log_bf"))
+    return shrink.combine_scores(whole(spark, sf), trait_y(spark, sf).withColumnRenamed("value", "log_bf"))
 
 
 @query("shrink_ignored", BASE + f"SELECT set_id, trait, {r('beta_uncorrected', 'beta_uncorrected')} FROM sh WHERE p > 0.5")
@@ -200,7 +213,7 @@ xb AS (SELECT entity_id, fold, trait, sum(weight * b) AS x FROM memb JOIN f USIN
 """
 
 
-@query("loco_priors", LOCO.format(m=LM) + f"SELECT entity_id, fold, trait, {r('x - s', 'prior')} FROM xb JOIN shift USING (fold, trait)")
+@query("loco_priors", LOCO.format(m=LM) + f"SELECT entity_id, fold, trait, {r('coalesce(x, 0) - s', 'prior')} FROM f JOIN shift USING (fold) LEFT JOIN xb USING (entity_id, fold, trait)")
 def loco_priors(spark, sf):
     return shrink.loco_priors(membership(spark, sf), trait_y(spark, sf), folds(spark, sf), 0.2, 0.001, -1.0)
 
@@ -208,7 +221,7 @@ def loco_priors(spark, sf):
 RIDGE = "(0.01::DOUBLE * scale * scale / (0.01::DOUBLE * scale * scale + se * se) * beta_tilde)"
 
 
-@query("pops_prior", LOCO.format(m=RIDGE) + f"SELECT entity_id, fold, trait, {r('x - s', 'prior')} FROM xb JOIN shift USING (fold, trait)")
+@query("pops_prior", LOCO.format(m=RIDGE) + f"SELECT entity_id, fold, trait, {r('coalesce(x, 0) - s', 'prior')} FROM f JOIN shift USING (fold) LEFT JOIN xb USING (entity_id, fold, trait)")
 def pops_prior(spark, sf):
     return shrink.pops_prior(membership(spark, sf), trait_y(spark, sf), folds(spark, sf), 0.01)
 

@@ -1,9 +1,12 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
+ROOT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "..")
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])  # for Spark's Python workers
 
 
 @pytest.fixture(scope="session")
@@ -11,7 +14,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", "4g").getOrCreate())
+         .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoints-")).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
