@@ -1,12 +1,13 @@
 """Readers of the text inputs, split into a scan and a parse of lines so that any line source can be parsed.
 
-A text file has no order after a shuffle: ``lines`` keeps a line number, and every first-wins / last-wins rule names it.
+A text file has no order after a shuffle: ``lines`` and ``table`` number the rows of all files in turn, and every first-wins / last-wins rule
+names that number.
 Parsers turn rows that cannot be used into no row; they never guess.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evisets.functions.scalar import BACKGROUND, background_log_odds, clean_chrom, complete_p_beta_se
@@ -14,16 +15,40 @@ from evisets.functions.scalar import BACKGROUND, background_log_odds, clean_chro
 MISSING = "NA"
 
 
+def files_of(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files that the paths, folders and patterns name, in the order named; each once."""
+    return list(dict.fromkeys(f for p in paths for f in sorted(spark.read.text(p).inputFiles())))
+
+
+def numbered(df: DataFrame, files: list[str]) -> DataFrame:
+    """A scan of files with path and line_no: consecutive numbers in the order of ``files``, however the scan was split or packed.
+
+    A row's number is that of its split plus its place in the split. Splits are counted first; they are as few as the scan's blocks.
+    """
+    spark = df.sparkSession
+    own = df.columns
+    df = df.select("*", F.input_file_name().alias("path"), F.input_file_block_start().alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = df.groupBy("path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    order = spark.createDataFrame(list(enumerate(files)), "_file long, path string")
+    sizes = splits.groupBy("path").agg(F.sum("_n").alias("_size")).join(order, "path")
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("path", before(Window.partitionBy(F.lit(0)).orderBy("_file"), "_size").alias("_before"))  # a row per file
+    splits = splits.withColumn("_in", before(Window.partitionBy("path").orderBy("_start"), "_n")).join(sizes, "path")
+    splits = splits.select("path", "_start", (F.col("_before") + F.col("_in") - F.col("_first")).alias("_shift"))
+    return df.join(splits, ["path", "_start"]).select(*own, "path", (F.col("_id") + F.col("_shift")).alias("line_no"))
+
+
 def lines(spark: SparkSession, paths) -> DataFrame:
     """(line_no, value, path) of text files; gzip and directories work as in any Spark text scan."""
-    text = spark.read.text(paths if isinstance(paths, list) else [paths])
-    return text.select(F.monotonically_increasing_id().alias("line_no"), "value", F.col("_metadata.file_path").alias("path"))
+    files = files_of(spark, paths if isinstance(paths, list) else [paths])
+    return numbered(spark.read.text(files), files).select("line_no", "value", "path")
 
 
 def table(spark: SparkSession, path, header: bool = True, sep: str = "\t") -> DataFrame:
     """Delimited table, all strings, with a line number."""
-    df = spark.read.csv(path, sep=sep, header=header, quote="", mode="PERMISSIVE", nullValue=MISSING)
-    return df.withColumn("line_no", F.monotonically_increasing_id())
+    files = files_of(spark, path if isinstance(path, list) else [path])
+    df = spark.read.csv(files, sep=sep, header=header, quote="", mode="PERMISSIVE", nullValue=MISSING)
+    return numbered(df, files).drop("path")
 
 
 def pick(df: DataFrame, col) -> Column:
@@ -40,26 +65,27 @@ def number(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def parse_set_lines(text: DataFrame, only_ids: DataFrame | None = None) -> DataFrame:
+def parse_set_lines(text: DataFrame, only_ids: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines ``set_id member member:weight ...`` -> membership(set_id, entity_id, weight, line_no).
 
     Members are de-duplicated within a line, a weight defaults to 1, unparsable weights and NA members are skipped, lines with
-    fewer than two tokens too. The first line of a set id wins. ``only_ids`` keeps the requested sets before the explode.
+    fewer than two tokens too. The first line of a set id wins. ``only_ids`` keeps the requested sets before the explode; columns ``keep``
+    of the lines go along.
     """
     tok = F.split(F.trim("value"), r"\s+")
-    split = text.select("line_no", tok[0].alias("set_id"), F.slice(tok, 2, F.greatest(F.size(tok) - 1, F.lit(0))).alias("_m"), F.size(tok).alias("_k"))
+    split = text.select("line_no", *keep, tok[0].alias("set_id"), F.slice(tok, 2, F.greatest(F.size(tok) - 1, F.lit(0))).alias("_m"), F.size(tok).alias("_k"))
     good = split.where("_k >= 2 and set_id <> ''")
     if only_ids is not None:
         good = good.join(only_ids.select("set_id").distinct(), "set_id", "left_semi")
     first = good.groupBy("set_id").agg(F.min("line_no").alias("line_no"))
     chosen = good.join(first, ["set_id", "line_no"], "left_semi")
-    one = chosen.select("set_id", "line_no", F.explode(F.array_distinct("_m")).alias("_t"))
+    one = chosen.select("set_id", "line_no", *keep, F.explode(F.array_distinct("_m")).alias("_t"))
     part = F.split("_t", ":")
     weight = F.when(F.size(part) > 1, number(part[1])).otherwise(F.lit(1.0))
-    parsed = one.select("set_id", "line_no", part[0].alias("entity_id"), weight.alias("weight")).where(
+    parsed = one.select("set_id", "line_no", *keep, part[0].alias("entity_id"), weight.alias("weight")).where(
         (F.col("entity_id") != MISSING) & F.col("weight").isNotNull() & ~F.isnan("weight") & (F.col("weight") != 0))
     # the same member with two different weights in a line: the larger weight stays
-    return parsed.groupBy("set_id", "line_no", "entity_id").agg(F.max("weight").alias("weight"))
+    return parsed.groupBy("set_id", "line_no", "entity_id", *keep).agg(F.max("weight").alias("weight"))
 
 
 def read_set_lists(spark: SparkSession, paths, only_ids: DataFrame | None = None) -> DataFrame:
@@ -97,8 +123,8 @@ def plan_inputs(specs: list[str], dense: bool = False) -> list[dict]:
 
 
 def expand_lists(spark: SparkSession, list_paths: list[str]) -> list[str]:
-    """Specs named in list files, one per line. A list file names input files, so it is small by nature."""
-    rows = lines(spark, list_paths).where(F.trim("value") != "").orderBy("line_no").limit(100_000).collect()
+    """Specs named in list files, one per line, all of them. A list file names input files, whose listing the driver holds anyway."""
+    rows = lines(spark, list_paths).where(F.trim("value") != "").orderBy("line_no").collect()
     return [r["value"].strip() for r in rows]
 
 
@@ -112,19 +138,21 @@ def parse_input_specs(specs: DataFrame) -> DataFrame:
                         F.nullif(batch, F.lit("")).alias("batch"))
 
 
-def read_inputs(spark: SparkSession, specs: list[str], only_ids: DataFrame | None = None) -> DataFrame:
-    """Union of several set lists with label (prefixes the set id) and batch, from one multi-file scan.
+def parse_inputs(text: DataFrame, files: DataFrame, only_ids: DataFrame | None = None) -> DataFrame:
+    """Set lines of many files -> membership with label and batch of the file; a label prefixes the set id.
 
-    The plan rows are joined on the file path, so hundreds of files stay one scan.
+    text(line_no, value, path) and files(path, label, batch) meet by equal path; a file named twice is parsed for both.
     """
+    tagged = text.join(files.select("path", "label", "batch"), "path")
+    tagged = tagged.withColumn("value", F.when(F.col("label").isNotNull(), F.concat("label", F.lit("_"), F.ltrim("value"))).otherwise(F.col("value")))
+    return parse_set_lines(tagged, only_ids, ("label", "batch"))
+
+
+def read_inputs(spark: SparkSession, specs: list[str], only_ids: DataFrame | None = None) -> DataFrame:
+    """Union of several set lists with label (prefixes the set id) and batch, from one multi-file scan."""
     plan = plan_inputs(specs)
-    rows = spark.createDataFrame([(p["path"], p["label"], p["batch"]) for p in plan], "_path string, label string, batch string")
-    text = lines(spark, [p["path"] for p in plan])
-    tagged = text.join(F.broadcast(rows), F.expr("endswith(path, _path)"))  # one row per named file
-    prefixed = tagged.withColumn("value", F.when(F.col("label").isNotNull(), F.concat("label", F.lit("_"), "value")).otherwise(F.col("value")))
-    parsed = parse_set_lines(prefixed, only_ids)
-    origin = prefixed.select("line_no", "label", "batch")
-    return parsed.join(origin, "line_no")
+    rows = [(f, p["label"], p["batch"]) for p in plan for f in files_of(spark, [p["path"]])]
+    return parse_inputs(lines(spark, [p["path"] for p in plan]), spark.createDataFrame(rows, "path string, label string, batch string"), only_ids)
 
 
 def parse_entity_stats(df: DataFrame, id_col, log_bf_col=None, prob_col=None, combined_col=None, prior_col=None,

@@ -158,3 +158,57 @@ def test_overlap_join_against_all_pairs(spark):
     got = rows(align.overlap_join(spark.createDataFrame(v, "vid long, chrom string, pos long"),
                                   spark.createDataFrame(iv, "eid long, chrom string, start_pos long, end_pos long"), pad=50, bin_width=300), "vid", "eid")
     assert got == sorted((a, b) for a, c, p in v for b, d, s, e in iv if c == d and s - 50 <= p <= e + 50)
+
+
+def test_inputs_match_whole_paths_and_keep_their_labels(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("S1 a\nS2 b\n")
+    (tmp_path / "ba.txt").write_text("S1 c\nS9 d\n")
+    got = scans.read_inputs(spark, [f"{tmp_path}/a.txt@p", f"x:{tmp_path}/ba.txt@q"])
+    assert rows(got, "set_id", "entity_id", "label", "batch") == [("S1", "a", None, "p"), ("S2", "b", None, "p"), ("x_S1", "c", "x", "q"), ("x_S9", "d", "x", "q")]
+
+
+def test_line_numbers_are_consecutive_over_splits_and_files(spark, tmp_path):
+    n = 3000
+    names = [f"e{i}" for i in range(n)]
+    (tmp_path / "z.txt").write_text("".join(f"{names[i]} {0.5}" + (" 0.25\n" if i > 1 else "\n") for i in range(n)))
+    (tmp_path / "b.txt").write_text("last\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        text = scans.lines(spark, [f"{tmp_path}/z.txt", f"{tmp_path}/b.txt"])
+        got = text.collect()
+        edges = scans.parse_corr_lines(text.where("value <> 'last'"), first_value=2).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.value.split()[0] for r in sorted(got, key=lambda r: r.line_no)] == [*names, "last"]
+    assert sorted(r.line_no for r in got) == list(range(n + 1))
+    assert edges == 2 * ((n - 1) + (n - 2))  # every line names its one or two predecessors, across all splits
+
+
+def test_list_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "many.list").write_text("".join(f"p{i}\n" for i in range(100_500)))
+    specs = scans.expand_lists(spark, [f"{tmp_path}/many.list"])
+    assert len(specs) == 100_500 and specs[-1] == "p100499"
+
+
+def test_disjoint_halves_are_correlated_and_never_share_a_batch(spark):
+    half = [("a", f"e{i}", 1.0) for i in range(50)] + [("b", f"e{i}", 1.0) for i in range(50, 100)] + [("c", f"e{i}", 1.0) for i in range(0, 100, 2)]
+    df = spark.createDataFrame(half, "set_id string, entity_id string, weight double")
+    pairs = [(r.set_a, r.set_b, round(r.v, 9)) for r in prune.correlated_pairs(df, F.lit(100.0), 0.8).collect()]
+    assert pairs == [("a", "b", -1.0)]
+    order = df.groupBy("set_id").agg(F.min("set_id").alias("rank"))
+    b = {r.set_id: r.batch for r in prune.uncorrelated_batches(df, F.lit(100.0), order, 0.1).collect()}
+    assert b["a"] != b["b"]
+
+
+def test_many_equal_sets_get_a_batch_each(spark):
+    df = spark.createDataFrame([(f"s{k}", f"e{i}", 1.0) for k in range(4) for i in range(5)], "set_id string, entity_id string, weight double")
+    order = df.groupBy("set_id").agg(F.min("set_id").alias("rank"))
+    b = {r.set_id: r.batch for r in prune.uncorrelated_batches(df, F.lit(50.0), order, 0.5).collect()}
+    assert b == {"s0": 0, "s1": 1, "s2": 2, "s3": 3}
+
+
+def test_null_p_keeps_its_row(spark):
+    df = spark.createDataFrame([(1, 0.01), (2, None), (3, 0.5), (4, 0.5)], "i int, p double")
+    got = {r.i: r.q for r in ordered.bh_q(df, "p").collect()}
+    assert got[2] is None and abs(got[1] - 0.03) < 1e-12 and abs(got[3] - 0.5) < 1e-12 and len(got) == 4
