@@ -5,29 +5,39 @@ its bit was 0 and 1 in the training texts. Krichevsky-Trofimov estimates of all
 estimated probability of the training bits against that of its children, computed from the leaves up. A context that training never saw has
 no vote: the deepest seen one speaks for it. A text is D end marks as context, then its UTF-8 bytes and one end mark; that mark is coded too.
 
-In Spark a node is derived from grams: D context bytes and the byte they predict in one 64-bit number. Each block of text lists its distinct grams;
-counts are summed over the corpus; grams that share their two latest context bytes form whole subtrees and are scored together, the 256 x 255
-nodes above them fit every task. Scores go back to each block as its dictionary. Training counts come from all training rows.
+In Spark a node is derived from grams: D context bytes and the byte they predict in one 64-bit number. Each block of text lists its distinct grams,
+packed by part; counts are summed over the corpus; a part's grams form whole subtrees below depth 2 and are scored together, the 256 x 255 nodes
+above them fit every task. Scores are stored by block, in single precision; a task reads
+its block's dictionary while it reads the texts again, so texts are never shuffled. Training counts come from all training rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisets.llm.common import stored
+from evisets.llm.common import released, shared_folder, shuffle_width, stored
 
 DEPTH = 5
 MARK = 0xFF  # never a byte of UTF-8
-PIECE = 1 << 22  # bytes looked at together
-GRAMS = 2_000_000  # grams scored together on average
+PIECE = 1 << 20  # bytes looked at together
 TABLE = 1 << 14
+MERGE = 6  # lists of codes held at once
+BLOCK = 64 << 20  # bytes of a file split that make a block
 LN2 = math.log(2)
+GRAMS, WORDS, ALL = 0, 1, -1  # kinds of lists; the block that stands for all
+LISTED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+VALUED = "block int, kind int, keys binary, n binary"
 
 
 def texts_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,19 +53,6 @@ def texts_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]
     return gram[at], firsts
 
 
-def in_pieces(texts):
-    """Lists of texts of about PIECE bytes; a long text makes a list of its own."""
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size >= PIECE:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 def log_gamma(n: np.ndarray, shift: float) -> np.ndarray:
     """log Gamma(n + shift) for whole n."""
     x = np.maximum(n, TABLE) + shift
@@ -166,31 +163,84 @@ class Top:
         return total
 
 
-def block_lists(batches, depth: int):
-    """For each batch and block in it: distinct grams, and distinct words (empty: the end of a text), with their number in training texts."""
+def merged(codes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of sorted lists, and their summed times."""
+    every = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
+    total = np.zeros(len(every), np.int64)
+    for c, t in zip(codes, times, strict=True):
+        total[np.searchsorted(every, c)] += t
+    return every, total
+
+
+def block_lists(batches, depth: int, parts: int):
+    """For each batch, block in it and part: packed lists of distinct grams and of distinct words (empty: the end of a text), with their number
+    in training texts. A part has all grams with the same two latest context bytes, so whole subtrees."""
+    one = np.uint64(1)
     for b in batches:
         blocks, texts, learns = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy(zero_copy_only=False)
-        for block in np.unique(blocks):
-            mine = np.flatnonzero(blocks == block)
-            grams, n, words = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
-            for rows in in_pieces_of(mine, texts):
+        for block in np.unique(blocks).tolist():
+            codes, times, words = [], [], {}
+            for rows in in_pieces_of(np.flatnonzero(blocks == block), texts):
                 raw = [texts[int(i)].as_py().encode("utf-8", "surrogatepass") for i in rows]
                 g, _ = texts_grams(raw, depth)
-                at, t = np.unique(g), np.repeat(learns[rows], [len(x) + 1 for x in raw])
-                trained, times = np.unique(g[t], return_counts=True)
-                both = np.concatenate([grams, at, trained])
-                order = np.argsort(both)
-                first = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
-                n = np.add.reduceat(np.concatenate([n, np.zeros(len(at), np.int64), times])[order], first)
-                grams = both[order][first]
-                for x, learn in zip(raw, learns[rows], strict=True):
+                c, t = np.unique((g << one) | np.repeat(learns[rows], [len(x) + 1 for x in raw]).astype(np.uint64), return_counts=True)
+                codes.append(c)
+                times.append(t)
+                if len(codes) == MERGE:
+                    codes, times = map(list, zip(merged(codes, times)))
+                for x, learn in zip(raw, learns[rows].tolist(), strict=True):
                     for w in (*x.lower().split(), b""):
                         words[w] = words.get(w, 0) + learn
-            yield pa.record_batch([pa.array(np.full(len(grams), block)), pa.array(grams.view(np.int64)), pa.nulls(len(grams), pa.string()), pa.array(n)],
-                                  ["block", "gram", "word", "n"])
-            yield pa.record_batch([pa.array(np.full(len(words), block)), pa.nulls(len(words), pa.int64()),
-                                   pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string()), pa.array([int(c) for c in words.values()], pa.int64())],
-                                  ["block", "gram", "word", "n"])
+            code, n = merged(codes, times)
+            n = n * (code & one == one).astype(np.int64)
+            grams = code >> one
+            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            grams, n = grams[first], np.add.reduceat(n, first)
+            part = ((((grams >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B1) >> np.uint64(12)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(p, block, GRAMS, grams[order[a:e]].tobytes(), n[order[a:e]].tobytes()) for p, (a, e) in enumerate(zip(ends[:-1], ends[1:])) if e > a]
+            by_part: dict[int, list[bytes]] = {}
+            for w in words:
+                by_part.setdefault(zlib.crc32(w) % parts, []).append(w)
+            rows += [(p, block, WORDS, b"\n".join(ws), np.array([words[w] for w in ws], np.int64).tobytes()) for p, ws in by_part.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), LISTED)], schema=LISTED)
+
+
+def numbers(packed: bytes, kind) -> np.ndarray:
+    return np.frombuffer(packed, kind)
+
+
+class Places:
+    """Where each of some distinct numbers stands: a cascade of hash tables, each for those that lost their slot in the one before."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = keys, []
+        left = np.arange(len(keys), dtype=np.int32)
+        for turn in range(64):
+            bits = max(4, int(len(left) * 2).bit_length())
+            table = np.zeros(1 << bits, np.int32)
+            odd, shift = np.uint64(0x9E3779B97F4A7C15 + 2 * 0x5851F42D4C957F2D * turn & (1 << 64) - 1 | 1), np.uint64(64 - bits)
+            slot = (keys[left] * odd) >> shift
+            table[slot] = left
+            self.tables.append((odd, shift, table))
+            left = left[table[slot] != left]
+            if not len(left):
+                return
+        raise ValueError("the keys are not distinct")
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        out = np.empty(len(wanted), np.int32)
+        at, some = slice(None), wanted
+        for odd, shift, table in self.tables:
+            place = table[(some * odd) >> shift]
+            out[at] = place
+            miss = np.flatnonzero(self.keys[place] != some)
+            if not len(miss):
+                return out
+            at = miss if isinstance(at, slice) else at[miss]
+            some = some[miss]
+        raise KeyError("a number that the table doesn't have")
 
 
 def in_pieces_of(rows: np.ndarray, texts: pa.Array):
@@ -200,55 +250,111 @@ def in_pieces_of(rows: np.ndarray, texts: pa.Array):
         yield rows[part == p]
 
 
-def grams_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams, their summed counts, and for each row the place of its gram."""
-    grams, at = np.unique(t.column("gram").to_numpy().view(np.uint64), return_inverse=True)
-    return grams, np.bincount(at, t.column("n").to_numpy(), len(grams)).astype(np.int64), at
-
-
-def top_model(parts: DataFrame, depth: int) -> Top:
-    """Depths 0 and 1: sums over the subtrees of all tasks, at most 256 x 255 rows whatever the corpus."""
-    def sums(t: pa.Table) -> pa.Table:
-        grams, n, _ = grams_of(t)
-        tree = Tree(grams, n, depth, 2)
-        level, out = tree.levels[2], []
-        for bit in range(8):
-            keys = level.keys[level.first[bit]]
-            symbol = (keys & np.uint64(255)).astype(np.int64)
-            out.append((((keys >> np.uint64(8)) & np.uint64(255)).astype(np.int64) * 256 + ((1 << bit) | (symbol >> (8 - bit))), level.n0[bit], level.n1[bit], tree.log_pw[2, bit]))
-        node, n0, n1, pw = (np.concatenate(x) for x in zip(*out))
-        at, of = np.unique(node, return_inverse=True)
-        return pa.table({"node": at, "n0": np.bincount(of, n0).astype(np.int64), "n1": np.bincount(of, n1).astype(np.int64), "log_pw": np.bincount(of, pw)})
-
-    rows = parts.groupBy("part").applyInArrow(sums, "node bigint, n0 bigint, n1 bigint, log_pw double").groupBy("node").agg(
+def summed(t: pa.Table) -> pa.Table:
+    """The lists of a part, and for each kind one more with the counts over all blocks."""
+    part, out = t.column("part")[0].as_py(), []
+    rows = list(zip(*(t.column(c).to_pylist() for c in ("kind", "keys", "n")), strict=True))
+    grams = [(numbers(k, np.uint64), numbers(n, np.int64)) for kind, k, n in rows if kind == GRAMS]
+    if grams:
+        keys, n = merged([g for g, _ in grams], [n for _, n in grams])
+        out.append((part, ALL, GRAMS, keys.tobytes(), n.tobytes()))
+    words: dict[bytes, int] = {}
+    for kind, k, n in rows:
+        if kind == WORDS:
+            for w, c in zip(k.split(b"\n"), numbers(n, np.int64).tolist(), strict=True):
+                words[w] = words.get(w, 0) + c
+    if words:
+        out.append((part, ALL, WORDS, b"\n".join(words), np.array([*words.values()], np.int64).tobytes()))
+    return pa.concat_tables([t.set_column(4, "n", pa.nulls(len(t), pa.binary())), pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), LISTED)], schema=LISTED)])
+
+
+def top_model(known: DataFrame, depth: int) -> tuple[Top, int, int]:
+    """Depths 0 and 1 from sums over the subtrees of all parts, at most 256 x 255 rows whatever the corpus; all and distinct training tokens."""
+    def sums(batches):
+        for b in batches:
+            for kind, keys, n in zip(*(b.column(c).to_pylist() for c in ("kind", "keys", "n")), strict=True):
+                n = numbers(n, np.int64)
+                if kind == WORDS:
+                    yield pa.record_batch([pa.array([x]) for x in (-1, int(n.sum()), int((n > 0).sum()), 0.0)], ["node", "n0", "n1", "log_pw"])
+                    continue
+                tree, out = Tree(numbers(keys, np.uint64), n, depth, 2), []
+                level = tree.levels[2]
+                for bit in range(8):
+                    first = level.keys[level.first[bit]]
+                    symbol = (first & np.uint64(255)).astype(np.int64)
+                    node = ((first >> np.uint64(8)) & np.uint64(255)).astype(np.int64) * 256 + ((1 << bit) | (symbol >> (8 - bit)))
+                    out.append((node, level.n0[bit], level.n1[bit], tree.log_pw[2, bit]))
+                node, n0, n1, pw = (np.concatenate(x) for x in zip(*out))
+                at, of = np.unique(node, return_inverse=True)
+                yield pa.record_batch([pa.array(at), pa.array(np.bincount(of, n0).astype(np.int64)), pa.array(np.bincount(of, n1).astype(np.int64)), pa.array(np.bincount(of, pw))],
+                                      ["node", "n0", "n1", "log_pw"])
+
+    rows = known.where(F.col("block") == ALL).select("kind", "keys", "n").mapInArrow(sums, "node bigint, n0 bigint, n1 bigint, log_pw double").groupBy("node").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_pw").alias("log_pw")).toPandas()
-    return Top(rows.node.to_numpy(np.int64) // 256, rows.node.to_numpy(np.int64) % 256, rows.n0.to_numpy(), rows.n1.to_numpy(), rows.log_pw.to_numpy(float))
-
-
-def score_block(docs: pa.Table, known: pa.Table, depth: int, total: int, distinct: int) -> pa.Table:
-    """Scores of one block's texts from the block's dictionary."""
-    is_gram = known.column("gram").is_valid()
-    grams = known.filter(is_gram)
-    words = known.filter(pc.invert(is_gram))
-    keys, value = grams.column("gram").combine_chunks(), grams.column("value").to_numpy()
-    counts = dict(zip(words.column("word").to_pylist(), words.column("value").to_pylist(), strict=True))
-    log = {w: math.log10((c + 0.1) / (total + 0.1 * (distinct + 1))) for w, c in counts.items()}
-    texts = docs.column("text").combine_chunks()
-    n_tokens, n_known, base, score = ([] for _ in range(4))
-    for rows in in_pieces_of(np.arange(len(texts)), texts):
-        raw = [texts[int(i)].as_py() for i in rows]
-        data = [x.encode("utf-8", "surrogatepass") for x in raw]
+    words, rows = rows[rows.node < 0], rows[rows.node >= 0]
+    top = Top(rows.node.to_numpy(np.int64) // 256, rows.node.to_numpy(np.int64) % 256, rows.n0.to_numpy(np.int64), rows.n1.to_numpy(np.int64), rows.log_pw.to_numpy(float))
+    return top, int(words.n0.sum()), int(words.n1.sum())
+
+
+def valued(t: pa.Table, top: Top, depth: int) -> pa.Table:
+    """For each block's lists of a part the log probabilities of its grams and the counts of its words."""
+    out, lists = [], [[], []]
+    for block, kind, keys, n in zip(*(t.column(c).to_pylist() for c in ("block", "kind", "keys", "n")), strict=True):
+        if block != ALL:
+            lists[kind].append((block, keys))
+        elif kind == GRAMS:
+            every, p = Tree(numbers(keys, np.uint64), numbers(n, np.int64), depth, 2).predict()
+            log = top.log10(every, p).astype(np.float32)
+        else:
+            words = dict(zip(keys.split(b"\n"), numbers(n, np.int64).tolist(), strict=True))
+    out += [(b, GRAMS, k, log[np.searchsorted(every, numbers(k, np.uint64))].tobytes()) for b, k in lists[GRAMS]]
+    out += [(b, WORDS, k, np.array([words[w] for w in k.split(b"\n")], np.int64).tobytes()) for b, k in lists[WORDS]]
+    b, kind, keys, n = zip(*out)
+    return pa.table({"block": pa.array(b, pa.int32()), "kind": pa.array(kind, pa.int32()), "keys": pa.array(keys, pa.binary()), "n": pa.array(n, pa.binary())})
+
+
+class Dictionary:
+    """What a block needs to score its texts: log probabilities of its grams and counts of its words, read from the stored table."""
+
+    def __init__(self, path: str, block: int, total: int, distinct: int):
+        where, name = fs.FileSystem.from_uri(path)
+        t = pq.read_table(f"{name}/block={block}", filesystem=where, columns=["kind", "keys", "n"])
+        packed = list(zip(*(t.column(c).to_pylist() for c in ("kind", "keys", "n")), strict=True))
+        self.places = Places(np.concatenate([numbers(k, np.uint64) for kind, k, _ in packed if kind == GRAMS]))
+        self.value = np.concatenate([numbers(n, np.float32) for kind, _, n in packed if kind == GRAMS])
+        self.words = pa.concat_arrays([pa.array(k.split(b"\n"), pa.binary()) for kind, k, _ in packed if kind == WORDS])
+        counts = np.concatenate([numbers(n, np.int64) for kind, _, n in packed if kind == WORDS])
+        self.known, self.log = counts > 0, np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1)))
+
+    def scores(self, data: list[bytes], depth: int) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, score of the words and score of the bytes of some texts."""
         g, firsts = texts_grams(data, depth)
-        at = pc.index_in(pa.array(g.view(np.int64)), keys).to_numpy()
-        score.append(np.add.reduceat(value[at], firsts))
+        score = np.add.reduceat(self.value[self.places.of(g)].astype(float), firsts)
+        tokens, sizes = [], []
         for x in data:
-            w = [y.decode("utf-8", "surrogatepass") for y in (*x.lower().split(), b"")]
-            n_tokens.append(len(w))
-            n_known.append(sum(counts[y] > 0 for y in w))
-            base.append(sum(map(log.__getitem__, w)))
-    return pa.table({"doc_id": docs.column("doc_id"), "learns": docs.column("learns"), "n_bytes": pc.cast(pc.binary_length(texts), pa.int64()),
-                     "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(texts), pa.int64()),
-                     "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(score) if score else [], pa.float64())})
+            own = x.lower().split()
+            own.append(b"")
+            tokens += own
+            sizes.append(len(own))
+        at, sizes = pc.index_in(pa.array(tokens, pa.binary()), self.words).to_numpy(), np.array(sizes)
+        firsts = np.cumsum(sizes) - sizes
+        return sizes, np.add.reduceat(self.known[at].astype(np.int64), firsts), np.add.reduceat(self.log[at], firsts), score
+
+
+def score_rows(batches, path: str, depth: int, total: int, distinct: int):
+    """Scores of the texts in their order; each block's dictionary is read as its texts come."""
+    known = functools.lru_cache(1)(Dictionary)
+    for b in batches:
+        blocks, texts = b.column(3).to_numpy(), b.column(1)
+        out = [np.zeros(len(b), t) for t in (np.int64, np.int64, float, float)]
+        for block in np.unique(blocks).tolist():
+            for rows in in_pieces_of(np.flatnonzero(blocks == block), texts):
+                data = [texts[int(i)].as_py().encode("utf-8", "surrogatepass") for i in rows]
+                for o, x in zip(out, known(path, block, total, distinct).scores(data, depth), strict=True):
+                    o[rows] = x
+        n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
+        yield pa.record_batch([b.column(0), b.column(2), n_bytes, pa.array(out[0]), pa.array(out[1]), pa.array(np.full(len(b), total, np.int64)), pa.array(out[2]), pa.array(out[3])],
+                              ["doc_id", "learns", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def score(docs: DataFrame, learns, text: str = "text", depth: int = DEPTH, files: bool = False) -> DataFrame:
@@ -258,35 +364,28 @@ def score(docs: DataFrame, learns, text: str = "text", depth: int = DEPTH, files
     text (of its bytes and its end), bits_per_byte (end mark counted). A null text counts as empty: one token, its end. Without training rows every
     bit has probability 1/2. Rows are independent, doc_id may repeat or be null; other columns are ignored; an empty table gives an empty one.
 
-    A block is a part of a file split, so it has a bounded share of the text; ``files`` says that ``docs`` is a plain scan of files. Anything
-    else is stored first. ``depth`` is 2 to 7.
+    A block is a file split or a part of one, so it has a bounded share of the text; ``files`` says that ``docs`` is a plain scan of files, which
+    both passes split alike. Anything else is stored first. ``depth`` is 2 to 6.
     """
-    if not 2 <= depth <= 7:
-        raise ValueError("depth is 2 to 7")
+    if not 2 <= depth <= 6:
+        raise ValueError("depth is 2 to 6")
     spark = docs.sparkSession
     src = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
     src = src if files else stored(src, "ctw-texts")
-    parts = max(1, math.ceil(float(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) / (16 << 20)))
-    src = src.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), F.lit(parts))))
-    schema = "block bigint, gram bigint, word string, n bigint"
-    lists = stored(src.select("block", "text", "learns").mapInArrow(lambda it: block_lists(it, depth), schema), "ctw-lists")
-    grams = lists.where("gram is not null")
-    width = max(1, math.ceil(grams.count() / GRAMS))
-    # a part holds whole subtrees: all grams with the same two latest context bytes
-    parted = grams.select("block", "gram", "n", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(width)).alias("part"))
-    top = spark.sparkContext.broadcast(top_model(parted, depth))
-
-    def scored(t: pa.Table) -> pa.Table:
-        distinct, n, at = grams_of(t)
-        keys, p = Tree(distinct, n, depth, 2).predict()  # keys come sorted, as distinct does
-        return pa.table({"block": t.column("block"), "gram": t.column("gram"), "word": pa.nulls(len(t), pa.string()), "value": top.value.log10(keys, p)[at]})
-
-    values = parted.groupBy("part").applyInArrow(scored, "block bigint, gram bigint, word string, value double")
-    words = lists.where("gram is null").select("block", "word", "n")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    values = values.union(words.join(counts, "word").select("block", F.lit(None).cast("bigint"), "word", F.col("c").cast("double")))
+    parts = max(1, math.ceil(float(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) / BLOCK))
+    block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    src = src.withColumn("block", F.pmod(block, F.lit(2**31 - 1)).cast("int"))
+    width = shuffle_width(spark)
+    listed = "part int, block int, kind int, keys binary, n binary"
+    lists = src.select("block", "text", "learns").mapInArrow(lambda it: released(block_lists(it, depth, width)), listed)
+    known = stored(lists.groupBy("part").applyInArrow(summed, listed), "ctw-lists")
+    model, total, distinct = top_model(known, depth)
+    top = spark.sparkContext.broadcast(model)
+    values = known.groupBy("part").applyInArrow(lambda t: valued(t, top.value, depth), VALUED)
+    path = f"{shared_folder(spark)}/ctw-values-{uuid.uuid4().hex}"
+    values.repartition(width, "block").write.partitionBy("block").parquet(path)
     kind = src.schema["doc_id"].dataType.simpleString()
-    out = src.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
-        lambda d, k: score_block(d, k, depth, total, distinct), f"doc_id {kind}, learns boolean, n_bytes bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = src.select("doc_id", "text", "learns", "block").mapInArrow(
+        lambda it: released(score_rows(it, path, depth, total, distinct)),
+        f"doc_id {kind}, learns boolean, n_bytes bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumn("bits_per_byte", -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1))
