@@ -144,12 +144,13 @@ def marginal_logistic(membership: DataFrame, y: DataFrame, n: Column) -> DataFra
     return finalize_stats(out)
 
 
-def marginal_logistic_weighted(membership: DataFrame, y: DataFrame, n: Column, rounds: int = 25,
+def marginal_logistic_weighted(membership: DataFrame, y: DataFrame, n: Column, rounds: int = 1000,
                                tol: float = 1e-6) -> DataFrame:
     """Marginal logistic regression for general weights: Newton rounds over grouped sums.
 
     Every round joins the current (alpha, beta) of each (set, trait) to the set's members and takes five sums; the
-    entities outside the set share one fitted value and enter as a count. Converged pairs leave the loop.
+    entities outside the set share one fitted value and enter as a count. Converged pairs, and those whose coefficients leave every bound,
+    leave the loop; it ends with the last pair. Only a diverged pair's effect is 0; ``converged`` tells what ``rounds`` cut off.
     """
     from evisets.plans.iterate import cut
 
@@ -193,12 +194,12 @@ def marginal_logistic_weighted(membership: DataFrame, y: DataFrame, n: Column, r
             "set_id", "trait", "size", "mean", "scale", "n", "xy", "y_sum",
             F.when(bad, F.col("alpha")).otherwise(F.col("alpha") + step_a).alias("alpha"),
             F.when(bad, F.col("beta")).otherwise(F.col("beta") + step_b).alias("beta"),
-            (bad | small).alias("done"), bad.alias("diverged"),
+            (bad | small | (F.abs(F.col("alpha") + step_a) > 1000) | (F.abs(F.col("beta") + step_b) > 1000)).alias("done"), bad.alias("diverged"),
         )
         state = cut(state.where("done").unionByName(moved))
         if state.where("not done").isEmpty():
             break
-    big = (F.abs("alpha") > 100) | (F.abs("beta") > 100) | ~F.col("done")
+    big = F.col("done") & ((F.abs("alpha") > 100) | (F.abs("beta") > 100))
     state = state.withColumn("diverged", F.col("diverged") | big).withColumns({
         "beta": F.when(F.col("diverged"), F.lit(0.0)).otherwise(F.col("beta")),
         "alpha": F.when(F.col("diverged"), F.col("y_sum") / (F.col("n") + 1)).otherwise(F.col("alpha")),
@@ -209,7 +210,7 @@ def marginal_logistic_weighted(membership: DataFrame, y: DataFrame, n: Column, r
     info = F.when(F.col("scale") == 0, F.lit(1.0)).when(info <= 0, F.lit(1e-10)).otherwise(info)
     return finalize_stats(s.select(
         "set_id", "trait", "size", "mean", "scale", (F.col("beta") * F.col("scale")).alias("beta_tilde"),
-        (F.col("scale") / F.sqrt(info)).alias("se"), F.col("alpha").alias("alpha_tilde"), "diverged",
+        (F.col("scale") / F.sqrt(info)).alias("se"), F.col("alpha").alias("alpha_tilde"), "diverged", F.col("done").alias("converged"),
     ))
 
 

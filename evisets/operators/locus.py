@@ -214,7 +214,7 @@ def entity_log_bf(scores: DataFrame, universe: DataFrame | None = None, other: D
         "entity_id", (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias("log_bf"))
 
 
-def fit_decay(pairs: DataFrame, nearest_share: float = 0.7, width: int = 5_000, rounds: int = 30) -> tuple[float, float]:
+def fit_decay(pairs: DataFrame, nearest_share: float = 0.7, width: int = 5_000) -> tuple[float, float]:
     """(slope, intercept) of the logistic decay, from the distance of each variant to its nearest entity.
 
     The nearest entity is right with probability ``nearest_share``, so every row contributes a success with that weight and a
@@ -227,7 +227,7 @@ def fit_decay(pairs: DataFrame, nearest_share: float = 0.7, width: int = 5_000,
     bins = two.groupBy(F.floor(F.col("dist") / width).alias("bin")).agg(F.sum(success).alias("k"), F.count("*").alias("n"))
     bins = cut(bins.select(((F.col("bin") + 0.5) * width).alias("x"), "k", "n"))
     a, b = 0.0, 0.0
-    for _ in range(rounds):
+    while True:  # Newton steps on a concave likelihood
         x = F.col("x") / 100_000.0
         fit = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) + F.lit(b) * x)))
         v = F.col("n") * fit * (F.lit(1.0) - fit)

@@ -207,7 +207,7 @@ def wide_basis(loadings: DataFrame, k: int) -> DataFrame:
 
 
 def nnls_project(basis: DataFrame, profiles: DataFrame, k: int, max_value: float | None = None, max_sum: float | None = None,
-                 iterations: int = 500, tol: float = 1e-5, penalty: float = 0.0, lambdas: np.ndarray | None = None,
+                 iterations: int = 100_000, tol: float = 1e-5, penalty: float = 0.0, lambdas: np.ndarray | None = None,
                  seed: int = 0) -> DataFrame:
     """Non-negative loadings(profile, factor, value) of each profile on a fixed basis (key, w array<K>).
 

@@ -6,6 +6,7 @@ already aggregated rows, or the driver for a single design). Rows never leave th
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,7 +116,7 @@ def ols_hc3(df: DataFrame, x: list[str], y: str, robust: bool = True) -> DataFra
     return with_tests(meat.select(rows.alias("_r")).select("_r.*"))
 
 
-def huber_reg(df: DataFrame, x: list[str], y: str, delta: float = 1.0, max_rounds: int = 100,
+def huber_reg(df: DataFrame, x: list[str], y: str, delta: float = 1.0, max_rounds: int | None = None,
               tol: float = 1e-6) -> DataFrame:
     """Huber robust regression by re-weighted least squares.
 
@@ -130,7 +131,7 @@ def huber_reg(df: DataFrame, x: list[str], y: str, delta: float = 1.0, max_round
     beta = inv @ np.array([float(row[f"xy_0_{i}"]) for i in range(k)])
     n = int(row["n_rows"])
     sse = 0.0
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         resid = F.col(y) - linear_column(beta, cols)
         w = F.when(F.abs(resid) <= delta, F.lit(1.0)).otherwise(F.lit(delta) / F.abs(resid))
         weighted = full.select(*[F.col(c).alias(c) for c in cols], F.col(y).alias("_y"), w.alias("_w"))

@@ -7,6 +7,8 @@ memberships, so a popular entity costs its degree, not its degree squared.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,12 +97,13 @@ def correlation_product(membership: DataFrame, betas: DataFrame, n: Column, col:
     return joined.select("set_id", *groups, value.alias("v_beta"))
 
 
-def shrink_joint(membership: DataFrame, stats: DataFrame, n: Column, rounds: int = 20, tol: float = 1e-4,
+def shrink_joint(membership: DataFrame, stats: DataFrame, n: Column, rounds: int | None = None, tol: float = 1e-4,
                  sparse_fraction: float = 0.0, damping: float = 0.5) -> DataFrame:
     """Joint posterior means: each effect is shrunk after removing what the other sets explain.
 
     stats carries p_used and sigma2_used. All traits advance together; a trait whose step grows has its damping halved, and a
-    trait whose largest step falls below ``tol`` x its largest effect leaves the loop.
+    trait whose largest step falls below ``tol`` x its largest effect leaves the loop. The loop runs until every trait has left it, or for
+    ``rounds`` rounds; ``converged`` tells which rows had.
     """
     membership = cut(spread(membership.select("set_id", "entity_id", "weight"), "set_id", "entity_id"))
     start = cut(shrink_independent(stats))
@@ -108,7 +111,7 @@ def shrink_joint(membership: DataFrame, stats: DataFrame, n: Column, rounds: int
     fixed = start.select(*keys, "beta_tilde", "se", "scale", "mean", "p_used", "sigma2_used")
     state = start.select(*keys, F.col("beta_uncorrected").alias("beta"), "postp", "scale", "mean",
                          F.lit(damping).alias("_w"), F.lit(float("inf")).alias("_last"), F.lit(False).alias("_done"))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         active = state.where("not _done")
         vb = correlation_product(membership, active, n)
         j = active.select(*keys, "beta", "_w", "_last").join(fixed, keys).join(vb, keys, "left")
@@ -133,14 +136,14 @@ def shrink_joint(membership: DataFrame, stats: DataFrame, n: Column, rounds: int
         state = cut(state.where("_done").unionByName(moved))
         if state.where("not _done").isEmpty():
             break
-    return sparse_cut(state.select(*keys, "beta", "postp", "scale", "mean"), "beta", sparse_fraction, ["trait"])
+    return sparse_cut(state.select(*keys, "beta", "postp", "scale", "mean", F.col("_done").alias("converged")), "beta", sparse_fraction, ["trait"])
 
 
-def screen_zero(membership: DataFrame, stats: DataFrame, n: Column, blocks: int, rounds: int = 3,
+def screen_zero(membership: DataFrame, stats: DataFrame, n: Column, blocks: int, rounds: int | None = None,
                 fraction: float = DEFAULT_SPARSE_FRACTION) -> DataFrame:
     """Sets worth a joint fit: shrink jointly within hashed blocks only and keep the non-zero ones.
 
-    The block is appended to the trait key, so blocks never see each other and all run at once.
+    The block is appended to the trait key, so blocks never see each other and all run at once, each to convergence.
     """
     block = F.pmod(F.xxhash64("set_id"), F.lit(blocks))
     tagged = stats.withColumn("trait", F.concat_ws("|", F.col("trait").cast("string"), block.cast("string")))
@@ -177,21 +180,18 @@ def hyper_step(stats: DataFrame, hyper: DataFrame, pseudo: float = 0.0, power: f
     return s.select(*keys, "p", sigma2.alias("sigma2"), F.col("_p").alias("p_before"), F.col("_s2").alias("sigma2_before"))
 
 
-def learn_hyper(stats: DataFrame, start_p: float, start_sigma2: float, rounds: int = 20, tol: float = 0.01,
+def learn_hyper(stats: DataFrame, start_p: float, start_sigma2: float, rounds: int | None = None, tol: float = 0.01,
                 **options) -> DataFrame:
-    """Repeat ``hyper_step`` until p and sigma2 of every (trait, batch) move by less than ``tol``."""
+    """Repeat ``hyper_step`` until p and sigma2 of every (trait, batch) move by less than ``tol``, or for ``rounds`` rounds; ``converged`` tells."""
     if "batch" not in stats.columns:
         stats = stats.withColumn("batch", F.lit("all"))
     hyper = cut(stats.select("trait", "batch").distinct().withColumns(
         {"p": F.lit(float(start_p)), "sigma2": F.lit(float(start_sigma2))}))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         step = cut(hyper_step(stats, hyper, **options))
-        hyper = step.select("trait", "batch", "p", "sigma2")
-        worst = step.agg(F.max(F.greatest(
-            F.abs(F.col("p") - F.col("p_before")) / F.col("p_before"),
-            F.abs(F.col("sigma2") - F.col("sigma2_before")) / F.col("sigma2_before"),
-        ))).first()[0]
-        if worst is None or worst < tol:
+        moved = F.greatest(F.abs(F.col("p") - F.col("p_before")) / F.col("p_before"), F.abs(F.col("sigma2") - F.col("sigma2_before")) / F.col("sigma2_before"))
+        hyper = step.select("trait", "batch", "p", "sigma2", (moved < tol).alias("converged"))
+        if hyper.where("not converged").isEmpty():
             break
     return hyper
 

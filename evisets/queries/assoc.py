@@ -200,7 +200,7 @@ def marginal_logistic(spark, sf):
 @query("assoc_logistic_weighted")
 def logistic_weighted(spark, sf):
     y = evidence(spark, sf).where("log_bf > -0.5").select("entity_id", F.lit("returns").alias("trait"), F.lit(1.0).alias("value"))
-    return assoc.marginal_logistic_weighted(membership(spark, sf), y, n_entities(spark, sf), rounds=12)
+    return assoc.marginal_logistic_weighted(membership(spark, sf), y, n_entities(spark, sf))
 
 
 CORR = "ec AS (SELECT i.entity_id AS a, j.entity_id AS b, CASE WHEN i.entity_id = j.entity_id THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS r FROM bk i JOIN bk j ON i.bkey = j.bkey)"

@@ -130,7 +130,7 @@ def correlation_product(spark, sf):
 @query("shrink_joint")
 def shrink_joint(spark, sf):
     n = n_entities(spark, sf)
-    return shrink.shrink_joint(membership(spark, sf), stats(spark, sf), n, rounds=6).select("set_id", "trait", "beta", "postp")
+    return shrink.shrink_joint(membership(spark, sf), stats(spark, sf), n).select("set_id", "trait", "beta", "postp", "converged")
 
 
 def one_round(name):
@@ -148,7 +148,7 @@ def shrink_joint_one(spark, sf):
 
 @query("screen_zero")
 def screen_zero(spark, sf):
-    return shrink.screen_zero(membership(spark, sf), stats(spark, sf), n_entities(spark, sf), blocks=4, rounds=2, fraction=0.05)
+    return shrink.screen_zero(membership(spark, sf), stats(spark, sf), n_entities(spark, sf), blocks=4, fraction=0.05)
 
 
 def batched(spark, sf):
@@ -170,7 +170,7 @@ def hyper_step(spark, sf):
 
 @query("learn_hyper")
 def learn_hyper(spark, sf):
-    return shrink.learn_hyper(batched(spark, sf), 0.1, 0.001, rounds=5, pseudo=1.0, power=-1.0)
+    return shrink.learn_hyper(batched(spark, sf), 0.1, 0.001, pseudo=1.0, power=-1.0)
 
 
 @query("assign_hyper", f"""WITH b AS (SELECT c_nationkey::BIGINT AS trait, c_mktsegment AS batch, min(c_custkey) AS batch_order, avg(c_acctbal) / 1e4 AS p, sum(c_acctbal) / 1e6 AS s FROM customer GROUP BY 1, 2),
@@ -268,7 +268,7 @@ def support(spark, sf):
     from evisets.plans.support import run_support
 
     y = trait_y(spark, sf)
-    return run_support(membership(spark, sf), y, universe(spark, sf), 0.2, 0.001, -1.0, max_p=0.5, joint_rounds=2).scores
+    return run_support(membership(spark, sf), y, universe(spark, sf), 0.2, 0.001, -1.0, max_p=0.5, joint_rounds=None).scores
 
 
 @query("support_run_sets")

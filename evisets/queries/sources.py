@@ -52,6 +52,19 @@ def scan_only_ids(spark, sf):
     return scans.parse_set_lines(set_lines(spark, sf), ids)
 
 
+@query("read_inputs", """WITH t AS (SELECT l_orderkey AS line_no, 'dir/' || (l_orderkey % 5) AS path, 'P' || l_partkey AS entity_id, max(CASE WHEN l_linenumber % 2 = 1 THEN 1.0::DOUBLE ELSE l_quantity END) AS weight
+    FROM lineitem WHERE l_linenumber < 6 GROUP BY 1, 2, 3),
+f AS (SELECT 'dir/' || r_regionkey AS path, CASE WHEN r_regionkey % 2 = 0 THEN replace(r_name, ' ', '-') END AS label, r_name AS batch FROM region),
+s AS (SELECT coalesce(label || '_', '') || 'C' || o_custkey AS set_id, line_no, entity_id, label, batch, weight FROM t JOIN f USING (path) JOIN orders ON o_orderkey = line_no),
+o AS (SELECT coalesce(label || '_', '') || 'C' || o_custkey AS set_id, min(o_orderkey) AS line_no FROM orders JOIN f ON path = 'dir/' || (o_orderkey % 5) WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1)
+SELECT s.* FROM s JOIN o USING (set_id, line_no)""")
+def read_inputs(spark, sf):
+    text = set_lines(spark, sf).withColumn("path", F.concat(F.lit("dir/"), (F.col("line_no") % 5).cast("string")))
+    files = table(spark, sf, "region").select(F.concat(F.lit("dir/"), F.col("r_regionkey").cast("string")).alias("path"),
+                                              F.when(F.col("r_regionkey") % 2 == 0, F.translate("r_name", " ", "-")).alias("label"), F.col("r_name").alias("batch"))
+    return scans.parse_inputs(text, files)
+
+
 @query("scan_dense_annotations", f"""SELECT p_partkey::VARCHAR AS entity_id, name, {r('value', 'value')} FROM (
     SELECT p_partkey, 'p_size' AS name, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part)""")
 def scan_dense(spark, sf):
