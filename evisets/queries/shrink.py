@@ -271,6 +271,39 @@ def support(spark, sf):
     return run_support(membership(spark, sf), y, universe(spark, sf), 0.2, 0.001, -1.0, max_p=0.5, joint_rounds=None).scores
 
 
+def joint_round(now: str, then: str) -> str:
+    """One damped joint round in SQL over rows (set_id, trait, beta, beta_tilde, se, scale, mean)."""
+    m, _, _ = spike_sql(f"{P}::DOUBLE", f"({S2}::DOUBLE * pow(scale, -1.0::DOUBLE))", "res", "se")
+    return f"""{then} AS (SELECT set_id, trait, beta_tilde, se, scale, mean, beta + 0.5 * (CASE WHEN se > 0 THEN {m} ELSE 0 END - beta) AS beta
+  FROM (SELECT k.*, beta_tilde - ((coalesce(xu, 0) / n.n - mean * s) / scale - beta) AS res FROM {now} k
+    LEFT JOIN (SELECT set_id, trait, sum(weight * u) AS xu FROM memb JOIN (SELECT entity_id, trait, sum(weight * beta / scale) AS u FROM memb JOIN {now} USING (set_id) GROUP BY 1, 2) USING (entity_id) GROUP BY 1, 2) USING (set_id, trait)
+    JOIN (SELECT trait, sum(mean * beta / scale) AS s FROM {now} GROUP BY 1) USING (trait), n))"""
+
+
+# the whole run from the model: filters, two joint rounds, sparse cut, prior of every entity, degree line over all of them, scores
+SUPPORT = BASE.rstrip() + """,
+k0 AS (SELECT set_id, trait, beta_tilde, se, scale, mean, beta_uncorrected AS beta FROM sh WHERE size BETWEEN 10 AND 30000 AND p <= 0.5 AND beta_tilde >= 0 AND scale > 0),
+""" + joint_round("k0", "k1") + ",\n" + joint_round("k1", "k2") + """,
+kept AS (SELECT set_id, trait, scale, mean, CASE WHEN abs(beta) < 0.001::DOUBLE * max(abs(beta)) OVER (PARTITION BY trait) THEN 0 ELSE beta END AS beta FROM k2),
+every AS (SELECT p_partkey AS entity_id FROM part UNION SELECT entity_id FROM memb UNION SELECT entity_id FROM y),
+low AS (SELECT trait, coalesce(sum(mean * beta / scale), 0) AS s FROM (SELECT DISTINCT trait FROM st) LEFT JOIN kept USING (trait) GROUP BY 1),
+xs AS (SELECT entity_id, trait, sum(weight * beta / scale) AS x FROM memb JOIN kept USING (set_id) GROUP BY 1, 2),
+p0 AS (SELECT e.entity_id, l.trait, coalesce(x, 0) - s AS prior FROM every e JOIN low l ON true LEFT JOIN xs ON xs.entity_id = e.entity_id AND xs.trait = l.trait),
+dg AS (SELECT e.entity_id, count(memb.set_id) AS n_sets FROM every e LEFT JOIN memb USING (entity_id) GROUP BY 1),
+ln AS (SELECT trait, coalesce(covar_samp(prior, n_sets) / nullif(var_pop(n_sets), 0), 0) AS sl, avg(prior) AS mp, avg(n_sets) AS mn FROM p0 JOIN dg USING (entity_id) GROUP BY 1),
+p1 AS (SELECT entity_id, trait, prior - sl * n_sets - (mp - sl * mn) AS prior FROM p0 JOIN dg USING (entity_id) JOIN ln USING (trait)),
+sc AS (SELECT entity_id, trait, coalesce(value, 0) AS log_bf, coalesce(prior, 0) AS prior FROM p1 FULL JOIN y USING (entity_id, trait))
+"""
+
+
+@query("support_run_two_rounds", SUPPORT + f"""SELECT entity_id, trait, {r('log_bf', 'log_bf')}, {r('prior', 'prior')}, {r('prior + log_bf', 'combined')},
+    {r('1 / (1 + exp(-(prior + log_bf + ln(0.05::DOUBLE / 0.95))))', 'combined_D')} FROM sc""")
+def support_two(spark, sf):
+    from evisets.plans.support import run_support
+
+    return run_support(membership(spark, sf), trait_y(spark, sf), universe(spark, sf), P, S2, -1.0, max_p=0.5, prune_at=None, joint_rounds=2).scores
+
+
 @query("support_run_sets")
 def support_sets(spark, sf):
     from evisets.plans.support import run_support

@@ -37,20 +37,32 @@ def test_result_does_not_depend_on_partitions(spark):
     assert abs(a - b) < 1e-9
 
 
-def test_capture_is_blind_to_scale(spark):
-    basis = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0)], "key string, factor int, value double")
-    prof = spark.createDataFrame([("x", "a", 8.0), ("x", "b", 2.0), ("y", "a", 16.0), ("y", "b", 4.0)], "profile string, key string, value double")
-    share, strength = nmf.capture(basis, prof, 2)
-    got = {(r.profile, r.factor): r.value for r in share.collect()}
-    assert all(abs(got[(p, f)] - v) < 1e-4 for p in "xy" for f, v in ((1, 0.8), (2, 0.2)))
-    assert {r.profile: r.strength for r in strength.collect()} == {"x": 10.0, "y": 20.0}
-
-
-def test_strength_only_breaks_ties(spark):
-    c = spark.createDataFrame([(i, f, v) for i, row in enumerate(((.5, .1), (.5, .3), (.2, .3))) for f, v in enumerate(row, 1)], "trait long, factor int, value double")
-    s = spark.createDataFrame([(0, 5.0), (1, 10.0), (2, 1.0)], "trait long, strength double")
-    got = {(r.factor, r["rank"]): r.trait for r in fx.top_capture(c, s, 2).collect()}
-    assert [got[(1, 1)], got[(1, 2)], got[(2, 1)], got[(2, 2)]] == [1, 0, 1, 2]
+def test_capture_recovers_mixtures_whatever_their_scale(spark):
+    rng = np.random.default_rng(11)
+    keys, k, n = 40, 4, 25
+    B = rng.random((keys, k)) ** 2
+    shares = rng.dirichlet(np.ones(k), n)
+    mass = rng.uniform(0.5, 50, n)
+    V = (shares @ (B / B.sum(0)).T) * mass[:, None]
+    basis = spark.createDataFrame([(i, f + 1, float(B[i, f])) for i in range(keys) for f in range(k)], "key long, factor int, value double")
+    prof = spark.createDataFrame([(p, i, float(V[p, i])) for p in range(n) for i in range(keys)], "profile long, key long, value double")
+    share, strength = nmf.capture(basis, prof, k)
+    got = np.zeros((n, k))
+    for r in share.collect():
+        got[r.profile, r.factor - 1] = r.value
+    assert np.abs(got - shares).max() < 1e-3
+    assert np.allclose([r.strength for r in strength.orderBy("profile").collect()], mass)
+
+
+def test_top_capture_orders_ties_by_strength_then_key(spark):
+    rng = np.random.default_rng(12)
+    n, k, top = 60, 3, 7
+    value, power = rng.integers(0, 4, (n, k)) / 4, rng.integers(0, 3, n).astype(float)
+    c = spark.createDataFrame([(t, f + 1, float(value[t, f])) for t in range(n) for f in range(k)], "trait long, factor int, value double")
+    s = spark.createDataFrame([(t, float(power[t])) for t in range(n)], "trait long, strength double")
+    got = sorted((r.factor, r["rank"], r.trait) for r in fx.top_capture(c, s, top).collect())
+    want = [(f + 1, i + 1, int(t)) for f in range(k) for i, t in enumerate(np.lexsort((np.arange(n), -power, -value[:, f]))[:top])]
+    assert got == want
 
 
 def test_noisy_or(spark):
