@@ -16,7 +16,7 @@ from evisets.functions.scalar import calibrate_bf, posterior, wakefield_log_bf,
 from evisets.functions.special import hypergeom_sf, with_p
 from evisets.operators.align import count_of
 from evisets.operators.ordered import bh_q
-from evisets.plans.iterate import grid
+from evisets.plans.iterate import grid, heavy_keys, split_join
 from evisets.operators.sets import set_moments
 
 
@@ -49,8 +49,8 @@ def trait_moments(y: DataFrame, n: Column) -> DataFrame:
 
 
 def set_trait_dots(membership: DataFrame, y: DataFrame) -> DataFrame:
-    """sum of weight x value per (set, trait): one join on the entity, partial sums before the shuffle."""
-    return membership.join(y, "entity_id").groupBy("set_id", "trait").agg(
+    """sum of weight x value per (set, trait): one join on the entity, partial sums before the shuffle. Popular entities are split by set."""
+    return split_join(membership, y, "entity_id", "set_id", heavy_keys(membership, "entity_id")).groupBy("set_id", "trait").agg(
         F.sum(F.col("weight") * F.col("value")).alias("xy")
     )
 

@@ -240,7 +240,7 @@ def fit_decay(pairs: DataFrame, nearest_share: float = 0.7, width: int = 5_000)
         da = (s["h11"] * s["g0"] - s["h01"] * s["g1"]) / det
         db = (s["h00"] * s["g1"] - s["h01"] * s["g0"]) / det
         a, b = a + da, b + db
-        if abs(da) + abs(db) < 1e-9:
+        if not abs(da) + abs(db) >= 1e-9:
             break
     return b / 100_000.0, a
 

@@ -147,7 +147,7 @@ def huber_reg(df: DataFrame, x: list[str], y: str, delta: float = 1.0, max_round
         xy = np.array([float(r[f"xy_0_{i}"]) for i in range(k)])
         new = inv @ xy
         sse = float(r["yy"]) - float(new @ xy)
-        done = np.max(np.abs(new - beta)) < tol
+        done = not np.max(np.abs(new - beta)) >= tol * (1 + np.max(np.abs(new)))  # also where sums aren't finite
         beta = new
         if done:
             break

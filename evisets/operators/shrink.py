@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evisets.functions.scalar import SigmoidThreshold, scaled_sigma2, spike_slab, to_prob
 from evisets.operators.assoc import marginal_logistic, marginal_linear, sample_outcomes
 from evisets.operators.sets import entity_degree
-from evisets.plans.iterate import broadcast_if_small, cut, grid, spread
+from evisets.plans.iterate import broadcast_if_small, cut, grid, heavy_keys, split_join, spread
 
 DEFAULT_P = 0.001
 DEFAULT_POWER = -2.0
@@ -76,10 +76,11 @@ def prior_from_effects(membership: DataFrame, betas: DataFrame, col: str = "beta
 
 
 def correlation_product(membership: DataFrame, betas: DataFrame, n: Column, col: str = "beta",
-                        groups: tuple[str, ...] = ("trait",)) -> DataFrame:
+                        groups: tuple[str, ...] = ("trait",), heavy: DataFrame | None = None) -> DataFrame:
     """(V beta)(set_id, groups): set correlations times effects, through the entities.
 
-    With u = X (beta / scale), (V beta)_i = (x_i . u / n - mean_i sum_j mean_j beta_j / scale_j) / scale_i.
+    With u = X (beta / scale), (V beta)_i = (x_i . u / n - mean_i sum_j mean_j beta_j / scale_j) / scale_i. ``heavy`` are the memberships' popular
+    entities, counted once by the caller.
     """
     live = cut(betas.where((F.col(col) != 0) & (F.col("scale") > 0)).select(
         "set_id", *groups, (F.col(col) / F.col("scale")).alias("_b"), "mean"
@@ -87,7 +88,7 @@ def correlation_product(membership: DataFrame, betas: DataFrame, n: Column, col:
     u = membership.join(broadcast_if_small(live.drop("mean")), "set_id").groupBy("entity_id", *groups).agg(
         F.sum(F.col("weight") * F.col("_b")).alias("_u")
     )
-    back = membership.join(u, "entity_id").groupBy("set_id", *groups).agg(
+    back = split_join(membership, u, "entity_id", "set_id", heavy).groupBy("set_id", *groups).agg(
         F.sum(F.col("weight") * F.col("_u")).alias("_xu")
     )
     shift = live.groupBy(*groups).agg(F.sum(F.col("mean") * F.col("_b")).alias("_shift"))
@@ -97,23 +98,24 @@ def correlation_product(membership: DataFrame, betas: DataFrame, n: Column, col:
     return joined.select("set_id", *groups, value.alias("v_beta"))
 
 
-def shrink_joint(membership: DataFrame, stats: DataFrame, n: Column, rounds: int | None = None, tol: float = 1e-4,
+def shrink_joint(membership: DataFrame, stats: DataFrame, n: Column, rounds: int = 200, tol: float = 1e-4,
                  sparse_fraction: float = 0.0, damping: float = 0.5) -> DataFrame:
     """Joint posterior means: each effect is shrunk after removing what the other sets explain.
 
     stats carries p_used and sigma2_used. All traits advance together; a trait whose step grows has its damping halved, and a
-    trait whose largest step falls below ``tol`` x its largest effect leaves the loop. The loop runs until every trait has left it, or for
-    ``rounds`` rounds; ``converged`` tells which rows had.
+    trait whose largest step falls below ``tol`` x its largest effect leaves the loop. The loop ends when every trait has left it; a trait
+    can circle around its solution, so it ends after ``rounds`` rounds at the latest, and ``converged`` tells which rows are final.
     """
     membership = cut(spread(membership.select("set_id", "entity_id", "weight"), "set_id", "entity_id"))
+    heavy = heavy_keys(membership, "entity_id")
     start = cut(shrink_independent(stats))
     keys = ["set_id", "trait"]
     fixed = start.select(*keys, "beta_tilde", "se", "scale", "mean", "p_used", "sigma2_used")
     state = start.select(*keys, F.col("beta_uncorrected").alias("beta"), "postp", "scale", "mean",
                          F.lit(damping).alias("_w"), F.lit(float("inf")).alias("_last"), F.lit(False).alias("_done"))
-    for _ in itertools.count() if rounds is None else range(rounds):
+    for _ in range(rounds):
         active = state.where("not _done")
-        vb = correlation_product(membership, active, n)
+        vb = correlation_product(membership, active, n, heavy=heavy)
         j = active.select(*keys, "beta", "_w", "_last").join(fixed, keys).join(vb, keys, "left")
         resid = F.col("beta_tilde") - (F.coalesce("v_beta", F.lit(0.0)) - F.col("beta"))
         j = j.withColumn("_r", resid)
@@ -139,7 +141,7 @@ def shrink_joint(membership: DataFrame, stats: DataFrame, n: Column, rounds: int
     return sparse_cut(state.select(*keys, "beta", "postp", "scale", "mean", F.col("_done").alias("converged")), "beta", sparse_fraction, ["trait"])
 
 
-def screen_zero(membership: DataFrame, stats: DataFrame, n: Column, blocks: int, rounds: int | None = None,
+def screen_zero(membership: DataFrame, stats: DataFrame, n: Column, blocks: int, rounds: int = 200,
                 fraction: float = DEFAULT_SPARSE_FRACTION) -> DataFrame:
     """Sets worth a joint fit: shrink jointly within hashed blocks only and keep the non-zero ones.
 
@@ -190,7 +192,7 @@ def learn_hyper(stats: DataFrame, start_p: float, start_sigma2: float, rounds: i
     for _ in itertools.count() if rounds is None else range(rounds):
         step = cut(hyper_step(stats, hyper, **options))
         moved = F.greatest(F.abs(F.col("p") - F.col("p_before")) / F.col("p_before"), F.abs(F.col("sigma2") - F.col("sigma2_before")) / F.col("sigma2_before"))
-        hyper = step.select("trait", "batch", "p", "sigma2", (moved < tol).alias("converged"))
+        hyper = step.select("trait", "batch", "p", "sigma2", (~(moved >= tol) | (F.col("p") < 1e-12)).alias("converged"))
         if hyper.where("not converged").isEmpty():
             break
     return hyper
@@ -273,7 +275,7 @@ def fold_stats(membership: DataFrame, y: DataFrame, folds: DataFrame) -> DataFra
     ygrid = ygrid.select("trait", "fold", ymean.alias("y_mean"),
                          ((F.col("ts2") - F.col("s2")) / F.col("_n") - ymean * ymean).alias("y_var"))
 
-    dpart = located.join(y, "entity_id").groupBy("set_id", "trait", "fold").agg(
+    dpart = split_join(located, y, "entity_id", "set_id", heavy_keys(located, "entity_id")).groupBy("set_id", "trait", "fold").agg(
         F.sum(F.col("weight") * F.col("value")).alias("xy"))
     dtot = dpart.groupBy("set_id", "trait").agg(F.sum("xy").alias("txy"))
     grid = dtot.join(sets, "set_id").join(ygrid, ["trait", "fold"]).join(dpart, ["set_id", "trait", "fold"], "left")

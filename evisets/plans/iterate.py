@@ -46,6 +46,25 @@ def grid(left: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(packed, "_slot").withColumn("_names", F.explode("_names")).select(*left.columns, "_names.*")
 
 
+HEAVY = 200_000  # rows with one key that a task may join
+
+
+def heavy_keys(many: DataFrame, key: str) -> DataFrame | None:
+    """(key, _parts) of the keys with more than HEAVY rows, stored; None if there are none. Counted once for a table that loops join."""
+    heavy = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HEAVY)
+    heavy = cut(heavy.select(key, F.ceil(F.col("_n") / HEAVY).cast("int").alias("_parts")))
+    return None if heavy.isEmpty() else heavy
+
+
+def split_join(many: DataFrame, few: DataFrame, key: str, by: str, heavy: DataFrame | None) -> DataFrame:
+    """``many`` joined with ``few`` on ``key``; rows of a heavy key are dealt over parts by a hash of ``by``, its rows in ``few`` are copied to each."""
+    if heavy is None:
+        return many.join(few, key)
+    left = many.join(heavy, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    right = few.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast a materialised narrow table after counting it; a larger one is joined by shuffle.
 

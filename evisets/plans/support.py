@@ -26,11 +26,11 @@ def enrichment(membership: DataFrame, y: DataFrame, universe: DataFrame) -> Data
 
 def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: float = shrink.DEFAULT_P, sigma2: float = 1e-4,
                 power: float | None = shrink.DEFAULT_POWER, min_size: int = 10, max_size: int = 30_000, max_p: float = 0.01,
-                prune_at: float | None = 0.8, joint_rounds: int | None = 0, adjust_degree: bool = True, learn_p: bool = False) -> Support:
+                prune_at: float | None = 0.8, joint_rounds: int = 0, adjust_degree: bool = True, learn_p: bool = False) -> Support:
     """Filters, marginal and (optionally joint) shrunken effects, priors and combined scores.
 
     y(entity_id, trait, value) is the log Bayes factor. Filtered sets stay in the result with their reason and their independent
-    effect; only kept ones feed the priors. ``joint_rounds``: 0 for independent effects, None for joint ones to convergence. Scores list every entity of universe, memberships and evidence for every trait.
+    effect; only kept ones feed the priors. ``joint_rounds``: 0 for independent effects, else the most rounds of the joint fit. Scores list every entity of universe, memberships and evidence for every trait.
     """
     n = universe.agg(F.count("*")).scalar()
     membership, y = cut(spread(membership.select("set_id", "entity_id", "weight"), "set_id", "entity_id")), cut(y.select("entity_id", "trait", "value"))
@@ -49,7 +49,7 @@ def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: flo
         stats = shrink.with_hyper(stats, p, sigma2, power)
     fit = cut(shrink.shrink_independent(stats, shrink.DEFAULT_SPARSE_FRACTION))
     kept = F.col("status") == "kept"
-    if joint_rounds != 0:
+    if joint_rounds:
         joint = shrink.shrink_joint(inside, stats.where(kept), n, joint_rounds, sparse_fraction=shrink.DEFAULT_SPARSE_FRACTION)
         fit = fit.join(joint.select("set_id", "trait", "beta"), ["set_id", "trait"], "left").fillna(0.0, ["beta"])
     else:

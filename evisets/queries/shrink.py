@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evisets.operators import assoc, shrink
+from evisets.plans.iterate import heavy_keys
 from evisets.queries.roles import (
     binary, evidence, evidence_y, marginal_sql, membership, moments_sql, n_entities, order_sets, r, spike_sql, table, tidy, trait_y, universe, with_,
 )
@@ -124,7 +125,7 @@ xu AS (SELECT set_id, sum(weight * u) AS xu FROM bin JOIN u USING (entity_id) GR
 def correlation_product(spark, sf):
     n = n_entities(spark, sf)
     s = assoc.marginal_linear(binary(spark, sf), evidence_y(spark, sf), n)
-    return shrink.correlation_product(binary(spark, sf), s, n, "beta_tilde")
+    return shrink.correlation_product(binary(spark, sf), s, n, "beta_tilde", heavy=heavy_keys(binary(spark, sf), "entity_id"))
 
 
 @query("shrink_joint")
@@ -268,7 +269,7 @@ def support(spark, sf):
     from evisets.plans.support import run_support
 
     y = trait_y(spark, sf)
-    return run_support(membership(spark, sf), y, universe(spark, sf), 0.2, 0.001, -1.0, max_p=0.5, joint_rounds=None).scores
+    return run_support(membership(spark, sf), y, universe(spark, sf), 0.2, 0.001, -1.0, max_p=0.5, joint_rounds=200).scores
 
 
 def joint_round(now: str, then: str) -> str:

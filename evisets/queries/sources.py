@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evisets.operators import align
-from evisets.queries.roles import CTE, evidence_y, binary, n_entities, r, table, tidy, variants, with_, _positions
+from evisets.queries.roles import CTE, evidence_y, binary, membership, n_entities, r, table, tidy, variants, with_, _positions
 from evisets.operators.assoc import marginal_linear
 from evisets.queries.roles import marginal_sql
 from evisets.sources import profile, scans
@@ -266,6 +268,33 @@ def scan_loadings(spark, sf):
     return scans.parse_loadings(wide, "Gene_Set", "set")
 
 
+@query("only_listed_sets", with_("memb") + f"SELECT set_id, entity_id, {r('weight', 'weight')} FROM memb WHERE set_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def only_listed_sets(spark, sf):
+    listed = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("set_id"))
+    return scans.only_listed_sets(membership(spark, sf), listed).select("set_id", "entity_id", "weight")
+
+
+def shared(spark, name):
+    """A new place in the folder the session shares."""
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("hand_off_tables", with_("memb") + f"SELECT set_id, entity_id, {r('weight', 'weight')}, s_name AS name FROM memb LEFT JOIN supplier ON s_suppkey = set_id")
+def hand_off_tables(spark, sf):
+    path = shared(spark, "hand-off")
+    scans.save_tables({"membership": membership(spark, sf).select("set_id", "entity_id", "weight"),
+                       "names": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("set_id"), F.col("s_name").alias("name"))}, path)
+    back = scans.load_tables(spark, path, ["membership", "names"])
+    return back["membership"].join(back["names"], "set_id", "left").select("set_id", "entity_id", "weight", "name")
+
+
+@query("tsv_round_trip", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
+def tsv_round_trip(spark, sf):
+    path = shared(spark, "tsv")
+    scans.write_tsv(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), path)
+    return scans.table(spark, path).drop("line_no")
+
+
 @query("scan_keyed", f"SELECT p_partkey, p_name, {r('p_retailprice', 'p_retailprice')} FROM part")
 def scan_keyed(spark, sf):
     return scans.require_unique(table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice"), ["p_partkey"])

@@ -190,3 +190,48 @@ def test_alternating_estimate_finds_the_planted_set(spark):
     s = {r.entity_id: r.prior for r in scores.collect()}
     assert np.mean([s[e] for e in range(20)]) > np.mean([s[e] for e in range(20, 100)])
     assert draws.count() == 10
+
+
+def test_popular_entities_are_split_without_changing_results(spark, monkeypatch):
+    from evisets.plans import iterate
+
+    rng = np.random.default_rng(8)
+    rows = [(s, 0, 1.0) for s in range(40)] + [(s, int(e), float(w)) for s in range(40) for e, w in zip(rng.choice(np.arange(1, 200), 12, False), rng.random(12) + 0.1)]
+    memb = spark.createDataFrame(rows, "set_id long, entity_id long, weight double")
+    y = spark.createDataFrame([(e, t, float(rng.normal())) for e in range(200) for t in range(2)], "entity_id long, trait long, value double")
+    n = F.lit(200.0)
+
+    def run():
+        stats = assoc.marginal_linear(memb, y, n)
+        vb = shrink.correlation_product(memb, stats, n, "beta_tilde", heavy=iterate.heavy_keys(memb, "entity_id"))
+        return sorted((r.set_id, r.trait, r.beta_tilde, r.v_beta) for r in stats.join(vb, ["set_id", "trait"]).collect())
+
+    assert iterate.heavy_keys(memb, "entity_id") is None
+    plain = run()
+    monkeypatch.setattr(iterate, "HEAVY", 10)
+    assert iterate.heavy_keys(memb, "entity_id").count() >= 1
+    assert len(plain) == 80 and np.allclose(plain, run(), atol=1e-12)
+
+
+def test_grid_has_no_limit_on_names(spark, monkeypatch):
+    from evisets.plans import iterate
+
+    monkeypatch.setattr(iterate, "AXIS", 7)
+    got = iterate.grid(spark.range(3).withColumnRenamed("id", "e"), spark.range(50).withColumnRenamed("id", "t"))
+    assert sorted(tuple(r) for r in got.collect()) == [(e, t) for e in range(3) for t in range(50)]
+
+
+def test_run_lists_every_entity_with_its_true_prior(spark):
+    from evisets.plans.support import run_support
+
+    rng = np.random.default_rng(9)
+    rows = [(s, int(e), 1.0) for s in range(6) for e in rng.choice(60, 15, False)]
+    memb = spark.createDataFrame(rows, "set_id long, entity_id long, weight double")
+    y = spark.createDataFrame([(int(e), "t", 2.0 + float(rng.random())) for s, e, _ in rows if s == 0], "entity_id long, trait string, value double").dropDuplicates(["entity_id"])
+    got = run_support(memb, y, spark.range(100).withColumnRenamed("id", "entity_id"), 0.3, 0.01, -1.0, min_size=2, max_p=0.9, prune_at=None, adjust_degree=False)
+    scores, sets = {r.entity_id: r for r in got.scores.collect()}, [r for r in got.set_stats.collect() if r.status == "kept"]
+    member = {s: {e for x, e, _ in rows if x == s} for s in range(6)}
+    low = -sum(r.mean * r.beta / r.scale for r in sets)
+    assert len(scores) == 100 and low < 0
+    for e in range(100):
+        assert abs(scores[e].prior - (low + sum(r.beta / r.scale for r in sets if e in member[r.set_id]))) < 1e-9
