@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evisets.llm.common import sampled
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
@@ -153,10 +155,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precise: float = PRECISE) -
 
 
 def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, precise: float = PRECISE) -> list[list[Condition]]:
-    """Learn from rows of ``measured`` whose doc_id has a label, 0 for bad: of an id with several labels the lowest counts, null labels don't. At
-    most ``sample`` rows, those of smallest hash, reach the driver. Without bad rows there are no rules."""
+    """Learn from rows of ``measured`` whose doc_id has a label, 0 for bad: of an id with several labels the lowest counts, null labels don't, of
+    repeated rows one. At most ``sample`` labels, those of smallest hash, are used. Without bad rows there are no rules."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_label"))
-    rows = measured.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS).limit(sample).toPandas()
+    rows = measured.join(sampled(known, "doc_id", sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("_label", *COUNTS)).alias("_row"))
+    rows = rows.select("doc_id", "_row.*").toPandas().sort_values("doc_id")
     ratio = lambda top, bottom: rows[top].to_numpy(float) / (np.maximum(rows[bottom].to_numpy(float), 1) if bottom else 1)
     return learn({f: ratio(*r) for f, r in RATIOS.items()}, rows["_label"].to_numpy(int) == 0, precise)
 

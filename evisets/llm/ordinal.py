@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisets.llm.common import stored
+from evisets.llm.common import sampled, stored
 
 SAMPLE = 8_000  # labelled rows used at most
 FEATURES, SEEN = 4096, 8  # features used at most; labelled rows a feature must occur in
@@ -91,7 +91,7 @@ def fit_arrays(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, n_fea
 def labelled(docs: DataFrame, labels: DataFrame, text: str, label: str, sample: int) -> DataFrame:
     """doc_id, label and features (words) of at most ``sample`` labelled rows, those of smallest hash."""
     few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    few = sampled(few, "doc_id", sample)
     own = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(few), "doc_id")
 
     def rows(batches):
