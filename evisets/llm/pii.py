@@ -2,7 +2,8 @@
 
 Base matches of four kinds seed the method. The words around a seed are its lexical patterns. Every other identifier-like token is a candidate
 for the kinds its characters allow; pattern-instance edges join both. Rounds score a pattern by the share of its distinct instances that are
-believed, and an instance by the patterns that point at it (noisy or). Believed candidates become spans; base spans always stay.
+believed, and an instance by the patterns that point at it (noisy or), until nothing rises; a pattern takes part as soon as enough of its instances
+are seeds or believed. Believed candidates become spans; base spans always stay.
 
 The base patterns are written with possessive quantifiers and anchored starts: the same matches as the plain patterns, in linear time and
 without deep recursion on endless runs.
@@ -37,7 +38,8 @@ FITS = {
     "phone": r"core rlike '^[0-9().+-]+$' and length(regexp_replace(core, '[^0-9]', '')) between 7 and 15",
 }
 BLOCK = 256
-ROUNDS, SEEDS, BELIEVE, DAMP = 3, 3, 0.7, 0.9
+SEEDS, BELIEVE, DAMP, TOL = 3, 0.7, 0.9, 1e-4
+STRIDE = 4  # rounds between two looks at how far beliefs moved
 
 
 def sql_text(s: str) -> str:
@@ -98,20 +100,31 @@ def occurrences(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seeds, c
 
 
-def believed(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, least_seeds: int = SEEDS, believe: float = BELIEVE) -> DataFrame:
-    """(kind, instance, belief) of the candidates that the patterns discover."""
+def believed(seeds: DataFrame, candidates: DataFrame, least_seeds: int = SEEDS, believe: float = BELIEVE, tol: float = TOL) -> DataFrame:
+    """(kind, instance, belief) of the candidates that the patterns discover.
+
+    Beliefs start at 0 and only rise. Rounds go on until in one no belief rose by more than ``tol`` and no instance came to be believed, as its
+    patterns may take part from then on: those with ``least_seeds`` instances that are seeds or believed.
+    """
     known = seeds.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct()
-    kept = known.groupBy("kind", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least_seeds).select("kind", "pattern", "n")
-    unknown = candidates.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct()
-    edges = stored(unknown.join(kept, ["kind", "pattern"]).join(known.select("kind", "instance").distinct(), ["kind", "instance"], "left_anti")
-                   .select("kind", "instance", "pattern", F.col("n").alias("seeds")), "pii-edges")
-    belief = None
-    for _ in range(rounds):
-        e = edges.withColumn("belief", F.lit(0.0)) if belief is None else edges.join(belief, ["kind", "instance"])
-        score = e.groupBy("kind", "pattern").agg(((F.first("seeds") + F.sum("belief")) / (F.first("seeds") + F.count("*"))).alias("score"))
-        belief = stored(edges.join(score, ["kind", "pattern"]).groupBy("kind", "instance")
-                        .agg((1 - F.exp(F.sum(F.log(1 - DAMP * F.col("score"))))).alias("belief")), "pii-belief")
-    return belief.where(F.col("belief") >= believe)
+    counts = known.groupBy("kind", "pattern").agg(F.count("*").alias("seeds"))
+    unknown = candidates.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct().join(
+        known.select("kind", "instance").distinct(), ["kind", "instance"], "left_anti")
+    sizes = unknown.groupBy("kind", "pattern").agg(F.count("*").alias("others")).join(counts, ["kind", "pattern"], "left").fillna(0, ["seeds"])
+    # a pattern with too few instances of either sort can never take part
+    edges = stored(unknown.join(sizes.where(F.col("seeds") + F.col("others") >= least_seeds), ["kind", "pattern"]), "pii-edges")
+    belief = edges.select("kind", "instance", F.lit(0.0).alias("belief"), F.lit(0.0).alias("before")).limit(0)
+    while True:
+        for _ in range(STRIDE):
+            e = edges.join(belief.select("kind", "instance", "belief"), ["kind", "instance"], "left").fillna(0.0, ["belief"])
+            score = e.groupBy("kind", "pattern").agg(((F.first("seeds") + F.sum("belief")) / (F.first("seeds") + F.count("*"))).alias("score"),
+                                                     (F.first("seeds") + F.sum((F.col("belief") >= believe).cast("int"))).alias("support"))
+            e = e.join(score.where(F.col("support") >= least_seeds), ["kind", "pattern"])
+            belief = e.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - DAMP * F.col("score"))))).alias("belief"), F.first("belief").alias("before"))
+        belief = stored(belief, "pii-belief")
+        rising = (F.col("belief") - F.col("before") > tol) | ((F.col("belief") >= believe) & (F.col("before") < believe))
+        if belief.where(rising).isEmpty():
+            return belief.where(F.col("belief") >= believe).drop("before")
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:

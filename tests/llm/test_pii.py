@@ -47,6 +47,23 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert text[100] == "ünd please call me on <PHONE> today" and text[3] == "hello dear please call me on <PHONE> today" and text[101] == rows[9][1]
 
 
+def test_beliefs_rise_to_their_fixed_point(spark):
+    """Ten seeds and fifteen unseen instances of one pattern: the fourth round passes the threshold. Tail: 1.25 to 2.86 unseen ones a seed."""
+    for unseen, found in ((15, 15), (28, 28), (30, 0)):
+        seeds = spark.createDataFrame([("phone", f"s{i}", ["p"]) for i in range(10)], "kind string, instance string, patterns array<string>")
+        rest = spark.createDataFrame([("phone", f"u{i}", ["p"]) for i in range(unseen)], seeds.schema)
+        got = pii.believed(seeds, rest).collect()
+        assert len(got) == found and all(abs(r.belief - 9 / (10 + 0.1 * unseen)) < 1e-2 for r in got)
+
+
+def test_believed_instances_bring_their_patterns(spark):
+    seeds = spark.createDataFrame([("phone", f"s{i}", ["p"]) for i in range(10)], "kind string, instance string, patterns array<string>")
+    chain = [("phone", f"a{i}", ["p", "q"]) for i in range(5)] + [("phone", f"b{i}", ["q", "r"]) for i in range(4)] + [("phone", f"c{i}", ["r"]) for i in range(2)]
+    lone = [("phone", f"d{i}", ["t"]) for i in range(9)] + [("phone", "a0", ["t"])]  # one believed instance is too little for a pattern
+    got = pii.believed(seeds, spark.createDataFrame(chain + lone, seeds.schema)).collect()
+    assert sorted(r.instance for r in got) == sorted(x[1] for x in chain)
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     docs = spark.createDataFrame([(1, "x 4111111111111111@mail.example.com y")], "doc_id long, text string")
     assert pii.redact(docs, pii.spans(docs)).first().text == "x <CARD> y"  # both begin together, the shorter one comes first
