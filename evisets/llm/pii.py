@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base matches of four kinds seed the method. The words around a seed are its lexical patterns. Every other identifier-like token is a candidate
-for the kinds its characters allow; pattern-instance edges join both. Rounds score a pattern by the share of its distinct instances that are
+Base matches of four kinds seed the method. The words around a seed are its lexical patterns. Every other identifier-like token, and every run of
+digit groups over several tokens, is a candidate for the kinds its characters allow; pattern-instance edges join both. Rounds score a pattern by the share of its distinct instances that are
 believed, and an instance by the patterns that point at it (noisy or), until nothing rises; a pattern takes part as soon as enough of its instances
 are seeds or believed. Believed candidates become spans; base spans always stay.
 
@@ -30,12 +30,16 @@ KINDS = {
 }
 #: A token with a digit or an at sign, as candidate.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Whole tokens of digit groups joined by single blanks, dots, hyphens or brackets, as candidate: the longest run of 7 to 19 digits from its first
+#: group on. A dotted quad, as of an address, is no group.
+RUN = (r"(?<![^\x20\x09-\x0D])(?![0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.]))[+(]{0,2}[0-9](?:(?:[.-]|\x20?\(|\)[.-]|(?:\)?\x20)(?![0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.]))|\))?[0-9]){6,18}"
+       r"(?=[^\x20\x09-\x0D0-9A-Za-z@]*+(?:[\x20\x09-\x0D]|\z))")
 #: Which characters a candidate of a kind may consist of.
 FITS = {
     "email": r"core rlike '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+$' and length(core) > 4",
     "ip": r"core rlike '^[0-9A-Fa-f]{1,4}(?:[.:]{1,2}[0-9A-Fa-f]{1,4}){3,7}$'",
-    "card": r"core rlike '^[0-9-]+$' and length(translate(core, '-', '')) between 12 and 19",
-    "phone": r"core rlike '^[0-9().+-]+$' and length(regexp_replace(core, '[^0-9]', '')) between 7 and 15",
+    "card": r"core rlike '^[ 0-9-]+$' and length(translate(core, ' -', '')) between 12 and 19",
+    "phone": r"core rlike '^[ 0-9().+-]+$' and length(regexp_replace(core, '[^0-9]', '')) between 7 and 15",
 }
 BLOCK = 256
 SEEDS, BELIEVE, DAMP, TOL = 3, 0.7, 0.9, 1e-4
@@ -64,7 +68,7 @@ def matches(df: DataFrame, guard: str, pattern: str, out: str, extra: str = "")
 
 
 def based(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, text_key, an array of valid base matches per kind, and ``token``: the tokens that may be identifiers.
+    """doc_id, text_key, an array of valid base matches per kind, and ``token`` and ``run``: the tokens and runs of them that may be identifiers.
 
     Stored, without the text: matching runs once, and filters on the arrays are not pushed into it.
     """
@@ -72,6 +76,7 @@ def based(docs: DataFrame, text: str = "text") -> DataFrame:
     for kind, (guard, pattern, valid) in KINDS.items():
         df = matches(df, guard, pattern, kind)
         df = df.withColumn(kind, F.expr(f"filter({kind}, x -> {re.sub(r'\bm\b', 'x.m', valid)})") if valid != "true" else F.col(kind))
+    df = matches(df, r"text rlike '[0-9]\\)?\\x20\\(?[0-9]'", RUN, "run").withColumn("run", F.expr("filter(run, x -> instr(x.m, ' ') > 0)"))
     return stored(matches(df, "text rlike '[0-9@]'", TOKEN, "token").drop("text"), "pii-matches")
 
 
@@ -91,7 +96,7 @@ def occurrences(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         s = df.where(F.size(kind) > 0).select(F.explode(kind).alias("x")).select(F.lit(kind).alias("kind"), F.col("x.m").alias("instance"), contexts("x").alias("patterns"))
         seeds = s if seeds is None else seeds.union(s)
     taken = " or ".join(f"exists({k}, y -> y.start < x.end and x.start < y.end)" for k in KINDS)
-    c = df.where(F.size("token") > 0).select("doc_id", "text_key", F.explode(F.expr(f"filter(token, x -> not ({taken}))")).alias("x"))
+    c = df.where(F.size("token") > 0).select("doc_id", "text_key", F.explode(F.expr(f"filter(concat(token, run), x -> not ({taken}))")).alias("x"))
     c = c.withColumn("core", F.expr("regexp_extract(x.m, '[A-Za-z0-9+(](?:.*[A-Za-z0-9])?', 0)"))
     c = c.withColumn("start", F.expr("x.start + instr(x.m, core) - 1"))
     kinds = F.filter(F.array(*[F.when(F.expr(test), F.lit(k)) for k, test in FITS.items()]), lambda k: k.isNotNull())
@@ -131,7 +136,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key (hash of the text), base and added: arrays of (kind, start, end), code points, end exclusive.
 
     ``base`` is by kind in the order of KINDS, then start; ``added`` by start. A null text counts as empty and has no spans. Added spans never
-    overlap base ones; of kinds that fit one token the most believed is taken, ties by name. Repeated rows each get their spans; other columns
+    overlap base ones; of kinds that fit one place the most believed is taken, ties by name, and a token's span inside that of a run is dropped. Repeated rows each get their spans; other columns
     are ignored; an empty table gives an empty one. Positions never leave the row; only candidates and their patterns are shuffled.
     """
     df = based(docs, text)
@@ -140,6 +145,11 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     found = candidates.join(believed(seeds, candidates), ["kind", "instance"]).groupBy("doc_id", "text_key", "start", "end").agg(
         F.min(F.struct((-F.col("belief")).alias("rank"), "kind")).alias("best"))
     found = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("best.kind").alias("kind")))).alias("more"))
+    # runs are whole tokens and never overlap each other: by start and the longer first, what begins before the end of the one kept last is in it
+    inside = ("aggregate(sort_array(transform(more, x -> struct(x.start as start, -x.end as back, x.kind as kind))), named_struct('at', 0L, 'out', "
+              "cast(array() as array<struct<start: bigint, end: bigint, kind: string>>)), (a, x) -> if(x.start >= a.at, named_struct('at', -x.back, 'out', "
+              "array_append(a.out, named_struct('start', x.start, 'end', -x.back, 'kind', x.kind))), a), a -> a.out)")
+    found = found.withColumn("more", F.expr(inside))
     found = found.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
     base = F.concat(*[F.expr(f"transform({k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end))") for k in KINDS])
     df = df.select("doc_id", "text_key", base.alias("base"))

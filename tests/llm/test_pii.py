@@ -64,6 +64,21 @@ def test_believed_instances_bring_their_patterns(spark):
     assert sorted(r.instance for r in got) == sorted(x[1] for x in chain)
 
 
+def test_runs_of_digit_groups_are_discovered(spark):
+    rows = [(i, f"hello dear please call me on +1 (555) 010-{1000 + i} today") for i in range(8)]
+    rows += [(50 + i, f"we charge the card 4111 1111 1111 {1111 + 1000 * i} at once") for i in range(10)]  # the check digit is right in some
+    grouped = {100: "call me on 555 0199 22 today", 101: "call me on (555) 0198-22, today", 102: "call me on 5550197 22 today", 103: "at 10.0.0.1 555 0199 22 x",
+               104: "call me on 555  0199  22 today", 105: "call me on 555 0199 ab22 today"}
+    cards = {200: "we charge the card 4111 1111 1112 at once", 201: "we charge the card 4111 1111 1111 1112 at once"}
+    docs = spark.createDataFrame(rows + [*grouped.items()] + [*cards.items()], "doc_id long, text string")
+    matched = {r.doc_id: [x.m for x in r.run] for r in pii.based(docs).where("doc_id >= 100").collect()}
+    assert matched == {100: ["555 0199 22"], 101: ["(555) 0198-22"], 102: ["5550197 22"], 103: ["555 0199 22"], 104: [], 105: ["555 0199"],
+                       200: ["4111 1111 1112"], 201: ["4111 1111 1111 1112"]}
+    texts = {r.doc_id: r.text for r in pii.redact(docs, pii.spans(docs)).collect()}
+    assert [texts[i] for i in (100, 101, 102)] == ["call me on <PHONE> today", "call me on <PHONE>, today", "call me on <PHONE> today"]
+    assert texts[103] == "at <IP> <PHONE> x" and [texts[i] for i in cards] == ["we charge the card <CARD> at once"] * 2
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     docs = spark.createDataFrame([(1, "x 4111111111111111@mail.example.com y")], "doc_id long, text string")
     assert pii.redact(docs, pii.spans(docs)).first().text == "x <CARD> y"  # both begin together, the shorter one comes first
