@@ -251,8 +251,16 @@ def in_pieces_of(rows: np.ndarray, texts: pa.Array):
 
 
 def summed(t: pa.Table) -> pa.Table:
-    """The lists of a part, and for each kind one more with the counts over all blocks."""
-    part, out = t.column("part")[0].as_py(), []
+    """The lists of a part, those of a block's batches merged to one of each kind, and for each kind one more with the counts over all blocks."""
+    part, out, own = t.column("part")[0].as_py(), [], {}
+    for block, kind, keys in zip(*(t.column(c).to_pylist() for c in ("block", "kind", "keys")), strict=True):
+        own.setdefault((block, kind), []).append(keys)
+    for (block, kind), lists in own.items():
+        if kind == GRAMS:
+            keys = np.unique(np.concatenate([numbers(k, np.uint64) for k in lists])).tobytes() if len(lists) > 1 else lists[0]
+        else:
+            keys = b"\n".join(dict.fromkeys(w for k in lists for w in k.split(b"\n"))) if len(lists) > 1 else lists[0]
+        out.append((part, block, kind, keys, None))
     rows = list(zip(*(t.column(c).to_pylist() for c in ("kind", "keys", "n")), strict=True))
     grams = [(numbers(k, np.uint64), numbers(n, np.int64)) for kind, k, n in rows if kind == GRAMS]
     if grams:
@@ -265,7 +273,7 @@ def summed(t: pa.Table) -> pa.Table:
                 words[w] = words.get(w, 0) + c
     if words:
         out.append((part, ALL, WORDS, b"\n".join(words), np.array([*words.values()], np.int64).tobytes()))
-    return pa.concat_tables([t.set_column(4, "n", pa.nulls(len(t), pa.binary())), pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), LISTED)], schema=LISTED)])
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), LISTED)], schema=LISTED)
 
 
 def top_model(known: DataFrame, depth: int) -> tuple[Top, int, int]:

@@ -96,3 +96,15 @@ def test_places_finds_all():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 50_000).astype(np.uint64))
     wanted = np.random.default_rng(2).permutation(np.repeat(np.arange(len(keys)), 2))
     assert (ctw.Places(keys).of(keys[wanted]) == wanted).all()
+
+
+def test_a_block_of_many_batches(spark):
+    """A common gram comes once in each of far more than 64 batches of a block."""
+    docs = spark.createDataFrame([(i, f"the cat {i % 7} sat") for i in range(240)], "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1")
+        check(spark, docs, 3, F.col("doc_id") % 5 != 0)
+    finally:
+        spark.conf.set(key, usual)
