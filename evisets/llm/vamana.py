@@ -1,8 +1,8 @@
 """Nearest vectors by inner product from robust-pruned directed graphs, one per shard.
 
-Every distinct vector belongs to one shard by a hash of its smallest id. A shard's graph is built in batches: greedy searches on the graph so far
+Every distinct vector belongs to one shard by its norm, in ranges of a factor of 16, and a hash of its smallest id. A shard's graph is built in batches: greedy searches on the graph so far
 propose neighbours, relaxed distance pruning keeps diverse ones, reverse edges are added and pruned where a node has too many; a second pass runs
-over the full graph. Inner products become distances by one more coordinate that lifts all vectors to the largest norm. A query runs a beam search in
+over the full graph. Inner products become distances by one more coordinate that lifts a shard's vectors to their largest norm, which is scaled to 1, so single precision tells them apart whatever the norms of others. A query runs a beam search in
 every shard and rescores what it found in double precision. Shards and blocks of queries have a bounded size, so have the tasks.
 """
 
@@ -19,6 +19,7 @@ from evisets.llm.common import stored
 
 SHARD, QUERIES = 8192, 16384  # vectors of a shard on average; queries of a block
 DEGREE, BEAM, RELAX = 32, 96, 1.2
+RANGE = 4  # octaves of norm that share shards
 BATCH, WIDE = 256, 4  # points that advance together; nodes a search expands at once
 NONE = -1
 
@@ -122,9 +123,16 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: float =
     return edges, start
 
 
-def lifted(v: np.ndarray, norm2: float) -> np.ndarray:
-    """Vectors with one more coordinate, so that all have the largest norm: nearest by distance is largest by inner product."""
-    rest = np.sqrt(np.maximum(0, norm2 - (v.astype(float) ** 2).sum(1)))
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows over their largest norm, without overflow on the way."""
+    v = v / np.abs(v).max()
+    return v / np.sqrt((v * v).sum(1).max())
+
+
+def lifted(v: np.ndarray) -> np.ndarray:
+    """Vectors, scaled to a largest norm of 1, with one more coordinate, so that all have it: nearest by distance is largest by inner product."""
+    v = scaled(v)
+    rest = np.sqrt(np.maximum(0, 1 - (v * v).sum(1)))
     return np.concatenate([v, rest[:, None]], 1).astype(np.float32)
 
 
@@ -155,13 +163,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "
     few = Window.partitionBy("vector").orderBy("vec_id")
     v = v.withColumn("i", F.row_number().over(few)).where(F.col("i") <= k + 1)
     points = stored(v.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "ann-points")
-    n, width, norm2 = points.agg(F.count("*"), F.max(F.size("vector")), F.max(F.expr("aggregate(vector, 0d, (s, x) -> s + x * x)"))).first()
-    width, norm2 = width or 1, norm2 or 0.0
-    shards = max(1, math.ceil(n / shard))
-    points = points.withColumn("shard", F.pmod(F.xxhash64(F.col("members")[0]), F.lit(shards)).cast("int"))
+    most = F.expr("array_max(transform(vector, x -> abs(x)))")
+    norm = F.log2(most) + F.log2(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2  # of any finite vector
+    points = points.withColumn("range", F.floor(norm / RANGE).cast("int"))
+    sizes = points.groupBy("range").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).orderBy("range").collect()  # at most some 530
+    width, shards, place = max((r["width"] for r in sizes), default=1), 0, []
+    for r in sizes:
+        own = math.ceil(r["n"] / shard)
+        place.append((r["range"], shards, own))
+        shards += own
+    place = points.sparkSession.createDataFrame(place, "range int, first int, own int")
+    points = points.join(F.broadcast(place), "range").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64(F.col("members")[0]), F.col("own"))).cast("int"))
+    points, shards = points.select("vector", "members", "shard"), max(1, shards)
 
     def graph(t: pa.Table) -> pa.Table:
-        edges, start = build(lifted(matrix(t.column("vector"), width), norm2))
+        edges, start = build(lifted(matrix(t.column("vector"), width)))
         return t.append_column("edges", pa.array(list(edges.astype(np.int32)), pa.list_(pa.int32()))).append_column(
             "place", pa.array(np.arange(len(t)), pa.int32())).append_column("start", pa.array(np.arange(len(t)) == start))
 
@@ -176,13 +192,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "
         if len(points) and len(asked):
             points = points.sort_by("place")
             own, members = matrix(points.column("vector"), width), points.column("members").to_pylist()
-            x, edges = lifted(own, norm2), np.stack(points.column("edges").to_numpy()).astype(np.int64)
+            x, edges = lifted(own), np.stack(points.column("edges").to_numpy()).astype(np.int64)
             start = int(np.flatnonzero(points.column("start").to_numpy())[0])
             q, query_ids = matrix(asked.column("vector"), width), asked.column("vec_id").to_pylist()
             for a in range(0, len(q), BATCH):
                 some = q[a : a + BATCH]
+                unit = np.concatenate([scaled(row[None]) for row in some])
                 # where a query's norm differs from the lifted one, distances still order candidates by inner product
-                ids, _, _ = search(x, edges, start, np.concatenate([some, np.zeros((len(some), 1))], 1).astype(np.float32), max(beam, k + 1))
+                ids, _, _ = search(x, edges, start, np.concatenate([unit, np.zeros((len(some), 1))], 1).astype(np.float32), max(beam, k + 1))
                 for row, (mine, query_id) in enumerate(zip(ids, query_ids[a : a + BATCH], strict=True)):
                     mine = mine[mine >= 0]
                     scores = own[mine] @ some[row]

@@ -31,3 +31,18 @@ def test_copies_ties_and_odd_vectors(spark):
     assert of(105) == [(104, 2.5), (0, 0.5), (1, 0.5), (2, 0.5), (3, 0.5)] and of(100) == []
     assert len(vamana.nearest(frame, frame.where("vec_id = 0"), 100).collect()) == 61  # fewer candidates than asked for
     assert vamana.nearest(frame.where("false"), frame, 5).count() == 0 == vamana.nearest(frame, frame.where("false"), 5).count()
+
+
+def test_very_long_vectors_do_not_blur_the_others(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(800, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[0] *= 1e4
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, [1e200] + [0.0] * 15)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vamana.nearest(frame, frame.where("vec_id between 1 and 799 and vec_id % 20 = 1"), 20).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        best = sorted([(-a, i) for i, a in enumerate(x @ x[q]) if i != q] + [(-1e200 * x[q][0], 9000)])[:20]
+        hits += len({i for _, i in best} & {*g.vec_id})
+    assert len(got) == 40 * 20 and hits / len(got) >= 0.9
