@@ -66,7 +66,7 @@ def test_believed_instances_bring_their_patterns(spark):
 
 def test_runs_of_digit_groups_are_discovered(spark):
     rows = [(i, f"hello dear please call me on +1 (555) 010-{1000 + i} today") for i in range(8)]
-    rows += [(50 + i, f"we charge the card 4111 1111 1111 {1111 + 1000 * i} at once") for i in range(10)]  # the check digit is right in some
+    rows += [(50 + i, f"we charge the card 4111 1111 1111 11{e} at once") for i, e in enumerate(("03", "11", "29", "37", "45", "52", "60"))]
     grouped = {100: "call me on 555 0199 22 today", 101: "call me on (555) 0198-22, today", 102: "call me on 5550197 22 today", 103: "at 10.0.0.1 555 0199 22 x",
                104: "call me on 555  0199  22 today", 105: "call me on 555 0199 ab22 today"}
     cards = {200: "we charge the card 4111 1111 1112 at once", 201: "we charge the card 4111 1111 1111 1112 at once"}
