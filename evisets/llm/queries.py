@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.llm import bpe, ctw, decision_list, langid, mixing, ordinal, pii, simhash, vamana, warc
+from evisets.llm import bpe, ctw, decision_list, langid, lloyd, mixing, ordinal, pii, simhash, topk, vamana, variants, warc
 from evisets.llm.common import remainder, stored, table
 
 QUERIES, SQL = {}, {}
@@ -141,3 +141,44 @@ def op2(spark, sf):
     m = mixing.mix(table(spark, sf, "documents"), *mixture(spark))
     names = {"domain": "_domain", "lang": "lang", "source": "source", "tokens": "_tokens", "copies": "_copies", "taken": "_taken"}
     return m.where("_copies > 0").select("doc_id", *(F.col(c).alias(k) for k, c in names.items()))
+
+
+KEPT = """k AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT vec_id, x, unnest(x) AS value, unnest(range(64)) AS pos FROM k),
+c0 AS (SELECT cluster, unnest(x) AS value, unnest(range(64)) AS pos FROM (SELECT x, row_number() OVER (ORDER BY h, x) - 1 AS cluster FROM (SELECT x, sha256('2:' || vec_id) AS h FROM k) ORDER BY h, x LIMIT 40))"""
+
+
+def lloyd_sql(rounds: int) -> str:
+    """The rounds unrolled: assignments d_i to the centroids c_i."""
+    parts = [KEPT]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS MATERIALIZED (SELECT vec_id, cluster, distance FROM (SELECT vec_id, cluster, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS i
+  FROM (SELECT vec_id, cluster, sum((v.value - c.value) * (v.value - c.value)) AS distance FROM v JOIN c{i} c USING (pos) GROUP BY vec_id, cluster)) WHERE i = 1)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT cluster, pos, coalesce(m, value) AS value FROM c{i} LEFT JOIN (SELECT cluster, pos,
+  CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END AS m FROM (SELECT cluster, pos, sum(value)::BIGINT AS s, count(*) AS n FROM v JOIN d{i} USING (vec_id) GROUP BY cluster, pos)) USING (cluster, pos))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM d{rounds} JOIN (SELECT cluster, sha256(string_agg(value::BIGINT::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster) USING (cluster)"""
+
+
+@query("op11_lloyd_dimension_shards", lloyd_sql(5))
+def op11(spark, sf):
+    return lloyd.report(*lloyd.cluster(table(spark, sf, "embeddings")))
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf):
+    return variants.group(table(spark, sf, "documents"))
+
+
+@query("op13_norm_sorted_topk", """
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+v AS (SELECT vec_id, unnest(x) AS value, unnest(range(len(x))) AS pos FROM k),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, sum(q.value * v.value)::BIGINT AS score FROM v JOIN v q USING (pos) WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id GROUP BY 1, 2)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def op13(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return topk.top_products(e, e.where("vec_id % 50 = 0"))
