@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisets.functions.scalar import SigmoidThreshold, scaled_sigma2, spike_slab, to_prob
-from evisets.operators.assoc import marginal_logistic, marginal_linear, sample_outcomes
+from evisets.operators.assoc import finalize_stats, marginal_linear, marginal_logistic, sample_outcomes
 from evisets.operators.sets import entity_degree
 from evisets.plans.iterate import broadcast_if_small, cut, grid, heavy_keys, split_join, spread
 
@@ -246,7 +246,7 @@ def combine_scores(priors: DataFrame, evidence: DataFrame, groups: tuple[str, ..
 
 
 def fold_stats(membership: DataFrame, y: DataFrame, folds: DataFrame) -> DataFrame:
-    """Marginal regressions with each fold left out: stats(set_id, trait, fold, ...).
+    """Marginal regressions with each fold left out: stats(set_id, trait, fold, ...); ``n`` entities are left, ``share`` is the mean left over the whole mean.
 
     Each sum is taken once per (set, fold) and the fold's part is subtracted from the total, so k folds cost one pass. ``folds``
     (entity_id, fold) covers the universe and has few distinct folds.
@@ -264,7 +264,8 @@ def fold_stats(membership: DataFrame, y: DataFrame, folds: DataFrame) -> DataFra
     mean = (F.col("tw") - F.col("w")) / F.col("n")
     var = F.greatest((F.col("tw2") - F.col("w2")) / F.col("n") - mean * mean, F.lit(0.0))
     sets = sets.select("set_id", "fold", "n", (F.col("tc") - F.col("c")).alias("size"), F.col("c").alias("lost"),
-                       (F.col("tw") - F.col("w")).alias("sum_w"), mean.alias("mean"), F.sqrt(var).alias("scale"))
+                       (F.col("tw") - F.col("w")).alias("sum_w"), mean.alias("mean"), F.sqrt(var).alias("scale"),
+                       F.try_divide(mean * n_all, F.col("tw")).alias("share"))
 
     yf = y.join(f, "entity_id")
     ypart = yf.groupBy("trait", "fold").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("s2"))
@@ -283,7 +284,7 @@ def fold_stats(membership: DataFrame, y: DataFrame, folds: DataFrame) -> DataFra
     cov = (xy - F.col("sum_w") * F.col("y_mean")) / F.col("n")
     flat = F.col("scale") <= 1e-12
     return grid.select(
-        "set_id", "trait", "fold", "size", "lost", "mean", "scale",
+        "set_id", "trait", "fold", "n", "size", "lost", "share", "mean", "scale",
         F.when(flat, F.lit(0.0)).otherwise(cov / F.col("scale")).alias("beta_tilde"),
         F.when(flat, F.lit(0.0)).otherwise(F.sqrt("y_var") / F.sqrt(F.col("n") - 1)).alias("se"),
     )
@@ -296,8 +297,12 @@ def loco_priors(membership: DataFrame, y: DataFrame, folds: DataFrame, p: float
     Every entity of ``folds`` is listed for every trait with live sets; one without a live set has minus the sum at the mean.
     """
     fits = shrink_independent(with_hyper(fold_stats(membership, y, folds), p, sigma2, power))
-    live = cut(fits.where((F.col("beta_uncorrected") != 0) & (F.col("scale") > 0)).select(
-        "set_id", "trait", "fold", "mean", (F.col("beta_uncorrected") / F.col("scale")).alias("_b")))
+    return fold_priors(membership, folds, fits, "beta_uncorrected")
+
+
+def fold_priors(membership: DataFrame, folds: DataFrame, fits: DataFrame, col: str) -> DataFrame:
+    """Priors of every entity of ``folds`` from the effects fits(set_id, trait, fold, mean, scale, <col>) of its own fold's fit."""
+    live = cut(fits.where((F.col(col) != 0) & (F.col("scale") > 0)).select("set_id", "trait", "fold", "mean", (F.col(col) / F.col("scale")).alias("_b")))
     shift = live.groupBy("trait", "fold").agg(F.sum(F.col("mean") * F.col("_b")).alias("_shift"))
     own = membership.join(folds.select("entity_id", "fold"), "entity_id").join(
         broadcast_if_small(live.select("set_id", "trait", "fold", "_b")), ["set_id", "fold"])
@@ -308,6 +313,19 @@ def loco_priors(membership: DataFrame, y: DataFrame, folds: DataFrame, p: float
         "entity_id", "trait", "fold", (F.coalesce("_xb", F.lit(0.0)) - F.col("_shift")).alias("prior"))
 
 
+def drop_reduced(fits: DataFrame, folds: DataFrame, max_p: float = 1.0, sds: float = 3.0) -> DataFrame:
+    """Zero effects, with 100 x the trait's largest error, of sets whose mean a fold's removal cuts by more than ``sds`` sd of what k equal folds
+    would, or whose p without the fold is above ``max_p``; ``dropped`` tells."""
+    k = folds.agg(F.count_distinct("fold").cast("double")).scalar()
+    left = (k - 1) / k
+    largest = fits.groupBy("trait").agg(F.max("se").alias("_max"))
+    j = finalize_stats(fits).join(largest, "trait")
+    gone = (F.col("share") < left - sds * F.sqrt(left * (1 - left))) | (F.col("p") > max_p)
+    j = j.withColumn("dropped", F.coalesce(gone, F.lit(True)))
+    return j.withColumns({"beta_tilde": F.when(F.col("dropped"), 0.0).otherwise(F.col("beta_tilde")),
+                          "se": F.when(F.col("dropped"), F.col("_max") * 100).otherwise(F.col("se"))}).drop("_max")
+
+
 def cv_sigma(membership: DataFrame, y: DataFrame, folds: DataFrame, grid: list[float], p: float = DEFAULT_P,
              power: float | None = DEFAULT_POWER) -> DataFrame:
     """Mean squared error of held-out evidence for each slab variance: rss(trait, sigma2).

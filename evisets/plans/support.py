@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisets.operators import assoc, prune, sets, shrink
+from evisets.operators import assoc, joint, prune, sets, shrink
 from evisets.operators.ordered import bh_q
 from evisets.plans.iterate import cut, spread
 
@@ -26,11 +26,13 @@ def enrichment(membership: DataFrame, y: DataFrame, universe: DataFrame) -> Data
 
 def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: float = shrink.DEFAULT_P, sigma2: float = 1e-4,
                 power: float | None = shrink.DEFAULT_POWER, min_size: int = 10, max_size: int = 30_000, max_p: float = 0.01,
-                prune_at: float | None = 0.8, joint_rounds: int = 0, adjust_degree: bool = True, learn_p: bool = False) -> Support:
+                prune_at: float | None = 0.8, joint_rounds: int = 0, adjust_degree: bool = True, learn_p: bool = False, sweeps: int = 0) -> Support:
     """Filters, marginal and (optionally joint) shrunken effects, priors and combined scores.
 
     y(entity_id, trait, value) is the log Bayes factor. Filtered sets stay in the result with their reason and their independent
-    effect; only kept ones feed the priors. ``joint_rounds``: 0 for independent effects, else the most rounds of the joint fit. Scores list every entity of universe, memberships and evidence for every trait.
+    effect; only kept ones feed the priors. ``sweeps``: the most sweeps of the joint fit over colour classes; ``joint_rounds``: else, the most damped rounds; both 0: independent effects.
+    Scores list every entity of universe, memberships and evidence for every trait. ``converged`` in both results tells, for a trait, whether
+    its joint fit ended by its rule.
     """
     n = universe.agg(F.count("*")).scalar()
     membership, y = cut(spread(membership.select("set_id", "entity_id", "weight"), "set_id", "entity_id")), cut(y.select("entity_id", "trait", "value"))
@@ -49,15 +51,23 @@ def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: flo
         stats = shrink.with_hyper(stats, p, sigma2, power)
     fit = cut(shrink.shrink_independent(stats, shrink.DEFAULT_SPARSE_FRACTION))
     kept = F.col("status") == "kept"
-    if joint_rounds:
-        joint = shrink.shrink_joint(inside, stats.where(kept), n, joint_rounds, sparse_fraction=shrink.DEFAULT_SPARSE_FRACTION)
-        fit = fit.join(joint.select("set_id", "trait", "beta"), ["set_id", "trait"], "left").fillna(0.0, ["beta"])
+    if sweeps or joint_rounds:
+        live = stats.where(kept)
+        if sweeps:
+            fitted = joint.shrink_sweeps(inside, live, n, sweeps=sweeps, sparse_fraction=shrink.DEFAULT_SPARSE_FRACTION)
+        else:
+            fitted = shrink.shrink_joint(inside, live, n, joint_rounds, sparse_fraction=shrink.DEFAULT_SPARSE_FRACTION)
+        fitted = cut(fitted.select("set_id", "trait", "beta", "converged"))
+        ended = fitted.groupBy("trait").agg(F.every("converged").alias("converged"))
+        fit = fit.join(fitted.drop("converged"), ["set_id", "trait"], "left").fillna(0.0, ["beta"])
     else:
         fit = fit.withColumn("beta", F.when(kept, F.col("beta_uncorrected")).otherwise(F.lit(0.0)))
+        ended = stats.select("trait").distinct().withColumn("converged", F.lit(True))
+    fit = fit.join(ended, "trait", "left").withColumn("converged", F.coalesce("converged", F.lit(True)))  # a trait without live sets has nothing to fit
     everyone = universe.select("entity_id").union(membership.select("entity_id")).union(y.select("entity_id")).distinct()
     effects = fit.withColumn("beta", F.when(kept, F.col("beta")).otherwise(F.lit(0.0)))
     prior = shrink.prior_from_effects(membership, effects, "beta", universe=everyone)
     if adjust_degree:
         prior = shrink.adjust_for_degree(prior, membership).withColumn("prior", F.col("prior_adj")).drop("prior_adj", "n_sets")
     scores = shrink.combine_scores(prior, y.select("entity_id", "trait", F.col("value").alias("log_bf")))
-    return Support(fit, scores)
+    return Support(fit, scores.join(ended, "trait", "left").withColumn("converged", F.coalesce("converged", F.lit(True))))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisets.operators import assoc, shrink
+from evisets.operators import assoc, joint, shrink
 from evisets.plans.iterate import heavy_keys
 from evisets.queries.roles import (
-    binary, evidence, evidence_y, marginal_sql, membership, moments_sql, n_entities, order_sets, r, spike_sql, table, tidy, trait_y, universe, with_,
+    binary, evidence, evidence_y, marginal_sql, membership, moments_sql, n_entities, order_sets, r, spike_sql, sql_p, table, tidy, trait_y, universe, with_,
 )
 
 QUERIES, SQL = {}, {}
@@ -147,6 +147,38 @@ def shrink_joint_one(spark, sf):
     return shrink.shrink_joint(membership(spark, sf), stats(spark, sf), n_entities(spark, sf), rounds=1).select("set_id", "trait", "beta")
 
 
+@query("shrink_sweeps")
+def shrink_sweeps(spark, sf):
+    return joint.shrink_sweeps(membership(spark, sf), stats(spark, sf), n_entities(spark, sf)).select("set_id", "trait", "beta", "postp", "converged", "sweeps")
+
+
+def class_step(now: str, then: str, cls: int, keys: str, memb: str) -> str:
+    """The step of one class of sets in SQL over rows (keys, set_id, cls, beta, beta_tilde, se, scale, mean, n); ``memb`` has the keys' fold, if any."""
+    m, _, _ = spike_sql(f"{P}::DOUBLE", f"({S2}::DOUBLE * pow(scale, -1.0::DOUBLE))", "res", "se")
+    on = "fold, " if "fold" in keys else ""
+    return f"""{then} AS MATERIALIZED (SELECT * EXCLUDE (beta, res), CASE WHEN cls = {cls} THEN {m} ELSE beta END AS beta
+  FROM (SELECT k.*, beta_tilde - ((coalesce(xu, 0) / n - mean * s) / scale - beta) AS res FROM {now} k
+    LEFT JOIN (SELECT {keys}, set_id, sum(weight * u) AS xu FROM {memb} JOIN (SELECT {keys}, entity_id, sum(weight * beta / scale) AS u FROM {memb} JOIN {now} USING ({on}set_id) WHERE beta <> 0 GROUP BY ALL) USING ({on}entity_id)
+               GROUP BY ALL) USING ({keys}, set_id)
+    JOIN (SELECT {keys}, sum(mean * beta / scale) AS s FROM {now} GROUP BY ALL) USING ({keys})))"""
+
+
+def two_sweeps(keys: str, memb: str) -> str:
+    return ",\n".join(class_step(f"g{i}", f"g{i + 1}", i % 2, keys, memb) for i in range(4))
+
+
+def parity(spark, sf):
+    return membership(spark, sf).select("set_id", (F.col("set_id") % 2).cast("int").alias("cls")).distinct()
+
+
+@query("shrink_sweeps_two", BASE.rstrip() + f""",
+g0 AS (SELECT trait, set_id, set_id % 2 AS cls, 0::DOUBLE AS beta, beta_tilde, se, scale, mean, n.n FROM st, n WHERE scale > 0 AND se > 0),
+{two_sweeps("trait", "memb")}
+SELECT set_id, trait, {r('beta', 'beta')} FROM g4""")
+def shrink_sweeps_two(spark, sf):
+    return joint.shrink_sweeps(membership(spark, sf), stats(spark, sf), n_entities(spark, sf), classes=parity(spark, sf), sweeps=2, tol=0.0).select("set_id", "trait", "beta")
+
+
 @query("screen_zero")
 def screen_zero(spark, sf):
     return shrink.screen_zero(membership(spark, sf), stats(spark, sf), n_entities(spark, sf), blocks=4, fraction=0.05)
@@ -219,6 +251,38 @@ def loco_priors(spark, sf):
     return shrink.loco_priors(membership(spark, sf), trait_y(spark, sf), folds(spark, sf), 0.2, 0.001, -1.0)
 
 
+# joint fits per fold: sets are zero whose mean falls too far without the fold, or whose p is above 0.9
+LOCO_JOINT = FOLD.rstrip() + f""",
+fk AS (SELECT (count(*) - 1.0::DOUBLE) / count(*) AS mr FROM fs), tot AS (SELECT set_id, sum(weight) / (SELECT count(*) FROM part) AS mean0 FROM memb JOIN f USING (entity_id) GROUP BY 1),
+zs AS (SELECT st.*, xm.n, st.mean / mean0 AS share, CASE WHEN se > 0 THEN beta_tilde / se ELSE 0 END AS z FROM st JOIN xm USING (fold, set_id) JOIN tot USING (set_id)),
+fl AS MATERIALIZED (SELECT zs.*, share < mr - 3 * sqrt(mr * (1 - mr)) OR {sql_p('z')} > 0.9 AS dropped FROM zs, fk),
+g0 AS MATERIALIZED (SELECT trait, fold, set_id, set_id % 2 AS cls, 0::DOUBLE AS beta, beta_tilde, se, scale, mean, n FROM fl WHERE NOT dropped AND scale > 0 AND se > 0),
+{two_sweeps("trait, fold", "mf")}
+"""
+
+
+@query("loco_joint_effects", LOCO_JOINT + f"SELECT fold, trait, set_id, dropped, {r('coalesce(beta, 0)', 'beta')} FROM fl LEFT JOIN (SELECT fold, trait, set_id, beta FROM g4) USING (fold, trait, set_id)")
+def loco_joint_effects(spark, sf):
+    return loco_joint(spark, sf, classes=parity(spark, sf), sweeps=2, tol=0.0)[0].select("fold", "trait", "set_id", "dropped", "beta")
+
+
+@query("loco_joint_priors_two", LOCO_JOINT.rstrip() + f""",
+sh AS (SELECT *, beta / scale AS b FROM g4 WHERE beta <> 0), shift AS (SELECT fold, trait, sum(mean * b) AS s FROM sh GROUP BY 1, 2),
+xb AS (SELECT entity_id, fold, trait, sum(weight * b) AS x FROM memb JOIN f USING (entity_id) JOIN sh USING (set_id, fold) GROUP BY 1, 2, 3)
+SELECT entity_id, fold, trait, {r('coalesce(x, 0) - s', 'prior')} FROM f JOIN shift USING (fold) LEFT JOIN xb USING (entity_id, fold, trait)""")
+def loco_joint_two(spark, sf):
+    return loco_joint(spark, sf, classes=parity(spark, sf), sweeps=2, tol=0.0)[1]
+
+
+@query("loco_joint_priors")
+def loco_joint_priors(spark, sf):
+    return loco_joint(spark, sf)[1]
+
+
+def loco_joint(spark, sf, **options):
+    return joint.loco_joint(membership(spark, sf), trait_y(spark, sf), folds(spark, sf), P, S2, -1.0, max_p=0.9, **options)
+
+
 RIDGE = "(0.01::DOUBLE * scale * scale / (0.01::DOUBLE * scale * scale + se * se) * beta_tilde)"
 
 
@@ -269,7 +333,7 @@ def support(spark, sf):
     from evisets.plans.support import run_support
 
     y = trait_y(spark, sf)
-    return run_support(membership(spark, sf), y, universe(spark, sf), 0.2, 0.001, -1.0, max_p=0.5, joint_rounds=200).scores
+    return run_support(membership(spark, sf), y, universe(spark, sf), 0.2, 0.001, -1.0, max_p=0.5, sweeps=200).scores
 
 
 def joint_round(now: str, then: str) -> str:
@@ -302,7 +366,7 @@ sc AS (SELECT entity_id, trait, coalesce(value, 0) AS log_bf, coalesce(prior, 0)
 def support_two(spark, sf):
     from evisets.plans.support import run_support
 
-    return run_support(membership(spark, sf), trait_y(spark, sf), universe(spark, sf), P, S2, -1.0, max_p=0.5, prune_at=None, joint_rounds=2).scores
+    return run_support(membership(spark, sf), trait_y(spark, sf), universe(spark, sf), P, S2, -1.0, max_p=0.5, prune_at=None, joint_rounds=2).scores.drop("converged")
 
 
 @query("support_run_sets")
