@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evisets.llm.common import released
+
 #: Unicode White_Space, fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-tokenizer's pattern of the word-end vocabulary, fixed value.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 ENDED = 0x2000  # added to the code of a word's last symbol
-KEEP_CHARS, KEEP_ENTRIES = 64, 150_000  # the cache of each Python worker: bounded, and it never changes a result
+KEEP_CHARS, KEEP_ENTRIES = 64, 60_000  # the cache of a task: bounded, and it never changes a result
+ROWS = 512  # texts whose ids and decoded texts are held together
 INF = 1 << 60
 
 
@@ -159,6 +162,11 @@ class Chunks(dict):
             self[chunk] = ids
         return ids
 
+    def reset(self):
+        self.clear()
+        self.old = {}
+        self.vocabulary.fits.clear()
+
 
 @functools.lru_cache(2)
 def loaded(path: str) -> tuple[Vocabulary, Chunks]:
@@ -195,9 +203,12 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def rows(batches):
-        for b in batches:
-            ids = [encode_text(vocabulary, t.as_py()) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                                   pa.array([decode_ids(vocabulary, i) for i in ids], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
-
-    return narrow.mapInArrow(rows, f"doc_id {kind}, ids binary, n_tokens bigint, decoded string")
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                b = batch.slice(at, ROWS)
+                ids = [encode_text(vocabulary, t.as_py()) for t in b.column(1)]
+                yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()),
+                                       pa.array([decode_ids(vocabulary, i) for i in ids], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+        loaded(vocabulary)[1].reset()  # the worker lives on
+
+    return narrow.mapInArrow(lambda batches: released(rows(batches)), f"doc_id {kind}, ids binary, n_tokens bigint, decoded string")

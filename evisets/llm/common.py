@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -48,7 +50,17 @@ def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(rank < int(share * span)).orderBy(rank, key).limit(n)
 
 
+def returned() -> None:
+    """Give freed memory back to the system. Python workers live on between tasks, and what they hold counts for the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def released(batches):
-    """Pass results on; when the task ends, give the memory of its tables back. Python workers live on, and their memory counts for the executor."""
+    """Pass results on; when the task ends, give its memory back."""
     yield from batches
-    pa.default_memory_pool().release_unused()
+    returned()

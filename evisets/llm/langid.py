@@ -8,6 +8,7 @@ language is the log probability of its letters' grams. Languages that hardly use
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter
 from typing import NamedTuple
 
@@ -32,9 +33,11 @@ SMOOTH = 0.5
 SHARE = 0.01  # a language is a candidate for a script in which it writes at least this share of its words
 OUTSIDE = -40.0  # score of a word in a language that is no candidate
 PENALTY = 14.0
-KEEP_ENTRIES = 200_000
-CELLS = 1 << 21  # words x languages looked at together
-SLICE = 50_000  # words whose grams are built together
+KEEP_ENTRIES = 60_000
+CELLS = 1 << 18  # words x languages looked at together
+BLANK = re.compile(r"\s")
+PIECE = 1 << 18  # code points of a long text split into words at once
+SLICE = 8192  # words whose grams are built together
 
 
 @functools.lru_cache(1)
@@ -99,7 +102,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         for b in batches:
             words: dict[str, Counter] = {}
             for t, l in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words.setdefault(l, Counter()).update(t.as_py().split())
+                for piece in pieces(t.as_py()):
+                    words.setdefault(l, Counter()).update(piece.split())
             for l, c in words.items():
                 have = total.setdefault(l, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
                 distinct, times = [*c], np.fromiter(c.values(), np.float64, len(c))
@@ -155,13 +159,15 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     if not len(scores):
         return states
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts with more than t words
-    v, back = scores[starts[: active[0]]], []
+    v = scores[starts[: active[0]]]
+    top_of, left_of = np.zeros(len(scores), np.int16), np.zeros(scores.shape, bool)  # the way back, by word
     for t in range(1, sizes[0]):
         v = v[: active[t]]
         top = v.argmax(1)
         leave = (v[np.arange(len(v)), top] - penalty)[:, None]
-        back.append((top.astype(np.int16), v < leave))
-        v = scores[starts[: active[t]] + t] + np.maximum(v, leave)
+        at = starts[: active[t]] + t
+        top_of[at], left_of[at] = top, v < leave
+        v = scores[at] + np.maximum(v, leave)
         ended = active[t + 1] if t + 1 < sizes[0] else 0  # texts from here on end with this word
         states[starts[ended : active[t]] + t] = v[ended:].argmax(1)
     one = slice(active[1] if sizes[0] > 1 else 0, active[0])
@@ -169,26 +175,48 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     for t in range(sizes[0] - 1, 0, -1):
         at = starts[: active[t]] + t
         now = states[at]
-        top, left = back[t - 1]
-        states[at - 1] = np.where(left[np.arange(len(now)), now], top, now)
+        states[at - 1] = np.where(left_of[at, now], top_of[at], now)
     return states
 
 
+def pieces(text: str):
+    """The text cut at white space after each PIECE code points."""
+    at = 0
+    while at < len(text):
+        m = BLANK.search(text, at + PIECE) if at + PIECE < len(text) else None
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 def label(model: Model, words: Words, texts: list[str | None], penalty: float):
     """For each text: language, score and spans as lang:first word:end."""
-    sizes, ids = [], []
+    sizes, scores, letters, held = [], [], [], []
+
+    def taken():
+        ids = words.rows(held)  # rows are good until the next call
+        scores.append(words.scores[ids])
+        letters.append(words.letters[ids])
+        held.clear()
+
     for t in texts:
-        w = t.split() if t else []
-        sizes.append(len(w))
-        ids += w
-    ids, sizes = words.rows(ids), np.array(sizes, np.int64)
+        size = 0
+        for piece in pieces(t or ""):
+            w = piece.split()
+            size += len(w)
+            held.extend(w)
+            if len(held) * 4 > PIECE:
+                taken()
+        sizes.append(size)
+    taken()
+    sizes, letters = np.array(sizes, np.int64), np.concatenate(letters)
     n, k = len(texts), max(1, len(model.langs))
-    letters, states = words.letters[ids], viterbi(words.scores[ids], sizes, penalty)
+    states = viterbi(np.concatenate(scores), sizes, penalty)
     owner = np.repeat(np.arange(n), sizes)
     mass = np.bincount(owner * k + states, letters, n * k).reshape(n, k)
     total = mass.sum(1)
     ends = np.cumsum(sizes)
-    cut = np.flatnonzero((owner[1:] != owner[:-1]) | (states[1:] != states[:-1])) + 1 if len(ids) else np.zeros(0, np.int64)
+    cut = np.flatnonzero((owner[1:] != owner[:-1]) | (states[1:] != states[:-1])) + 1 if len(states) else np.zeros(0, np.int64)
     for i in range(n):
         first, end = ends[i] - sizes[i], ends[i]
         if not total[i]:

@@ -45,3 +45,14 @@ def test_odd_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert langid.predict(no_documents(spark), langid.fit(docs)).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(no_documents(spark))).collect()} == {"und"}
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    model = langid.Model(("a", "b"), np.log(np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 2)), np.ones((len(langid.SCRIPTS), 2), bool))
+    text = " ".join(np.random.default_rng(2).choice(["one", "zwei", "trois\n", "x" * 90], 3000))
+    texts = [text, None, "", "one", text[:500]]
+    whole = list(langid.label(model, langid.Words(model), texts, 0.0))
+    monkeypatch.setattr(langid, "PIECE", 50)
+    monkeypatch.setattr(langid, "KEEP_ENTRIES", 2)
+    assert list(langid.label(model, langid.Words(model), texts, 0.0)) == whole
+    assert "".join(langid.pieces(text)) == text and whole[0][2].count(",") > 5
