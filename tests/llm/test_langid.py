@@ -55,4 +55,4 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     monkeypatch.setattr(langid, "PIECE", 50)
     monkeypatch.setattr(langid, "KEEP_ENTRIES", 2)
     assert list(langid.label(model, langid.Words(model), texts, 0.0)) == whole
-    assert "".join(langid.pieces(text)) == text and whole[0][2].count(",") > 5
+    assert "".join(langid.pieces(text)) == text and len(whole) == 5
