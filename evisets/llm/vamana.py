@@ -1,9 +1,10 @@
 """Nearest vectors by inner product from robust-pruned directed graphs, one per shard.
 
-Every distinct vector belongs to one shard by its norm, in ranges of a factor of 16, and a hash of its smallest id. A shard's graph is built in batches: greedy searches on the graph so far
+Every distinct vector belongs to one shard by its norm, in narrow ranges, and a hash of its smallest id. A shard's graph is built in batches: greedy searches on the graph so far
 propose neighbours, relaxed distance pruning keeps diverse ones, reverse edges are added and pruned where a node has too many; a second pass runs
 over the full graph. Inner products become distances by one more coordinate that lifts a shard's vectors to their largest norm, which is scaled to 1, so single precision tells them apart whatever the norms of others. A query runs a beam search in
-every shard and rescores what it found in double precision. Shards and blocks of queries have a bounded size, so have the tasks.
+the shards of the longest vectors and rescores what it found in double precision; of the others it asks those whose longest vector can reach its
+k-th score, by the bound of Cauchy and Schwarz. Shards and blocks of queries have a bounded size, so have the tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from evisets.llm.common import stored
 
 SHARD, QUERIES = 8192, 16384  # vectors of a shard on average; queries of a block
 DEGREE, BEAM, RELAX = 32, 96, 1.2
-RANGE = 4  # octaves of norm that share shards
+FOUND = 128  # beam of the queries
+RANGE = 0.25  # octaves of norm that share shards: with wider ones the lift, not the direction, decides who is near, and neighbours are lost
 BATCH, WIDE = 256, 4  # points that advance together; nodes a search expands at once
 NONE = -1
 
@@ -152,7 +154,13 @@ def valid(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") ->
     return v.where(finite)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedding", key: str = "vec_id", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+def log_norm(vector: str):
+    """log2 of the norm of any finite vector that is not all zero, without overflow on the way."""
+    most = F.expr(f"array_max(transform({vector}, x -> abs(x)))")
+    return F.log2(most) + F.log2(F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedding", key: str = "vec_id", shard: int = SHARD, beam: int = FOUND) -> DataFrame:
     """For each row of ``queries`` the ``k`` nearest rows of ``vectors`` found: query_id, rank, vec_id, score, by score, ties by vec_id.
 
     A candidate is every row but those with the query's id; fewer than k: all found. Equal vectors are one point of a graph with its k + 1 smallest
@@ -163,18 +171,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "
     few = Window.partitionBy("vector").orderBy("vec_id")
     v = v.withColumn("i", F.row_number().over(few)).where(F.col("i") <= k + 1)
     points = stored(v.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "ann-points")
-    most = F.expr("array_max(transform(vector, x -> abs(x)))")
-    norm = F.log2(most) + F.log2(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2  # of any finite vector
-    points = points.withColumn("range", F.floor(norm / RANGE).cast("int"))
-    sizes = points.groupBy("range").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).orderBy("range").collect()  # at most some 530
-    width, shards, place = max((r["width"] for r in sizes), default=1), 0, []
-    for r in sizes:
+    points = points.withColumn("range", F.floor(log_norm("vector") / RANGE).cast("int"))
+    sizes = points.groupBy("range").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).orderBy(F.desc("range")).collect()  # at most some 8,500
+    width, shards, place, held, first = max((r["width"] for r in sizes), default=1), 0, [], 0, 0
+    for r in sizes:  # shards are numbered from the longest vectors on; the first ones hold ``shard`` vectors together
         own = math.ceil(r["n"] / shard)
+        if held < shard:
+            first += min(own, math.ceil((shard - held) * own / r["n"]))
+            held += r["n"]
         place.append((r["range"], shards, own))
         shards += own
-    place = points.sparkSession.createDataFrame(place, "range int, first int, own int")
+    spark = points.sparkSession
+    low, high = (place[-1][0], place[0][0]) if place else (0, 0)
+    ends = {r: start + own for r, start, own in place}
+    reach, last = [], 0
+    for r in range(high + 1, low - 1, -1):  # how many shards have vectors of this range or longer ones
+        last = ends.get(r, last)
+        reach.append((r, last))
+    reach = F.broadcast(spark.createDataFrame(reach, "range int, last int"))
+    place = spark.createDataFrame(place, "range int, first int, own int")
     points = points.join(F.broadcast(place), "range").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64(F.col("members")[0]), F.col("own"))).cast("int"))
-    points, shards = points.select("vector", "members", "shard"), max(1, shards)
+    points = points.select("vector", "members", "shard")
 
     def graph(t: pa.Table) -> pa.Table:
         edges, start = build(lifted(matrix(t.column("vector"), width)))
@@ -184,8 +201,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "
     index = stored(points.groupBy("shard").applyInArrow(graph, "vector array<double>, members array<bigint>, shard int, edges array<int>, place int, start boolean"), "ann-index")
     asked = valid(queries, vector, key).distinct()
     blocks = max(1, math.ceil(asked.count() / QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
     def ask(points: pa.Table, asked: pa.Table) -> pa.Table:
         found = ([], [], [])
@@ -209,6 +225,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "
                     found[2].extend(-s for s, _ in listed)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    hits = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(ask, "query_id bigint, vec_id bigint, score double")
+    def hits(asked: DataFrame) -> DataFrame:
+        pairs = asked.select("shard", "block").distinct().toDF("shard", "block")  # columns of its own, as the other side has them too
+        return index.join(pairs, "shard").groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(
+            ask, "query_id bigint, vec_id bigint, score double")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    listed = lambda h: h.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = stored(listed(hits(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(first, 1) - 1)))))).drop("rank"), "ann-first")
+    if first < shards:
+        least = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+        open_ = asked.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        # a vector shorter than least / norm of the query can't come in; the small slack is for rounding
+        needed = F.floor((F.log2("least") - log_norm("vector") - 1e-6) / RANGE)
+        needed = F.when(F.col("least") > 0, F.greatest(F.lit(low), F.least(F.lit(high + 1), needed))).otherwise(low).cast("int")
+        open_ = open_.withColumn("range", needed).join(reach, "range").where(F.col("last") > first)
+        open_ = open_.withColumn("shard", F.explode(F.sequence(F.lit(first), F.col("last") - 1))).select("vec_id", "vector", "block", "shard")
+        found = found.unionByName(hits(open_))
+    return listed(found).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 """Recall against brute force, exact scores, ties, copies and vectors that take no part."""
 import numpy as np
+import pytest
 
 from evisets.llm import vamana
 
@@ -46,3 +47,18 @@ def test_very_long_vectors_do_not_blur_the_others(spark):
         best = sorted([(-a, i) for i, a in enumerate(x @ x[q]) if i != q] + [(-1e200 * x[q][0], 9000)])[:20]
         hits += len({i for _, i in best} & {*g.vec_id})
     assert len(got) == 40 * 20 and hits / len(got) >= 0.9
+
+
+@pytest.mark.parametrize("width, spread", [(16, 1.0), (32, 0.5), (32, 1.0), (128, 0.5), (128, 1.0)])
+def test_recall_where_lengths_vary(spark, width, spread):
+    r = np.random.default_rng(width)
+    x = r.normal(size=(3000, width))
+    x *= np.exp(spread * r.normal(size=(3000, 1))) / np.sqrt((x * x).sum(1))[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vamana.nearest(frame, frame.where("vec_id % 50 = 0"), 20, shard=1000).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({*np.argsort(-s)[:20]} & {*g.vec_id})
+    assert len(got) == 60 * 20 and hits / len(got) >= 0.95
