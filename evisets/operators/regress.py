@@ -6,7 +6,6 @@ already aggregated rows, or the driver for a single design). Rows never leave th
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,44 +117,10 @@ def ols_hc3(df: DataFrame, x: list[str], y: str, robust: bool = True) -> DataFra
 
 def huber_reg(df: DataFrame, x: list[str], y: str, delta: float = 1.0, max_rounds: int | None = None,
               tol: float = 1e-6) -> DataFrame:
-    """Huber robust regression by re-weighted least squares.
+    """Huber regression of one design: ``grouped.huber_groups`` with a single group."""
+    from evisets.operators.grouped import huber_groups
 
-    A round is one aggregation with the current coefficients as literals; only k numbers come back, so the plan never grows.
-    """
-    full = df.withColumn("intercept", F.lit(1.0))
-    cols = [*x, "intercept"]
-    k = len(cols)
-    first = normal_sums(full, cols, [y])
-    row = first.first()
-    inv = fetch_inverse(first, k)
-    beta = inv @ np.array([float(row[f"xy_0_{i}"]) for i in range(k)])
-    n = int(row["n_rows"])
-    sse = 0.0
-    for _ in itertools.count() if max_rounds is None else range(max_rounds):
-        resid = F.col(y) - linear_column(beta, cols)
-        w = F.when(F.abs(resid) <= delta, F.lit(1.0)).otherwise(F.lit(delta) / F.abs(resid))
-        weighted = full.select(*[F.col(c).alias(c) for c in cols], F.col(y).alias("_y"), w.alias("_w"))
-        aggs = [F.sum(F.col("_w") * F.col(cols[i]) * F.col(cols[j])).alias(name) for i, j, name in _cross_names(cols)]
-        aggs += [F.sum(F.col("_w") * F.col(c) * F.col("_y")).alias(f"xy_0_{i}") for i, c in enumerate(cols)]
-        aggs.append(F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("yy"))
-        sums = weighted.agg(*aggs)
-        r = sums.first()
-        m = np.zeros((k, k))
-        for i, j, name in _cross_names(cols):
-            m[i, j] = m[j, i] = float(r[name])
-        inv = np.linalg.pinv(m, hermitian=True)
-        xy = np.array([float(r[f"xy_0_{i}"]) for i in range(k)])
-        new = inv @ xy
-        sse = float(r["yy"]) - float(new @ xy)
-        done = not np.max(np.abs(new - beta)) >= tol * (1 + np.max(np.abs(new)))  # also where sums aren't finite
-        beta = new
-        if done:
-            break
-    se = np.sqrt(np.maximum(max(sse, 0.0) / max(n - k, 1) * np.diag(inv), 0))
-    spark = df.sparkSession
-    out = spark.createDataFrame([(y, c, float(b), float(s), n) for c, b, s in zip(cols, beta, se)],
-                                "outcome string, term string, beta double, se double, n_rows long")
-    return with_tests(out)
+    return huber_groups(df.withColumn("_all", F.lit(0)), x, y, ["_all"], delta, tol, max_rounds).drop("_all")
 
 
 def prune_covariates(df: DataFrame, cols: list[str], max_corr: float = 0.95) -> list[str]:

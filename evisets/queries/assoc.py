@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from evisets.functions import scalar, special
-from evisets.operators import assoc, diagnostics, regress
+from evisets.operators import assoc, diagnostics, grouped, regress
 from evisets.operators.ordered import bh_q
 from evisets.queries.roles import (
     bh_sql, binary, covariates, draws, evidence, evidence_y, interval_y, intervals, marginal_sql, membership, moments_sql, n_entities, order_sets, r,
@@ -348,10 +348,43 @@ def ols_hc3(spark, sf):
     return regress.ols_hc3(d, ["p_size"], "value").select("term", "beta", "se")
 
 
-@query("huber_regression")
+def huber_sql(d: str, *names: str) -> str:
+    """Rounds of the robust fit, unrolled far beyond convergence: fit(trait, b1, b0), from ``d``(trait, x, value)."""
+    return with_(*names, extra=d + """,
+it AS (SELECT trait, 0 AS i, regr_slope(value, x) AS b1, regr_intercept(value, x) AS b0 FROM d GROUP BY 1 UNION ALL
+SELECT trait, i + 1, (sw * sxy - sx * sy) / (sw * sxx - sx * sx), (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) FROM (
+SELECT trait, i, sum(w) AS sw, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * value) AS sy, sum(w * x * value) AS sxy FROM (
+SELECT d.*, i, CASE WHEN abs(value - b0 - b1 * x) <= 1 THEN 1.0::DOUBLE ELSE 1 / abs(value - b0 - b1 * x) END AS w FROM d JOIN it USING (trait) WHERE i < 150) GROUP BY 1, 2)),
+ls AS (SELECT trait, count(*) AS n, regr_sxx(value, x) AS sxx, sum(CASE WHEN abs(value - b0 - b1 * x) <= 1 THEN pow(value - b0 - b1 * x, 2) / 2 ELSE abs(value - b0 - b1 * x) - 0.5 END) AS loss
+FROM d JOIN it USING (trait) WHERE i = 150 GROUP BY 1),
+fit AS (SELECT trait, b1 AS beta, sqrt(loss / (n - 2) / sxx) AS se, n FROM it JOIN ls USING (trait) WHERE i = 150)
+""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("huber_regression", huber_sql("d AS (SELECT 0 AS trait, value, p_size AS x FROM y1 JOIN cov USING (entity_id))", "y1", "cov") +
+       f"SELECT 'p_size' AS term, {r('beta', 'beta')}, {r('se', 'se')} FROM fit")
 def huber(spark, sf):
     d = evidence_y(spark, sf).join(covariates(spark, sf).select("entity_id", "p_size"), "entity_id")
-    return regress.huber_reg(d, ["p_size"], "value", tol=1e-9).select("term", "beta", "se", "p")
+    return regress.huber_reg(d, ["p_size"], "value", tol=1e-9).where("term = 'p_size'").select("term", "beta", "se")
+
+
+@query("huber_by_trait", huber_sql("d AS (SELECT trait, value, p_size AS x FROM y JOIN cov USING (entity_id))", "y", "cov") +
+       f"SELECT trait, {r('beta', 'beta')}, {r('se', 'se')}, n AS n_rows, true AS converged FROM fit")
+def huber_by_trait(spark, sf):
+    d = trait_y(spark, sf).join(covariates(spark, sf).select("entity_id", "p_size"), "entity_id")
+    return grouped.huber_groups(d, ["p_size"], "value", ["trait"], tol=1e-9).where("term = 'p_size'").select("trait", "beta", "se", "n_rows", "converged")
+
+
+SANDWICH = with_("y", "cov", extra="bk AS (SELECT p_partkey AS entity_id, p_brand || p_type || p_size AS bkey FROM part),\n" + CORR + """,
+d AS (SELECT trait, entity_id, value, p_size AS x FROM y JOIN cov USING (entity_id)),
+g AS (SELECT trait, regr_slope(value, x) AS beta, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx FROM d GROUP BY 1),
+m AS (SELECT u.trait, sum(r * u.x * v.x) AS mxx, sum(r * u.x) AS mx, sum(r) AS m1 FROM d u JOIN ec ON ec.a = u.entity_id JOIN d v ON v.entity_id = ec.b AND v.trait = u.trait GROUP BY 1)""")
+
+
+@query("multi_ols_sandwich", SANDWICH + f"SELECT trait, {r('beta', 'beta')}, {r('sqrt(n * n * mxx - 2 * n * sx * mx + sx * sx * m1) / (n * sxx - sx * sx)', 'se')} FROM g JOIN m USING (trait)")
+def multi_ols_sandwich(spark, sf):
+    d = trait_y(spark, sf).join(covariates(spark, sf).select("entity_id", "p_size"), "entity_id")
+    return grouped.sandwich_ols(d, ["p_size"], "value", ["trait"], _entity_corr(spark, sf)).where("term = 'p_size'").select("trait", "beta", "se")
 
 
 @query("correct_by_covariates", with_("evid", "cov", extra="""d AS (SELECT entity_id, log_bf, p_size, n_lines FROM evid JOIN cov USING (entity_id)),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evisets.operators import factors as fx
-from evisets.operators import nmf
+from evisets.operators import grouped, nmf
+from evisets.queries.assoc import huber_sql
 from evisets.queries.roles import (
     binary, entity_trait, evidence, loadings, membership, n_entities, r, run_loadings, sql_p, table, tidy, universe, with_,
 )
@@ -403,3 +404,20 @@ zz AS (SELECT *, beta / se AS z FROM b)""") + f"SELECT {FT.replace('n_hits, ', '
 def factor_trait_continuous(spark, sf):
     y = entity_trait(spark, sf).select("entity_id", "trait", F.col("log_bf").alias("value"))
     return fx.factor_trait_continuous(dense_loadings(spark, sf), y, n_entities(spark, sf))
+
+
+ROBUST = "d AS (SELECT t.trait, p.p_size / 50.0::DOUBLE AS x, coalesce(log_bf, 0) AS value FROM part p JOIN (SELECT DISTINCT trait FROM et) t ON true LEFT JOIN et e ON e.entity_id = p.p_partkey AND e.trait = t.trait)"
+
+
+@query("factor_trait_robust", huber_sql(ROBUST, "et") + f"SELECT 'Factor1' AS factor, trait, {r('beta', 'beta')}, {r('se', 'se')}, true AS converged FROM fit")
+def factor_trait_robust(spark, sf):
+    wide = table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), (F.col("p_size") / 50.0).alias("Factor1"))
+    y = entity_trait(spark, sf).select("entity_id", "trait", F.col("log_bf").alias("value"))
+    return grouped.factor_trait_fit(wide, ["Factor1"], y, robust=True, tol=1e-9).select("factor", "trait", "beta", "se", "converged")
+
+
+@query("factor_trait_joint_continuous")
+def factor_trait_joint_continuous(spark, sf):
+    wide = dense_loadings(spark, sf).groupBy("entity_id").agg(*[F.max(F.when(F.col("factor") == i, F.col("value"))).alias(f"Factor{i}") for i in (1, 2, 3)])
+    y = entity_trait(spark, sf).select("entity_id", "trait", F.col("log_bf").alias("value"))
+    return grouped.factor_trait_fit(wide, ["Factor1", "Factor2", "Factor3"], y)
