@@ -8,6 +8,7 @@ memberships, so a popular entity costs its degree, not its degree squared.
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from evisets.functions.scalar import SigmoidThreshold, scaled_sigma2, spike_slab, to_prob
 from evisets.operators.assoc import finalize_stats, marginal_linear, marginal_logistic, sample_outcomes
 from evisets.operators.sets import entity_degree
-from evisets.plans.iterate import broadcast_if_small, cut, grid, heavy_keys, split_join, spread
+from evisets.plans.iterate import broadcast_if_small, cut, grid, heavy_keys, held, split_join, spread
 
 DEFAULT_P = 0.001
 DEFAULT_POWER = -2.0
@@ -327,14 +328,14 @@ def drop_reduced(fits: DataFrame, folds: DataFrame, max_p: float = 1.0, sds: flo
 
 
 def cv_sigma(membership: DataFrame, y: DataFrame, folds: DataFrame, grid: list[float], p: float = DEFAULT_P,
-             power: float | None = DEFAULT_POWER) -> DataFrame:
+             power: float | None = DEFAULT_POWER, stats: DataFrame | None = None) -> DataFrame:
     """Mean squared error of held-out evidence for each slab variance: rss(trait, sigma2).
 
-    The grid is a short literal array on the leave-out statistics; each fold's effects predict only that fold.
+    ``stats`` are stored ``fold_stats`` of the same inputs. The grid is a short literal array on the leave-out statistics; each fold's effects predict only that fold.
     """
     from evisets.operators.sets import set_moments
 
-    stats = fold_stats(membership, y, folds).withColumn("sigma2", F.explode(F.array(*[F.lit(float(s)) for s in grid])))
+    stats = (fold_stats(membership, y, folds) if stats is None else stats).withColumn("sigma2", F.explode(F.array(*[F.lit(float(s)) for s in grid])))
     fits = shrink_independent(with_hyper(stats, p, F.col("sigma2"), power)).where("beta_uncorrected <> 0")
     n = folds.agg(F.count("*")).scalar()
     full = set_moments(membership.join(folds.select("entity_id"), "entity_id", "left_semi"), n).select(
@@ -362,17 +363,48 @@ def best_sigma(rss: DataFrame) -> DataFrame:
     return s.select("trait", "sigma2", "rss", ((F.col("sigma2") == F.col("_lo")) | (F.col("sigma2") == F.col("_hi"))).alias("at_edge"))
 
 
-def cross_validate(membership: DataFrame, y: DataFrame, folds: DataFrame, sigma2: float, explore: int = 1, tries: int = 2,
-                   p: float = DEFAULT_P, power: float | None = DEFAULT_POWER) -> DataFrame:
-    """Decade grid around ``sigma2``; while some trait's best is at the edge, the grid is widened by its own width."""
-    lo, hi = -explore, explore
-    for attempt in range(tries):
-        rss = cut(cv_sigma(membership, y, folds, [sigma2 * 10.0 ** k for k in range(lo, hi + 1)], p, power))
-        best = best_sigma(rss)
-        if attempt + 1 == tries or best.where("at_edge").isEmpty():
-            return best
-        lo, hi = lo - 2 * explore, hi + 2 * explore
-    return best
+def _frontier(rss: DataFrame, flat: float) -> DataFrame:
+    """Best of each trait with the side (-1, 0, 1) of its grid on which it lies, and whether the error is level there."""
+    lo, hi = F.min(F.struct("sigma2", "rss")), F.max(F.struct("sigma2", "rss"))
+    best = best_sigma(rss).drop("at_edge")
+    ends = rss.groupBy("trait").agg(lo.alias("_lo"), hi.alias("_hi"))
+    inner = rss.join(ends, "trait").where((F.col("sigma2") > F.col("_lo.sigma2")) & (F.col("sigma2") < F.col("_hi.sigma2"))).groupBy("trait").agg(
+        lo.alias("_low"), hi.alias("_high"))
+    side = F.when(F.col("sigma2") == F.col("_lo.sigma2"), F.lit(-1)).when(F.col("sigma2") == F.col("_hi.sigma2"), F.lit(1)).otherwise(F.lit(0))
+    near = F.when(F.col("side") < 0, F.col("_low.rss")).otherwise(F.col("_high.rss"))
+    level = (F.col("side") != 0) & ~(F.col("rss") < near * (1 - flat))
+    return best.join(ends, "trait").join(inner, "trait").withColumn("side", side).withColumn("flat", level).select("trait", "sigma2", "rss", "side", "flat")
+
+
+def cross_validate(membership: DataFrame, y: DataFrame, folds: DataFrame, sigma2: float, explore: int = 1, p: float = DEFAULT_P,
+                   power: float | None = DEFAULT_POWER, flat: float = 1e-6) -> DataFrame:
+    """Best slab variance of each trait on its own decade grid: trait, sigma2, rss, at_edge, flat.
+
+    All traits start with ``explore`` decades either side of ``sigma2``. Those whose best lies at an end go on outwards by 2 x explore decades; a
+    trait leaves when its best is inside, or when the error no longer falls by ``flat`` of itself at the end (``flat``: any variance beyond does as
+    well). The leave-out statistics are stored once, a step reads those of the open traits only. ``at_edge`` stays true only where the variance
+    itself would leave the range of doubles. A trait whose evidence is all null has no row.
+    """
+    if explore < 1:
+        raise ValueError("explore at least one decade")
+    y = held(y.where("value is not null"))
+    stats = held(fold_stats(membership, y, folds))
+    done = held(cv_sigma(membership, y, folds, [sigma2 * 10.0 ** k for k in range(-explore, explore + 1)], p, power, stats))
+    parts = [done]
+    first = held(_frontier(done, flat))
+    for side in (-1, 1):  # the traits that went down never come back up: the other end is known to be worse
+        reach, open_ = explore, held(first.where((F.col("side") == side) & ~F.col("flat")).select("trait"))
+        while not open_.isEmpty():
+            values = [sigma2 * 10.0 ** (side * k) for k in range(reach + 1, reach + 2 * explore + 1)]
+            reach += 2 * explore
+            if not all(1e-300 < v < 1e300 for v in values):
+                break
+            only = lambda df: df.join(open_, "trait", "left_semi")  # noqa: E731, B023
+            parts.append(held(cv_sigma(membership, only(y), folds, values, p, power, only(stats))))
+            known = only(reduce(DataFrame.unionByName, parts))
+            open_ = held(_frontier(known, flat).where((F.col("side") == side) & ~F.col("flat")).select("trait"))
+    best = _frontier(reduce(DataFrame.unionByName, parts), flat)
+    return best.select("trait", "sigma2", "rss", ((F.col("side") != 0) & ~F.col("flat")).alias("at_edge"), "flat")
 
 
 def pops_prior(membership: DataFrame, y: DataFrame, folds: DataFrame, sigma2: float) -> DataFrame:

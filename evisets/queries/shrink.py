@@ -312,6 +312,22 @@ def cv_best(spark, sf):
     return shrink.best_sigma(shrink.cv_sigma(membership(spark, sf), trait_y(spark, sf), folds(spark, sf), [1e-4, 1e-3, 1e-2], 0.2, -1.0))
 
 
+DECADES = "[" + ", ".join(f"1e{k}" for k in range(-18, 13)) + "]"
+SEARCH = CV.replace("[0.0001, 0.001, 0.01]", DECADES).rstrip() + f""",
+e AS MATERIALIZED (SELECT trait, round(log10(sigma2))::INT + 3 AS k, sigma2, rss FROM rss),
+s0 AS (SELECT trait, arg_min(k, rss) AS b FROM e WHERE abs(k) <= 1 GROUP BY 1),
+w AS (SELECT trait, j, CASE WHEN b < 0 THEN -1 - 2 * j ELSE -1 END AS lo, CASE WHEN b > 0 THEN 1 + 2 * j ELSE 1 END AS hi FROM s0, range(0, 8) t(j)),
+c AS (SELECT trait, j, arg_min(k, rss) AS k, arg_min(sigma2, rss) AS sigma2, min(rss) AS rss, min(rss) FILTER (WHERE k = lo + 1) AS rl, min(rss) FILTER (WHERE k = hi - 1) AS rh, min(lo) AS lo, min(hi) AS hi
+FROM e JOIN w USING (trait) WHERE k BETWEEN lo AND hi GROUP BY 1, 2),
+fl AS (SELECT *, (k = lo AND rss >= rl * (1 - 1e-6)) OR (k = hi AND rss >= rh * (1 - 1e-6)) AS flat FROM c)
+"""
+
+
+@query("cross_validation_search", SEARCH + f"SELECT trait, {r('sigma2', 'sigma2')}, {r('rss', 'rss')}, false AS at_edge, flat FROM fl WHERE k > lo AND k < hi OR flat QUALIFY row_number() OVER (PARTITION BY trait ORDER BY j) = 1")
+def cv_search(spark, sf):
+    return shrink.cross_validate(membership(spark, sf), trait_y(spark, sf), folds(spark, sf), 1e-3, 1, 0.2, -1.0)
+
+
 @query("alternate_scores")
 def alternate(spark, sf):
     e = evidence(spark, sf).select("entity_id", F.lit("returns").alias("trait"), "log_bf")
