@@ -355,17 +355,17 @@ it AS (SELECT trait, 0 AS i, regr_slope(value, x) AS b1, regr_intercept(value, x
 SELECT trait, i + 1, (sw * sxy - sx * sy) / (sw * sxx - sx * sx), (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) FROM (
 SELECT trait, i, sum(w) AS sw, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * value) AS sy, sum(w * x * value) AS sxy FROM (
 SELECT d.*, i, CASE WHEN abs(value - b0 - b1 * x) <= 1 THEN 1.0::DOUBLE ELSE 1 / abs(value - b0 - b1 * x) END AS w FROM d JOIN it USING (trait) WHERE i < 150) GROUP BY 1, 2)),
-ls AS (SELECT trait, count(*) AS n, regr_sxx(value, x) AS sxx, sum(CASE WHEN abs(value - b0 - b1 * x) <= 1 THEN pow(value - b0 - b1 * x, 2) / 2 ELSE abs(value - b0 - b1 * x) - 0.5 END) AS loss
+ls AS (SELECT trait, count(*) AS n, regr_sxx(value, x) AS sxx, avg(x) AS mx, sum(CASE WHEN abs(value - b0 - b1 * x) <= 1 THEN pow(value - b0 - b1 * x, 2) / 2 ELSE abs(value - b0 - b1 * x) - 0.5 END) AS loss
 FROM d JOIN it USING (trait) WHERE i = 150 GROUP BY 1),
-fit AS (SELECT trait, b1 AS beta, sqrt(loss / (n - 2) / sxx) AS se, n FROM it JOIN ls USING (trait) WHERE i = 150)
+fit AS (SELECT trait, b1 AS beta, sqrt(loss / (n - 2) / sxx) AS se, b0, sqrt(loss / (n - 2) * (1.0 / n + mx * mx / sxx)) AS se0, n FROM it JOIN ls USING (trait) WHERE i = 150)
 """).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("huber_regression", huber_sql("d AS (SELECT 0 AS trait, value, p_size AS x FROM y1 JOIN cov USING (entity_id))", "y1", "cov") +
-       f"SELECT 'p_size' AS term, {r('beta', 'beta')}, {r('se', 'se')} FROM fit")
+       f"SELECT term, {r('b', 'beta')}, {r('s', 'se')}, {r(sql_p('(b / s)'), 'p')} FROM (SELECT 'p_size' AS term, beta AS b, se AS s FROM fit UNION ALL SELECT 'intercept', b0, se0 FROM fit)")
 def huber(spark, sf):
     d = evidence_y(spark, sf).join(covariates(spark, sf).select("entity_id", "p_size"), "entity_id")
-    return regress.huber_reg(d, ["p_size"], "value", tol=1e-9).where("term = 'p_size'").select("term", "beta", "se")
+    return regress.huber_reg(d, ["p_size"], "value", tol=1e-9).select("term", "beta", "se", "p")
 
 
 @query("huber_by_trait", huber_sql("d AS (SELECT trait, value, p_size AS x FROM y JOIN cov USING (entity_id))", "y", "cov") +
