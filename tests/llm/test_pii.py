@@ -84,6 +84,69 @@ def test_overlapping_spans_are_replaced_once(spark):
     assert pii.redact(docs, pii.spans(docs)).first().text == "x <CARD> y"  # both begin together, the shorter one comes first
 
 
+def test_words_beside_a_match_are_those_of_the_text(spark):
+    """Behind other matches and tokens, in a list, behind line ends, far into a long text: always the text's own words."""
+    r = random.Random(7)
+    bits = ["ring", "phone", "a7", "5550177000", "+49 30 1234567", "x@y.zz", "10.0.0.1", "é😀", "w" * 90, "4111 1111 1111 1111", "now,", "(5)"]
+    texts = ["".join(r.choice(bits) + r.choice([" ", "  ", "\n", "\t", " "]) for _ in range(r.randint(1, 14))) for _ in range(150)]
+    texts += ["a b" + " " * 400 + "x@y.zz" + "\n" * 300 + "end", "v " * 600 + "u" * 500 + " x@y.zz " + "u" * 500 + " t", "5 " * 700 + "x@y.zz"]
+    df = pii.based(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for row in df.collect():
+        t = texts[row.doc_id]
+        for kind in ("email", "phone", "card", "token", "run"):
+            for x in row[kind]:
+                assert t[x.start:x.end] == x.m
+                assert x.before == t[:x.start].split()[-2:], (kind, t, x)
+                assert x.after == (t[x.end:].split() or [""])[0], (kind, t, x)
+
+
+def test_numbers_behind_digit_tokens_and_in_lists_are_found(spark):
+    rows = [(i, f"please ring phone +49 30 55501{i:02d} today") for i in range(8)] + [(20 + i, f"the line was phone a{i} +49 30 55502{i:02d} today") for i in range(8)]
+    rows += [(100, "so ring phone 5550177000 today"), (101, "it was phone a7 5550177111 today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.redact(docs, pii.spans(docs)).where("doc_id >= 100").collect()}
+    assert texts == {100: "so ring phone <PHONE> today", 101: "it was phone a7 <PHONE> today"}
+
+
+def test_free_entries_by_brute_force(spark):
+    r = random.Random(3)
+    def some(n, far):
+        return [(a, a + r.randint(1, 6)) for a in sorted(r.randint(0, far) for _ in range(n))]
+    rows = [(i, some(n, far), some(k, far), some(k // 2, far)) for i, (n, k, far) in enumerate([(0, 0, 9), (0, 5, 9), (5, 0, 9), (9, 4, 60), (700, 600, 9000), (300, 1, 50)] * 3)]
+    span = "array<struct<start: bigint, end: bigint>>"
+    got = pii.free(spark.createDataFrame(rows, f"id long, f {span}, a {span}, b {span}"), "f", ["a", "b"], "open").collect()
+    for (i, f, a, b), g in zip(rows, sorted(got, key=lambda x: x.id)):
+        assert sorted(map(tuple, g.open)) == [x for x in sorted(f) if not any(y[0] < x[1] and x[0] < y[1] for y in a + b)]
+
+
+def test_redaction_by_brute_force(spark):
+    r = random.Random(5)
+    rows = []
+    for n, size in [(0, 30), (1, 30), (6, 40), (255, 3000), (256, 3000), (257, 9000), (900, 9000), (40, 60)] * 3:
+        text = "".join(r.choice("abé😀 \n") for _ in range(size))
+        spans = {(s, min(size, s + r.randint(1, 5))): k for s, k in ((r.randrange(size), r.choice(("email", "ip", "phone"))) for _ in range(n))}
+        rows.append((len(rows), text, [(k, s, e) for (s, e), k in spans.items()]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    got = {x.doc_id: x.text for x in pii.redacted(df, "text", "spans").collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for s, e, k in sorted((s, e, k) for k, s, e in spans):
+            if s >= at:
+                out += text[at:s] + f"<{k.upper()}>"
+            at = max(at, e)
+        assert got[i] == out + text[at:]
+
+
+def test_a_long_text_of_many_spans(spark):
+    """Twenty thousand spans in 1.2 million code points: work that grew with their product would not end here."""
+    text = "".join(f"we wrote to user{i}@mail.example.com about it, 5550{i:06d} too, " for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.spans(docs).persist()
+    assert found.selectExpr("size(base)").first()[0] == 20_000
+    clean = pii.redact(docs, found).first().text
+    assert clean.count("<EMAIL>") == 20_000 and "@" not in clean
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     found = pii.spans(docs)
