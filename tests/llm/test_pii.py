@@ -138,13 +138,13 @@ def test_redaction_by_brute_force(spark):
 
 
 def test_a_long_text_of_many_spans(spark):
-    """Twenty thousand spans in 1.2 million code points: work that grew with their product would not end here."""
-    text = "".join(f"we wrote to user{i}@mail.example.com about it, 5550{i:06d} too, " for i in range(20_000))
+    """Four thousand spans in a quarter of a million code points: work that grew with their product would not end here."""
+    text = "".join(f"we wrote to user{i}@mail.example.com about it, 5550{i:06d} too, " for i in range(4_000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     found = pii.spans(docs).persist()
-    assert found.selectExpr("size(base)").first()[0] == 20_000
+    assert found.selectExpr("size(base)").first()[0] == 4_000
     clean = pii.redact(docs, found).first().text
-    assert clean.count("<EMAIL>") == 20_000 and "@" not in clean
+    assert clean.count("<EMAIL>") == 4_000 and "@" not in clean
 
 
 def test_odd_documents(spark):
