@@ -185,3 +185,12 @@ def sigma2_from_target(prior: float, n_sets: int, p: float, frac: float = 1.0, s
     tail = min(max(frac / n_sets, 1e-12), 0.999)
     z = abs(NormalDist().inv_cdf(tail / 2))
     return p * (effect / z) ** 2
+
+
+def sigma2_for_target(prior: float, n_sets: Column, p: Column, frac: float = 1.0, scale: Column | None = None,
+                      background: float = BACKGROUND) -> Column:
+    """``sigma2_from_target`` by row: every trait with its own number of sets, slab share and scale; null without sets."""
+    effect = F.lit(math.log(prior / (1 - prior)) - background_log_odds(background))
+    tail = F.greatest(F.least(F.lit(float(frac)) / F.nullif(n_sets.cast("double"), F.lit(0.0)), F.lit(0.999)), F.lit(1e-12))
+    needed = effect if scale is None else effect * scale
+    return F.when(n_sets > 0, p * F.pow(needed / z_from_p(tail), F.lit(2.0)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from evisets.functions import scalar
 from evisets.operators import align, prune, sets
 from evisets.operators.assoc import marginal_linear
 from evisets.queries.roles import (
-    binary, covariates, dense, evidence, evidence_y, intervals, marginal_sql, membership, moments_sql, n_entities, order_sets, r, table, tidy,
+    binary, covariates, dense, evidence, evidence_y, intervals, marginal_sql, membership, moments_sql, n_entities, order_sets, r, sql_z, table, tidy,
     trait_y, universe, variants, with_, _positions,
 )
 
@@ -361,3 +364,14 @@ def sparsify(spark, sf):
     d = dense(spark, sf)
     n = table(spark, sf, "embeddings").agg(F.count("*")).scalar()
     return prune.sparsify(d, [50, 100], n, tails=("top", "bot", "ext"))
+
+
+TARGET = math.log(0.8 / 0.2) - scalar.background_log_odds()
+
+
+@query("sigma2_target", TRAIT_STATS + f"""SELECT trait, n_sets, {r(f"0.05::DOUBLE * pow({TARGET!r}::DOUBLE / {sql_z('tail')}, 2)", 'sigma2')}
+    FROM (SELECT trait, count(*) AS n_sets, greatest(least(1.0::DOUBLE / count(*), 0.999::DOUBLE), 1e-12::DOUBLE) AS tail FROM st WHERE beta_tilde > 0 GROUP BY 1)""")
+def sigma2_target(spark, sf):
+    """Slab variance at which the strongest of a trait's sets with a positive effect reaches a prior of 0.8."""
+    n = _trait_stats(spark, sf).where("beta_tilde > 0").groupBy("trait").agg(F.count("*").alias("n_sets"))
+    return n.withColumn("sigma2", scalar.sigma2_for_target(0.8, F.col("n_sets"), F.lit(0.05)))

@@ -61,3 +61,13 @@ def test_threshold_constants_keep_95_and_5_percent():
 
 def test_target_variance_grows_with_the_prior():
     assert scalar.sigma2_from_target(0.9, 50, 0.001) > scalar.sigma2_from_target(0.8, 50, 0.001) > 0
+
+
+def test_sigma2_for_target_is_the_scalar_by_row(spark):
+    from pyspark.sql import functions as F
+
+    from evisets.functions.scalar import sigma2_for_target, sigma2_from_target
+
+    df = spark.createDataFrame([(1, 0.1), (7, 0.05), (50, 0.001), (100_000, 1.0), (0, 0.1), (None, 0.1)], "n long, p double")
+    for r in df.withColumn("s", sigma2_for_target(0.8, F.col("n"), F.col("p"), 0.5)).collect():
+        assert r.s is None if not r.n else abs(r.s / sigma2_from_target(0.8, r.n, r.p, 0.5) - 1) < 1e-6
