@@ -235,3 +235,9 @@ def test_run_lists_every_entity_with_its_true_prior(spark):
     assert len(scores) == 100 and low < 0
     for e in range(100):
         assert abs(scores[e].prior - (low + sum(r.beta / r.scale for r in sets if e in member[r.set_id]))) < 1e-9
+
+
+def test_links_that_sum_to_nothing_keep_their_probability(spark):
+    links = spark.createDataFrame([("1", 5, 1, 0.0), ("1", 5, 2, 0.0), ("1", 9, 3, 0.2), ("1", 9, 4, 0.6)], "chrom string, pos long, entity_id long, prob double")
+    got = {r.entity_id: r.prob for r in locus.read_links(links, links, normalise_to=1.0).collect()}
+    assert got[1] == got[2] == 0 and abs(got[3] - 0.25) < 1e-12 and abs(got[4] - 0.75) < 1e-12
