@@ -241,3 +241,14 @@ def test_links_that_sum_to_nothing_keep_their_probability(spark):
     links = spark.createDataFrame([("1", 5, 1, 0.0), ("1", 5, 2, 0.0), ("1", 9, 3, 0.2), ("1", 9, 4, 0.6)], "chrom string, pos long, entity_id long, prob double")
     got = {r.entity_id: r.prob for r in locus.read_links(links, links, normalise_to=1.0).collect()}
     assert got[1] == got[2] == 0 and abs(got[3] - 0.25) < 1e-12 and abs(got[4] - 0.75) < 1e-12
+
+
+def test_signal_entities_by_places_equal_the_way_over_links(spark):
+    rng = np.random.default_rng(3)
+    fine = spark.createDataFrame([(int(i % 70), f"s{int(i) % 3}", "1", int(rng.integers(0, 40)) * 500, float(rng.random())) for i in range(80)],
+                                 "variant_id long, signal_id string, chrom string, pos long, ppa double")
+    ivl = spark.createDataFrame([(int(j % 30), "1", int(a) * 1000, int(a) * 1000 + 700) for j, a in enumerate(rng.integers(0, 20, 40))],
+                                "entity_id long, chrom string, start_pos long, end_pos long")
+    want = {(r.signal_id, r.entity_id): r.prob for r in locus.signal_entity_prob(fine, locus.link_prob(fine, ivl, max_dist=3000)).collect()}
+    got = {(r.signal_id, r.entity_id): r.prob for r in locus.signal_entity_near(fine, ivl, 3000).collect()}
+    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-12 for k in want)
