@@ -222,3 +222,50 @@ def test_filters_by_p_survive_a_p_that_is_summed_again(spark):
     assert kept(sets.limit_by_p(noisy.repartition(3), 5)) == [5, 5]
     copies = spark.createDataFrame([(1, 1, 0.1 + 0.2), (2, 1, 0.3), (3, 1, 0.5)], "set_id long, trait long, p double")
     assert kept(sets.refilter_corrected(copies, 0.0)) == kept(sets.limit_by_p(copies, 1)) == [2]
+
+
+def test_nearest_entities_against_all_pairs(spark):
+    rng = random.Random(5)
+    var = [(i, str(rng.randrange(2)), rng.randrange(-300, 300)) for i in range(150)]
+    ivl = []
+    for j in range(60):
+        a = rng.randrange(-300, 300)
+        ivl.append((100 - j % 50, str(rng.randrange(2)), a, a + rng.choice([-30, 0, 5, 40, 200])))
+    v = spark.createDataFrame(var, "variant_id long, chrom string, pos long")
+    i = spark.createDataFrame(ivl, "entity_id long, chrom string, start_pos long, end_pos long")
+    for k, far in ((1, 25), (2, 25), (3, 0), (2, 1000)):
+        got = {}
+        for r in align.nearest_entities(v, i, "variant_id", k, far).orderBy("rank").collect():
+            got.setdefault(r.variant_id, []).append((r.dist, r.entity_id, r.n_near))
+        for key, chrom, pos in var:
+            all_ = sorted((max(0, min(a, b) - pos, pos - max(a, b)), e) for e, c, a, b in ivl if c == chrom)
+            near = [x for x in all_ if x[0] <= far]
+            assert got.get(key, []) == [(*x, len(near)) for x in near[:k]]
+
+
+def test_nearest_entity_forms_no_pairs(spark):
+    v = spark.range(10).select(F.col("id").alias("variant_id"), F.lit("1").alias("chrom"), (F.col("id") * 7).alias("pos"))
+    i = v.select(F.col("variant_id").alias("entity_id"), "chrom", F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"))
+    assert "between" not in (plan := align.nearest_entity(v, i, "variant_id", 20)._jdf.queryExecution().optimizedPlan().toString()) and "Join" not in plan
+
+
+def test_overlap_report_lists_pairs_without_correlation(spark):
+    from evisets.operators import reports
+
+    m = spark.createDataFrame([(s, e, 1.0) for s, es in ((1, (0, 1)), (2, (0, 2))) for e in es], "set_id long, entity_id long, weight double")
+    stats = spark.createDataFrame([(1, 0.5, 1.0), (2, 0.5, 1.0)], "set_id long, beta double, beta_uncorrected double")
+    got = reports.set_overlap_report(m, stats, sets.set_moments(m, F.lit(4.0))).collect()  # V = 1/4 - 1/2 * 1/2
+    assert sorted((r.set_a, r.set_b, r.v) for r in got) == [(1, 2, 0.0), (2, 1, 0.0)]
+
+
+def test_correlated_pairs_read_whole_sets_only_where_the_prefix_leaves_it_open(spark):
+    rng = np.random.default_rng(8)
+    x = (rng.random((30, 200)) < 0.3) * 1.0
+    x[7] = x[3]
+    m = spark.createDataFrame([(s, e, 1.0) for s in range(30) for e in range(200) if x[s, e]], "set_id long, entity_id long, weight double")
+    v = np.corrcoef(x)
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if abs(v[a, b]) > 0.3}
+    got = {(r.set_a, r.set_b): r.v for r in prune.correlated_pairs(m, F.lit(200.0), 0.3).collect()}
+    assert got.keys() == want and abs(got[3, 7] - 1) < 1e-9
+    moments = sets.set_moments(m, F.lit(200.0)).withColumn("rs", F.col("mean") / F.col("scale")).withColumn("r", F.abs("rs"))
+    assert prune.candidate_pairs(m, moments, moments.agg(F.max("r")).scalar(), F.lit(0.3)).count() < 40  # of 435 pairs that share members
