@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisets.functions.special import one_sided_p, with_p
+from evisets.plans.iterate import held
 
 
 def _cross_names(cols: list[str]) -> list[tuple[int, int, str]]:
@@ -187,7 +188,7 @@ def correct_set_stats(stats: DataFrame, qc: DataFrame, cols: list[str], directio
 
     directions = directions or {}
     z = F.when(F.col("se") != 0, F.abs(F.col("beta_tilde")) / F.col("se")).otherwise(F.lit(0.0))
-    joined = stats.join(qc.select("set_id", *cols), "set_id").withColumn("_z", z)
+    joined = held(stats.join(qc.select("set_id", *cols), "set_id").withColumn("_z", z))  # read for limits, choice, both fits and the result
     lim = joined.agg(F.struct(
         *[F.avg(c).alias(f"m_{c}") for c in [*cols, "_z"]], *[F.stddev_pop(c).alias(f"s_{c}") for c in [*cols, "_z"]]
     )).scalar()

@@ -1,7 +1,7 @@
 """Inputs that a loop or several passes read are computed once."""
 from pyspark.sql import functions as F
 
-from evisets.operators import shrink
+from evisets.operators import regress, shrink
 
 
 def counted(spark, df):
@@ -25,3 +25,10 @@ def test_hyper_rounds_read_stored_statistics(spark):
     stats, n = counted(spark, stats_of(spark))
     got = shrink.learn_hyper(stats, 0.1, 0.001, pseudo=1.0, power=-1.0).collect()
     assert n.value == 40 and {r.trait for r in got} == {0, 1} and all(r.converged and 0 < r.p < 1 for r in got)
+
+
+def test_set_statistics_are_corrected_from_one_reading(spark):
+    stats, n = counted(spark, stats_of(spark).where("trait = 0"))
+    qc = spark.range(40).select(F.col("id").alias("set_id"), F.abs(F.sin(F.col("id"))).alias("a"), F.cos(F.col("id")).alias("b"))
+    rows = regress.correct_set_stats(stats, qc, ["a", "b"]).select("set_id", "se", "z").collect()
+    assert n.value == 20 and len(rows) == 20 and max(r.se for r in rows) > 0.05
