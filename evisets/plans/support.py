@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evisets.operators import assoc, joint, prune, sets, shrink
 from evisets.operators.ordered import bh_q
-from evisets.plans.iterate import cut, spread
+from evisets.plans.iterate import by_group, cut, spread
 
 
 @dataclass
@@ -46,7 +46,7 @@ def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: flo
     if learn_p:
         hyper = shrink.learn_hyper(stats.where("status = 'kept'").withColumn("batch", F.lit("all")), p, sigma2, power=power)
         h = hyper.select("trait", F.col("p").alias("_p"), F.col("sigma2").alias("_s"))
-        stats = shrink.with_hyper(stats.join(h, "trait", "left"), F.coalesce("_p", F.lit(p)), F.coalesce("_s", F.lit(sigma2)), power).drop("_p", "_s")
+        stats = shrink.with_hyper(stats.join(by_group(h), "trait", "left"), F.coalesce("_p", F.lit(p)), F.coalesce("_s", F.lit(sigma2)), power).drop("_p", "_s")
     else:
         stats = shrink.with_hyper(stats, p, sigma2, power)
     fit = cut(shrink.shrink_independent(stats, shrink.DEFAULT_SPARSE_FRACTION))
@@ -63,11 +63,11 @@ def run_support(membership: DataFrame, y: DataFrame, universe: DataFrame, p: flo
     else:
         fit = fit.withColumn("beta", F.when(kept, F.col("beta_uncorrected")).otherwise(F.lit(0.0)))
         ended = stats.select("trait").distinct().withColumn("converged", F.lit(True))
-    fit = fit.join(ended, "trait", "left").withColumn("converged", F.coalesce("converged", F.lit(True)))  # a trait without live sets has nothing to fit
+    fit = fit.join(by_group(ended), "trait", "left").withColumn("converged", F.coalesce("converged", F.lit(True)))  # a trait without live sets has nothing to fit
     everyone = universe.select("entity_id").union(membership.select("entity_id")).union(y.select("entity_id")).distinct()
     effects = fit.withColumn("beta", F.when(kept, F.col("beta")).otherwise(F.lit(0.0)))
     prior = shrink.prior_from_effects(membership, effects, "beta", universe=everyone)
     if adjust_degree:
         prior = shrink.adjust_for_degree(prior, membership).withColumn("prior", F.col("prior_adj")).drop("prior_adj", "n_sets")
     scores = shrink.combine_scores(prior, y.select("entity_id", "trait", F.col("value").alias("log_bf")))
-    return Support(fit, scores.join(ended, "trait", "left").withColumn("converged", F.coalesce("converged", F.lit(True))))
+    return Support(fit, scores.join(by_group(ended), "trait", "left").withColumn("converged", F.coalesce("converged", F.lit(True))))

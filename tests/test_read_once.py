@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from evisets.operators import regress, shrink
+from evisets.plans.iterate import cut
 
 
 def counted(spark, df):
@@ -32,3 +33,19 @@ def test_set_statistics_are_corrected_from_one_reading(spark):
     qc = spark.range(40).select(F.col("id").alias("set_id"), F.abs(F.sin(F.col("id"))).alias("a"), F.cos(F.col("id")).alias("b"))
     rows = regress.correct_set_stats(stats, qc, ["a", "b"]).select("set_id", "se", "z").collect()
     assert n.value == 20 and len(rows) == 20 and max(r.se for r in rows) > 0.05
+
+
+def test_rows_of_one_trait_are_not_one_task(spark):
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as if nothing were known to be small
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        stats = cut(spark.range(0, 4000, 1, 4).select(F.col("id").alias("set_id"), F.lit("t").alias("trait"), (F.col("id") / 4000).alias("beta_tilde"),
+                                                      F.lit(0.1).alias("se"), F.lit(1.0).alias("scale")))
+        fit = shrink.shrink_independent(shrink.with_hyper(stats, 0.1, 0.01, None), 0.001)
+        sizes = [r["count"] for r in fit.groupBy(F.spark_partition_id().alias("part"), "trait").count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4000 and max(sizes) < 4000
