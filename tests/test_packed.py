@@ -36,6 +36,50 @@ def test_sums_over_entities_equal_the_long_join(spark):
         assert got[k].xy is None if r.xy is None else abs(got[k].xy - r.xy) < 1e-9
 
 
+def test_sums_over_entities_in_ranges_equal_the_long_join(spark, monkeypatch):
+    """Ranges of entities: the same rows and values, with nulls in keys, values and weights, keys besides the entity, and tables to be added up."""
+    m, y = wide(spark)
+    m = m.where("entity_id <> 3 or set_id > 5").withColumn("weight", F.when(~((F.col("set_id") == 2) & (F.col("entity_id") < 30)), F.col("weight")))
+    m = m.unionByName(m.where("set_id = 4").withColumns({"set_id": F.lit(None).cast("long"), "weight": F.lit(2.0)}))
+    m = m.unionByName(m.where("set_id = 5").limit(3).withColumn("entity_id", F.lit(None).cast("long")))
+    y = y.unionByName(y.where("entity_id = 9").withColumn("entity_id", F.lit(None).cast("long"))).where("entity_id is null or entity_id <> 12")
+    y = y.withColumn("fold", (F.col("entity_id") % 2).cast("string"))
+    axis = packed.name_axis(y, ["trait"])
+    monkeypatch.setattr(packed, "BLOCK", 100)
+    member, heavy = packed.in_blocks(m)
+    assert heavy is None and member.select("_blk").distinct().count() > 3 and member.drop("_blk").exceptAll(m).isEmpty()
+    assert member.groupBy("entity_id").agg(F.countDistinct("_blk").alias("n")).where("n > 1").isEmpty()
+    values = packed.with_blocks(packed.pack(y, ["entity_id", "fold"], axis, "value"), member)
+    twice = packed.union([values, values])
+    got = rows(packed.unpack(packed.sum_over_entities(member, twice, ["set_id", "fold"]), "xy"), "set_id", "fold", "trait")
+    want = rows(m.join(y, "entity_id").groupBy("set_id", "fold", "trait").agg(F.sum(2 * F.col("weight") * F.col("value")).alias("xy")), "set_id", "fold", "trait")
+    assert got.keys() == want.keys() and (None, "0", 0) in got
+    for k, r in want.items():
+        assert got[k].xy is None if r.xy is None else abs(got[k].xy - r.xy) < 1e-9
+
+
+def test_a_range_with_a_popular_entity_is_split_instead(spark, monkeypatch):
+    from evisets.plans import iterate
+
+    m, _ = wide(spark)
+    monkeypatch.setattr(packed, "BLOCK", 100)
+    monkeypatch.setattr(iterate, "HEAVY", 10)
+    member, heavy = packed.in_blocks(m)
+    assert "_blk" not in member.columns and heavy.count() == 60
+
+
+def test_correlation_products_in_ranges(spark, monkeypatch):
+    m, _ = wide(spark, 40, 8)
+    m = m.where("(entity_id + set_id) % 3 > 0")
+    b = spark.range(8).selectExpr("id as set_id", "'t' as trait", "cos(id) as beta", "0.5D + id as scale", "0.1D as mean")
+    n = F.lit(40.0)
+    want = rows(shrink.correlation_product(m, b, n), "set_id", "trait")
+    monkeypatch.setattr(packed, "BLOCK", 50)
+    member, heavy = packed.in_blocks(m)
+    got = rows(shrink.correlation_product(member, b, n, heavy=heavy), "set_id", "trait")
+    assert "_blk" in member.columns and got.keys() == want.keys() and max(abs(got[k].v_beta - want[k].v_beta) for k in want) < 1e-9
+
+
 @pytest.mark.parametrize("cells,passes", [(10 ** 9, 8), (500, 8), (30, 8), (30, 1)])
 def test_sums_over_sets_are_the_same_in_any_number_of_passes(spark, monkeypatch, cells, passes):
     monkeypatch.setattr(packed, "CELLS", cells)
