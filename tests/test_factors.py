@@ -147,3 +147,17 @@ def test_search_and_consensus_run(spark):
     assert best.count() == 1 and table.count() == 3
     fit = nmf.ard_nmf(cells(spark, V), 2, [nmf.Run(i, i, 0.01) for i in range(2)], iterations=2)
     assert consensus_fit(fit)[0].count() > 0
+
+
+def test_numerators_of_several_runs_side_by_side(spark, monkeypatch):
+    """Few loadings are broadcast, many joined, and more runs than a row holds go in turn: the same sums as run by run, from one row of loadings a key."""
+    V = np.random.default_rng(3).random((9, 7)) * (np.random.default_rng(4).random((9, 7)) > 0.4)
+    x = cells(spark, V).withColumnRenamed("value", "vs")
+    W = {(r, i): np.random.default_rng(10 * r + i).random(4) for r in (0, 2, 5) for i in range(9)}
+    fixed = spark.createDataFrame([(r, i, w.tolist()) for (r, i), w in W.items()], "run int, set_id long, w array<double>")
+    for few, width in ((10 ** 6, 32), (0, 32), (10 ** 6, 8)):
+        monkeypatch.setattr(nmf, "CELLS", few)
+        monkeypatch.setattr(nmf, "WIDTH", width)
+        got = {(r.run, r.entity_id): r.num for r in nmf._numerator(x, fixed, "set_id", "entity_id", 4, [0, 2, 5]).collect()}
+        want = {(r, j): sum(V[i, j] * W[r, i] for i in range(9)) for r in (0, 2, 5) for j in range(7) if V[:, j].any()}
+        assert got.keys() == want.keys() and max(np.abs(np.array(got[k]) - want[k]).max() for k in want) < 1e-12
