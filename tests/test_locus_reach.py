@@ -28,3 +28,8 @@ def both(spark, far, name):
 def test_link_prob_lists_far_links(spark, far):
     got, want = both(spark, far, "link_prob")
     assert got == want == [(3, 1, 0.109291)]
+
+
+def test_signal_entity_prob_lists_far_links(spark, far):
+    got, want = both(spark, far, "signal_entity_prob")
+    assert got == want == [("0:2", 1, 0.9)]
