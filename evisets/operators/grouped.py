@@ -65,6 +65,22 @@ def correlated_sums(rows: DataFrame, cols: list[str], groups: list[str], entity_
     return both.groupBy(*groups).agg(*[F.sum(F.col(f"_h{i}") * F.col(cols[j])).alias(f"c_{i}_{j}") for i, j, _ in _cross_names(cols)])
 
 
+def block_sums(rows: DataFrame, cols: list[str], groups: list[str], blocks: DataFrame, rho: float) -> DataFrame:
+    """As ``correlated_sums`` where two entities of a block correlate by ``rho`` and entities of different blocks do not.
+
+    blocks(entity_id, *block); an entity that is missing, or has a null in its block, has no terms, one that is listed m times counts m times. A block
+    adds rho (sum x_i)(sum x_j) + (1 - rho) sum x_i x_j, so no pair of entities is formed.
+    """
+    names = [c for c in blocks.columns if c != "entity_id"]
+    block = [f"_k{i}" for i in range(len(names))]  # the design may have columns of these names
+    listed = blocks.select("entity_id", *[F.col(c).alias(k) for c, k in zip(names, block, strict=True)]).dropna().groupBy("entity_id", *block).agg(F.count("*").alias("_m"))
+    x = rows.join(listed, "entity_id").groupBy("entity_id", *groups, *block).agg(*[F.coalesce(F.sum(F.col("_m") * F.col(c)), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(cols)])
+    cross = _cross_names(cols)
+    parts = x.groupBy(*groups, *block).agg(*[F.sum(f"_x{i}").alias(f"_s{i}") for i in range(len(cols))],
+                                           *[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_q_{i}_{j}") for i, j, _ in cross])
+    return parts.groupBy(*groups).agg(*[F.sum(F.lit(rho) * F.col(f"_s{i}") * F.col(f"_s{j}") + F.lit(1.0 - rho) * F.col(f"_q_{i}_{j}")).alias(f"c_{i}_{j}") for i, j, _ in cross])
+
+
 def _finish(table: DataFrame, groups: list[str], x: list[str], y: str, sandwich: bool) -> DataFrame:
     """(groups, outcome, term, beta, se, n_rows, converged) from rows of (beta, s_i_j, c_i_j or var, n_rows)."""
     k = len(x) + 1
@@ -102,8 +118,9 @@ def _solved(sums: DataFrame, groups: list[str], k: int) -> DataFrame:
     return sums.mapInPandas(solve, f"{_kinds(sums, groups)}, beta array<double>")
 
 
-def sandwich_ols(df: DataFrame, x: list[str], y: str, groups: list[str], entity_corr: DataFrame) -> DataFrame:
-    """Multiple regression with intercept per group, errors by (X'X)^-1 X'RX (X'X)^-1 with the residual correlation R of ``entity_corr``.
+def sandwich_ols(df: DataFrame, x: list[str], y: str, groups: list[str], entity_corr: DataFrame | None = None, blocks: DataFrame | None = None,
+                 rho: float = 0.0) -> DataFrame:
+    """Multiple regression with intercept per group, errors by (X'X)^-1 X'RX (X'X)^-1 with the residual correlation R of ``entity_corr``, or of ``blocks`` and ``rho``.
 
     R's scale is the caller's, as in the published form: a unit diagonal stands for residuals of variance 1. Rows are unique by (groups, entity_id);
     a group without listed pairs has se 0 and so z 0; an empty table gives an empty one. ``converged`` is true.
@@ -111,7 +128,8 @@ def sandwich_ols(df: DataFrame, x: list[str], y: str, groups: list[str], entity_
     cols = [*x, "intercept"]
     rows = held(_design(df, x, y, groups, ("entity_id",)))
     sums = held(normal_sums(rows, cols, [y], groups))
-    table = sums.join(_solved(sums, groups, len(cols)), groups).join(correlated_sums(rows, cols, groups, entity_corr), groups, "left")
+    inner = correlated_sums(rows, cols, groups, entity_corr) if blocks is None else block_sums(rows, cols, groups, blocks, rho)
+    table = sums.join(_solved(sums, groups, len(cols)), groups).join(inner, groups, "left")
     return _finish(table.withColumn("converged", F.lit(True)), groups, x, y, True)
 
 
